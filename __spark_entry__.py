@@ -32,23 +32,24 @@ AS_OF_HOUR = 13
 
 def plain(df: DataFrame, *rounded: str) -> DataFrame:
     """bigint, double and text only; `rounded` columns to six digits."""
-    out = []
-    for field in df.schema.fields:
-        column, kind = F.col(f"`{field.name}`"), field.dataType
-        if field.name in rounded:
-            column = F.round(column.cast("double"), 6)
-        elif isinstance(kind, (T.DecimalType, T.FloatType)):
-            column = column.cast("double")
-        elif isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType)):
-            column = column.cast("bigint")
-        elif isinstance(kind, T.TimestampNTZType):
-            column = F.date_format(column, "yyyy-MM-dd HH:mm:ss.SSSSSS")
-        elif isinstance(kind, (T.DateType, T.BooleanType)):
-            column = column.cast("string")
-        elif isinstance(kind, T.ArrayType):
-            column = F.array_join(column.cast("array<string>"), ",")
-        out.append(column.alias(field.name))
-    return df.select(*out)
+    def shown(name, kind):
+        if name in rounded:
+            return f"round(CAST({name} AS DOUBLE), 6)"
+        if isinstance(kind, (T.DecimalType, T.FloatType)):
+            return f"CAST({name} AS DOUBLE)"
+        if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType)):
+            return f"CAST({name} AS BIGINT)"
+        if isinstance(kind, T.TimestampNTZType):
+            return f"date_format({name}, 'yyyy-MM-dd HH:mm:ss.SSSSSS')"
+        if isinstance(kind, (T.DateType, T.BooleanType)):
+            return f"CAST({name} AS STRING)"
+        if isinstance(kind, T.ArrayType):
+            return f"array_join(CAST({name} AS ARRAY<STRING>), ',')"
+        return name
+
+    return df.selectExpr(*[
+        f"{shown(f'`{field.name}`' if field.name not in rounded else field.name, field.dataType)} AS `{field.name}`"
+        for field in df.schema.fields])
 
 
 # --- inputs ---------------------------------------------------------------------------
@@ -131,7 +132,7 @@ def q_clean_numeric(spark, sf):
 
 def q_sorted_tally(spark, sf):
     grid = hourly.hourly_tally(events(spark, sf)).select(
-        "report_date", "slot", grouped_number(F.col("total_tons")).alias("total_text"))
+        "report_date", "slot", F.expr(grouped_number("total_tons")).alias("total_text"))
     return plain(hourly.sorted_table(grid, "total_text", descending=True))
 
 

@@ -1,45 +1,46 @@
 """Business-day arithmetic: 24 one-hour slots starting at 18:00 of the day before."""
 
-from pyspark.sql import functions as F
-
+from weighyard.functions.layers import add
 from weighyard.schema import DAY_START_HOUR, SLOTS_PER_DAY
 
 _SHIFT = SLOTS_PER_DAY - DAY_START_HOUR
 
 
-def business_date(ts):
-    return (ts + F.expr(f"INTERVAL {_SHIFT} HOURS")).cast("date")
+def business_date(ts="ts"):
+    return f"CAST({ts} + INTERVAL {_SHIFT} HOURS AS DATE)"
 
 
-def slot_of(ts):
-    return ((F.hour(ts) + _SHIFT) % SLOTS_PER_DAY).cast("int")
+def slot_of(ts="ts"):
+    return f"((hour({ts}) + {_SHIFT}) % {SLOTS_PER_DAY})"
 
 
-def slot_label(slot):
+def slot_label(slot="slot"):
     """'18:00-19:00' for slot 0."""
-    def clock(hour):
-        return F.concat(F.lpad((hour % SLOTS_PER_DAY).cast("string"), 2, "0"), F.lit(":00"))
-
-    return F.concat(clock(slot + DAY_START_HOUR), F.lit("-"), clock(slot + DAY_START_HOUR + 1))
+    begin = f"lpad(({slot} + {DAY_START_HOUR}) % {SLOTS_PER_DAY}, 2, '0')"
+    end = f"lpad(({slot} + {DAY_START_HOUR + 1}) % {SLOTS_PER_DAY}, 2, '0')"
+    return f"concat({begin}, ':00-', {end}, ':00')"
 
 
 def slot_start(report_date, slot):
     """Wall-clock start of a slot."""
-    midnight = F.date_sub(report_date, 1).cast("timestamp_ntz")
-    return midnight + F.make_dt_interval(hours=slot + DAY_START_HOUR)
+    midnight = f"CAST(date_sub({report_date}, 1) AS TIMESTAMP_NTZ)"
+    return f"{midnight} + make_dt_interval(0, {slot} + {DAY_START_HOUR})"
 
 
-def seconds_into_hour(ts):
+def seconds_into_hour(ts="ts"):
     """Seconds since the full hour, with the fraction."""
-    return F.minute(ts) * 60 + F.date_part(F.lit("SECOND"), ts)
+    return f"(minute({ts}) * 60 + extract(SECOND FROM {ts}))"
+
+
+def closed_places(ts="ts"):
+    """The times a ticket is counted at when hours are closed on both ends."""
+    return f"IF({seconds_into_hour(ts)} = 0, array({ts}, {ts} - INTERVAL 1 HOUR), array({ts}))"
 
 
 def with_business_day(df):
     """Adds business date, slot, its label and its start to rows with `ts`."""
-    date, slot = business_date(F.col("ts")), slot_of(F.col("ts"))
-    return df.withColumns({
-        "business_date": date,
-        "slot": slot,
-        "slot_label": slot_label(slot),
-        "slot_start": slot_start(date, slot),
+    return add(df, {
+        "business_date": business_date(), "slot": slot_of(),
+        "slot_label": slot_label(slot_of()),
+        "slot_start": slot_start(business_date(), slot_of()),
     })

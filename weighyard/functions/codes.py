@@ -1,25 +1,34 @@
-"""Coded findings: arrays of small structs with the NULL members removed."""
+"""Coded findings: arrays of small structs with the absent members left out."""
 
-from pyspark.sql import functions as F
+
+def text(value):
+    return f"'{value}'"
 
 
 def finding(condition, code, value=None, **extra):
-    """struct(extra..., code, value) where the condition is true, else NULL."""
-    number = F.lit(None).cast("double") if value is None else value.cast("double")
-    parts = [(v if not isinstance(v, str) else F.lit(v)).alias(k) for k, v in extra.items()]
-    name = F.lit(code) if isinstance(code, str) else code
-    return F.when(condition, F.struct(*parts, name.alias("code"), number.alias("value")))
+    """A struct of the extra texts, the code and a number, or NULL unless the condition holds.
+
+    `code` is a plain word, or SQL text if it contains a bracket.
+    """
+    name = code if "(" in code else text(code)
+    parts = [f"'{k}', {text(v)}" for k, v in extra.items()]
+    parts += [f"'code', {name}", f"'value', CAST({value or 'NULL'} AS DOUBLE)"]
+    return f"IF({condition}, named_struct({', '.join(parts)}), NULL)"
 
 
 def collect_findings(*findings):
-    return F.array_compact(F.array(*findings))
+    return f"array_compact(array({', '.join(findings)}))"
 
 
 def code_list(*pairs):
     """Codes whose condition is true, in order; pairs are (condition, code)."""
-    return F.array_compact(F.array(*[F.when(c, F.lit(code)) for c, code in pairs]))
+    return collect_findings(*[f"IF({condition}, {text(code)}, NULL)" for condition, code in pairs])
+
+
+def text_array(values):
+    return f"CAST(array({', '.join(text(v) for v in values)}) AS ARRAY<STRING>)"
 
 
 def explode_findings(df, column, keep=("report_date",)):
     """Long form of a finding array: one row per finding."""
-    return df.select(*keep, F.inline(column))
+    return df.selectExpr(*keep, f"inline({column})")

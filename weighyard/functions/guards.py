@@ -1,47 +1,48 @@
 """Guarded arithmetic and cleaning of numeric values."""
 
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weighyard.functions.layers import replace
 
-def ratio(numerator, denominator, default=0.0):
-    """numerator / denominator as double, or `default` unless the denominator is > 0."""
-    top, bottom = numerator.cast("double"), denominator.cast("double")
-    return F.coalesce(F.when(bottom > 0, top / bottom), F.lit(default))
 
+def double(sql):
+    return f"CAST({sql} AS DOUBLE)"
 
-def percent(part, whole, default=0.0):
+
+def ratio(numerator, denominator, default="0.0D"):
+    """numerator / denominator, or `default` unless the denominator is > 0."""
+    return (f"coalesce(IF({denominator} > 0, {double(numerator)} / {double(denominator)}, NULL), "
+            f"{default})")
+
+
+def percent(part, whole, default="0.0D"):
     """part / whole * 100, guarded like `ratio`."""
-    top, bottom = part.cast("double"), whole.cast("double")
-    return F.coalesce(F.when(bottom > 0, top / bottom * 100), F.lit(default))
+    return f"coalesce(IF({whole} > 0, {double(part)} / {double(whole)} * 100, NULL), {default})"
 
 
 def percent_change(new, old):
     """(new - old) / old * 100, or 0 unless old > 0."""
-    new, old = new.cast("double"), old.cast("double")
-    return F.coalesce(F.when(old > 0, (new - old) / old * 100), F.lit(0.0))
+    new, old = double(new), double(old)
+    return f"coalesce(IF({old} > 0, ({new} - {old}) / {old} * 100, NULL), 0.0D)"
 
 
-def clean_number(column):
+def clean_number(sql):
     """NULL, NaN and the infinities become 0."""
-    value = column.cast("double")
-    return F.when(
-        value.isNull() | F.isnan(value) | (F.abs(value) == F.lit(float("inf"))), F.lit(0.0)
-    ).otherwise(value)
+    value = double(sql)
+    return (f"CASE WHEN {value} IS NULL OR isnan({value}) OR abs({value}) = double('Infinity') "
+            f"THEN 0.0D ELSE {value} END")
 
 
-def clean_text_number(column):
-    """Text to double; empty text, 'none', 'null' and anything unreadable become 0."""
-    return clean_number(F.trim(column).try_cast("double"))
+def clean_text_number(sql):
+    """Text to number; empty text, 'none', 'null' and anything unreadable become 0."""
+    return clean_number(f"try_cast(trim({sql}) AS DOUBLE)")
 
 
 def clean_numeric(df, columns=None):
-    """Clean the given columns (default: all numeric and text-number columns named)."""
-    numeric = (T.DoubleType, T.FloatType, T.DecimalType, T.LongType, T.IntegerType)
+    """Clean the given columns, text ones included (default: all numeric columns)."""
     fields = {f.name: f.dataType for f in df.schema.fields}
-    chosen = columns or [n for n, t in fields.items() if isinstance(t, numeric)]
-    return df.withColumns({
-        name: clean_text_number(F.col(name)) if isinstance(fields[name], T.StringType)
-        else clean_number(F.col(name))
+    chosen = columns or [n for n, t in fields.items() if isinstance(t, T.NumericType)]
+    return replace(df, {
+        name: clean_text_number(name) if isinstance(fields[name], T.StringType) else clean_number(name)
         for name in chosen
     })

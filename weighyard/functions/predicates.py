@@ -1,18 +1,19 @@
 """Which tickets count."""
 
-from pyspark.sql import functions as F
-
 from weighyard import schema as S
 
 
 def _text(name, ci):
-    column = F.col(name)
-    return F.lower(F.rtrim(column)) if ci else column
+    return f"lower(rtrim({name}))" if ci else name
+
+
+def _any_of(values):
+    return ", ".join(f"'{v}'" for v in values)
 
 
 def printed_ticket(ci=False):
     """The weak predicate: the queue slip was printed."""
-    return _text("print_q", ci) == S.PRINTED_QUEUE
+    return f"{_text('print_q', ci)} = '{S.PRINTED_QUEUE}'"
 
 
 def valid_ticket(ci=False):
@@ -22,28 +23,27 @@ def valid_ticket(ci=False):
     like a database with case-insensitive, trailing-blank-insensitive text.
     """
     return (
-        printed_ticket(ci)
-        & _text("cane_type", ci).isin(S.FRESH, S.BURNT)
-        & (_text("print_w", ci) == S.PRINTED_WEIGHT)
-        & (F.col("net_weight") > 0)
-        & ~_text("lane_code", ci).isin(*S.EXCLUDED_LANES)
+        f"{printed_ticket(ci)} AND {_text('cane_type', ci)} IN ({_any_of((S.FRESH, S.BURNT))})"
+        f" AND {_text('print_w', ci)} = '{S.PRINTED_WEIGHT}' AND net_weight > 0"
+        f" AND {_text('lane_code', ci)} NOT IN ({_any_of(S.EXCLUDED_LANES)})"
     )
 
 
+RULES = {"valid": valid_ticket, "printed": printed_ticket, "all": lambda ci=False: "true"}
+
+
+def rule(predicate, ci=False):
+    if predicate not in RULES:
+        raise ValueError(f"unknown predicate {predicate!r}")
+    return RULES[predicate](ci)
+
+
 def date_range(start=None, end=None, column="report_date"):
     """Inclusive range on the raw date column, so that it reaches the scan."""
-    day = F.col(column)
-    low = F.lit(True) if start is None else day >= F.to_date(F.lit(str(start)))
-    high = F.lit(True) if end is None else day <= F.to_date(F.lit(str(end)))
-    return low & high
+    parts = [f"{column} >= DATE'{start}'"] * (start is not None) + [f"{column} <= DATE'{end}'"] * (end is not None)
+    return " AND ".join(parts) or "true"
 
 
 def keep(tickets, predicate="valid", start=None, end=None, ci=False):
     """Tickets under the named predicate ('valid', 'printed' or 'all') and date range."""
-    rules = {"valid": valid_ticket, "printed": printed_ticket}
-    if predicate not in (*rules, "all"):
-        raise ValueError(f"unknown predicate {predicate!r}")
-    chosen = tickets if predicate == "all" else tickets.where(rules[predicate](ci))
-    if start is not None or end is not None:
-        chosen = chosen.where(date_range(start, end))
-    return chosen
+    return tickets.where(f"({rule(predicate, ci)}) AND ({date_range(start, end)})")

@@ -6,41 +6,35 @@ Finite sums from Abramowitz & Stegun, Handbook of Mathematical Functions, 26.7.3
 
 from math import pi
 
-from pyspark.sql import functions as F
-
 
 def _series(cos_sq, terms, first, step):
-    """Sum of `terms` members; member k is member k-1 times step(k) times cos_sq."""
-    start = F.struct(first.alias("term"), F.lit(0.0).alias("total"))
-    return F.aggregate(
-        F.sequence(F.lit(1), terms),
-        start,
-        lambda acc, k: F.struct(
-            (acc["term"] * step(k.cast("double")) * cos_sq).alias("term"),
-            (acc["total"] + acc["term"]).alias("total"),
-        ),
-        lambda acc: acc["total"],
+    """Sum of `terms` members; member k is member k-1 times `step` (in k) times cos_sq."""
+    return (
+        f"aggregate(sequence(1, {terms}), named_struct('term', {first}, 'total', 0.0D), "
+        f"(acc, k) -> named_struct('term', acc.term * {cos_sq} * {step}, 'total', acc.total + acc.term), "
+        f"acc -> acc.total)"
     )
 
 
 def two_sided_p(t, dof):
     """P(|T| >= |t|) for integer `dof` >= 1."""
-    nu = dof.cast("double")
-    theta = F.atan(F.abs(t) / F.sqrt(nu))
-    cos, sin = F.cos(theta), F.sin(theta)
-    even = sin * _series(cos * cos, (dof / 2).cast("int"), F.lit(1.0), lambda k: (2 * k - 1) / (2 * k))
-    odd_terms = F.greatest(((dof - 1) / 2).cast("int"), F.lit(1))
-    odd = (theta + sin * _series(cos * cos, odd_terms, cos, lambda k: (2 * k) / (2 * k + 1))) * (2 / pi)
-    inside = F.when(dof == 1, theta * (2 / pi)).when(dof % 2 == 0, even).otherwise(odd)
-    return F.greatest(F.lit(0.0), 1 - inside)
+    theta = f"atan(abs({t}) / sqrt(CAST({dof} AS DOUBLE)))"
+    sin, cos = f"sin({theta})", f"cos({theta})"
+    cos_sq, k = f"({cos} * {cos})", "CAST(k AS DOUBLE)"
+    even = f"{sin} * " + _series(cos_sq, f"CAST({dof} / 2 AS INT)", "1.0D", f"((2 * {k} - 1) / (2 * {k}))")
+    odd_sum = _series(cos_sq, f"CAST(({dof} - 1) / 2 AS INT)", cos, f"((2 * {k}) / (2 * {k} + 1))")
+    odd = f"({theta} + {sin} * {odd_sum}) * {2 / pi!r}D"
+    inside = f"CASE WHEN {dof} = 1 THEN {theta} * {2 / pi!r}D WHEN {dof} % 2 = 0 THEN {even} ELSE {odd} END"
+    return f"greatest(0.0D, 1 - {inside})"
 
 
 def slope_p_value(r, n):
     """p-value of a least-squares slope from its correlation and the number of points.
 
-    A perfect fit gives 0 and a missing correlation (constant values) gives 1.
+    A perfect fit gives 0 and a missing correlation (constant values) gives 1; fewer than
+    three points have none.
     """
-    rest = 1 - r * r
-    dof = n.cast("int") - 2
-    t = r * F.sqrt(dof / F.when(rest > 0, rest))
-    return F.when(r.isNull(), 1.0).when(rest <= 0, 0.0).otherwise(two_sided_p(t, dof))
+    dof = f"(CAST({n} AS INT) - 2)"
+    t = f"({r} * sqrt({dof} / (1 - {r} * {r})))"
+    return (f"CASE WHEN {n} < 3 THEN NULL WHEN {r} IS NULL THEN 1.0D "
+            f"WHEN 1 - {r} * {r} <= 0 THEN 0.0D ELSE {two_sided_p(t, dof)} END")

@@ -1,11 +1,8 @@
 """Recommendations and advice as codes; needs persona, patterns and efficiency."""
 
-from pyspark.sql import functions as F
-
-from weighyard.functions.codes import code_list
-from weighyard.operators.rules import (
-    _avg, _fresh, _hours, _tons, day_part_of,
-)
+from weighyard.functions.codes import code_list, collect_findings, text_array
+from weighyard.functions.layers import add
+from weighyard.operators.rules import FRESH, HOURS, T, V, day_part
 
 # The steps that come with each kind of recommendation.
 ACTIONS = {
@@ -23,112 +20,100 @@ ACTIONS = {
 NEXT_CYCLE_ACTIONS = ("REVIEW_ROOT_CAUSE", "UPDATE_NEXT_PLAN", "SHARE_IMPROVEMENTS")
 
 
-def _texts(values):
-    return F.array(*[F.lit(v) for v in values])
 
 
 def _recommend(condition, priority, category, detail=None):
-    return F.when(condition, F.struct(
-        F.lit(priority).alias("priority"), F.lit(category).alias("category"),
-        F.lit(detail).cast("string").alias("detail"),
-        F.lit(False).alias("next_cycle"), _texts(ACTIONS[category]).alias("actions"),
-    ))
-
+    shown = "CAST(NULL AS STRING)" if detail is None else f"'{detail}'"
+    return (f"IF({condition}, named_struct('priority', '{priority}', 'category', '{category}', 'detail', {shown}, "
+            f"'next_cycle', false, 'actions', {text_array(ACTIONS[category])}), NULL)")
 
-def adaptive_rules(day_part):
-    """(condition, code) of the advice that depends on the time of day."""
-    morning, afternoon = day_part == "morning", day_part == "afternoon"
-    urgent = F.col("persona").isin("WEAK_START", "CRITICAL")
-    behind = F.coalesce(F.col("volume_eff") < 90, F.lit(False))
-    return [
-        (morning & urgent, "MORNING_EMERGENCY_MEETING"),
-        (morning & ~urgent, "MORNING_SET_TARGETS"),
-        (afternoon & behind, "AFTERNOON_PUSH_TRANSPORT"),
-        (afternoon & ~behind, "AFTERNOON_KEEP_STANDARD"),
-        (day_part == "evening", "EVENING_REVIEW_AND_PLAN"),
-        (_tons() < _avg() * 0.8, "FIND_CAUSES_FOR_TOMORROW"),
-        (_fresh() < 80, "STRESS_QUALITY_CONTROL"),
-    ]
 
+_BEHIND = f"{T} < {V} * 0.8D"
+_LOW_FRESH = f"{FRESH} < 80"
 
-def recommendations_of(day_part, mode):
-    """Persona base first, then time of day (current days only), patterns, efficiency.
 
-    For past days a critical item becomes medium, the item is marked for the next cycle
-    and keeps its first step before the planning steps.
-    """
-    name = F.col("persona")
-    current = mode != "historical"
-    items = F.array_compact(F.array(
-        _recommend(name.isin("CRITICAL", "QUALITY_FOCUS"), "high", "VOLUME"),
-        _recommend(name == "QUANTITY_PUSH", "high", "QUALITY"),
-        _recommend(name == "VOLATILE_PERFORMANCE", "medium", "STABILITY"),
-        _recommend(~name.isin("CRITICAL", "QUALITY_FOCUS", "QUANTITY_PUSH", "VOLATILE_PERFORMANCE"),
-                   "low", "IMPROVE"),
-        *[_recommend(current & c, "medium", "TIME_ADVICE", code) for c, code in adaptive_rules(day_part)],
-        _recommend(F.col("anomaly_score") > 0.7, "critical", "RISK"),
-        _recommend(F.col("season") == "late_season", "medium", "SEASON"),
-        _recommend(F.col("quality_pattern") == "declining", "high", "QUALITY_CONTROL"),
-        _recommend(F.col("week_part") == "week_end", "medium", "WEEKEND"),
-        _recommend(F.col("volume_eff") < 80, "high", "EFFICIENCY"),
-    ))
-    later = F.transform(items, lambda r: F.struct(
-        F.when(r["priority"] == "critical", "medium").otherwise(r["priority"]).alias("priority"),
-        r["category"].alias("category"), r["detail"].alias("detail"),
-        F.lit(True).alias("next_cycle"),
-        F.concat(F.slice(r["actions"], 1, 1), _texts(NEXT_CYCLE_ACTIONS)).alias("actions"),
-    ))
-    return F.when(mode == "historical", later).otherwise(items)
+def adaptive_rules(part):
+    """(condition, code) of the advice that depends on the part of the day."""
+    urgent = "persona IN ('WEAK_START', 'CRITICAL')"
+    slow = "coalesce(volume_eff < 90, false)"
+    timed = {
+        "morning": [(urgent, "MORNING_EMERGENCY_MEETING"), (f"NOT {urgent}", "MORNING_SET_TARGETS")],
+        "afternoon": [(slow, "AFTERNOON_PUSH_TRANSPORT"), (f"NOT {slow}", "AFTERNOON_KEEP_STANDARD")],
+        "evening": [("true", "EVENING_REVIEW_AND_PLAN")],
+        "night": [],
+    }[part]
+    return timed + [(_BEHIND, "FIND_CAUSES_FOR_TOMORROW"), (_LOW_FRESH, "STRESS_QUALITY_CONTROL")]
 
 
 def recommendations(days, as_of_hour):
-    """Needs the `mode` column."""
-    return days.withColumn(
-        "recommendations", recommendations_of(day_part_of(F.lit(as_of_hour)), F.col("mode")))
+    """Persona base first, then time of day (current days only), patterns, efficiency.
+
+    For past days (`mode`) a critical item becomes medium, the item is marked for the next
+    cycle and keeps its first step before the planning steps.
+    """
+    special = "persona IN ('CRITICAL', 'QUALITY_FOCUS', 'QUANTITY_PUSH', 'VOLATILE_PERFORMANCE')"
+    items = collect_findings(
+        _recommend("persona IN ('CRITICAL', 'QUALITY_FOCUS')", "high", "VOLUME"),
+        _recommend("persona = 'QUANTITY_PUSH'", "high", "QUALITY"),
+        _recommend("persona = 'VOLATILE_PERFORMANCE'", "medium", "STABILITY"),
+        _recommend(f"NOT {special}", "low", "IMPROVE"),
+        *[_recommend(f"mode <> 'historical' AND {condition}", "medium", "TIME_ADVICE", code)
+          for condition, code in adaptive_rules(day_part(as_of_hour))],
+        _recommend("anomaly_score > 0.7", "critical", "RISK"),
+        _recommend("season = 'late_season'", "medium", "SEASON"),
+        _recommend("quality_pattern = 'declining'", "high", "QUALITY_CONTROL"),
+        _recommend("week_part = 'week_end'", "medium", "WEEKEND"),
+        _recommend("volume_eff < 80", "high", "EFFICIENCY"),
+    )
+    later = f"""transform({items}, r -> named_struct(
+        'priority', IF(r.priority = 'critical', 'medium', r.priority), 'category', r.category, 'detail', r.detail,
+        'next_cycle', true, 'actions', concat(slice(r.actions, 1, 1), {text_array(NEXT_CYCLE_ACTIONS)})))"""
+    return add(days, {"recommendations": f"IF(mode = 'historical', {later}, {items})"})
 
 
 def advice(days, as_of_hour):
     """Six coded lists for the day as seen at `as_of_hour`."""
-    t, v, h = _tons(), _avg(), _hours()
-    share = t / F.when((t > 0) & (v > 0), v)
-    part = day_part_of(F.lit(as_of_hour))
-    morning, afternoon, evening = part == "morning", part == "afternoon", part == "evening"
-    name = F.col("persona")
-    low_fresh, behind = _fresh() < 80, t < v * 0.8
-    early, late = morning & (h < 4), afternoon & (h >= 8)
-    due = (h / 24) * v
-    return days.withColumns({
+    part = day_part(as_of_hour)
+    morning, afternoon, evening = (str(part == p).lower() for p in ("morning", "afternoon", "evening"))
+    share = f"IF({T} > 0 AND {V} > 0, {T} / {V}, NULL)"
+    early, late = f"{morning} AND {HOURS} < 4", f"{afternoon} AND {HOURS} >= 8"
+    due = f"({HOURS} / 24 * {V})"
+    far_behind = f"{T} < {V} * 0.6D"
+    return add(days, {
         "practical": code_list(
-            (share < 0.7, "IMPROVE_TRANSPORT_AND_QUEUE"), (share > 1.3, "KEEP_HIGH_EFFICIENCY"),
+            (f"{share} < 0.7", "IMPROVE_TRANSPORT_AND_QUEUE"), (f"{share} > 1.3", "KEEP_HIGH_EFFICIENCY"),
             (early, "MORNING_PREPARATION"), (late, "AFTERNOON_CATCH_UP"), (evening, "EVENING_LESSONS"),
-            (name == "VOLATILE_PERFORMANCE", "QUEUE_AGAINST_SWINGS"),
-            (name == "QUALITY_FOCUS", "KEEP_QUALITY_RAISE_VOLUME"),
-            (name == "QUANTITY_PUSH", "IMPROVE_INTAKE_CHECKS"),
+            ("persona = 'VOLATILE_PERFORMANCE'", "QUEUE_AGAINST_SWINGS"),
+            ("persona = 'QUALITY_FOCUS'", "KEEP_QUALITY_RAISE_VOLUME"),
+            ("persona = 'QUANTITY_PUSH'", "IMPROVE_INTAKE_CHECKS"),
         ),
         "actionable": code_list(
-            (behind, "MEET_TRANSPORT_TEAM"), (behind, "CHECK_MISSING_TRUCKS"),
+            (_BEHIND, "MEET_TRANSPORT_TEAM"), (_BEHIND, "CHECK_MISSING_TRUCKS"),
             (morning, "SET_TARGETS"), (morning, "CHECK_MACHINES"),
-            (afternoon & (t < v * 0.6), "PUSH_TRANSPORT"), (afternoon & ~(t < v * 0.6), "KEEP_STANDARD"),
+            (f"{afternoon} AND {far_behind}", "PUSH_TRANSPORT"),
+            (f"{afternoon} AND NOT {far_behind}", "KEEP_STANDARD"),
             (evening, "SUMMARISE_AND_PLAN"),
-            (name == "CRITICAL", "CALL_TEAM_NOW"), (name == "EXCELLENT", "RECORD_SUCCESS"),
-            (name == "WEAK_START", "PREPARE_FOR_RISE"),
+            ("persona = 'CRITICAL'", "CALL_TEAM_NOW"), ("persona = 'EXCELLENT'", "RECORD_SUCCESS"),
+            ("persona = 'WEAK_START'", "PREPARE_FOR_RISE"),
         ),
         "learning": code_list(
-            (share < 0.7, "TRANSPORT_PLANNING_FAILED"), (share > 1.3, "RECORD_SUCCESS_FACTORS"),
-            (F.col("anomaly_score") > 0.7, "DETECT_EARLY"),
-            (name == "VOLATILE_PERFORMANCE", "EVEN_INTAKE_IS_HARD"),
-            (name == "QUALITY_FOCUS", "QUALITY_WITH_VOLUME"),
-            (name == "STABLE_RECOVERY", "SYSTEMATIC_FIXES"),
+            (f"{share} < 0.7", "TRANSPORT_PLANNING_FAILED"), (f"{share} > 1.3", "RECORD_SUCCESS_FACTORS"),
+            ("anomaly_score > 0.7", "DETECT_EARLY"),
+            ("persona = 'VOLATILE_PERFORMANCE'", "EVEN_INTAKE_IS_HARD"),
+            ("persona = 'QUALITY_FOCUS'", "QUALITY_WITH_VOLUME"),
+            ("persona = 'STABLE_RECOVERY'", "SYSTEMATIC_FIXES"),
         ),
         "contextual": code_list(
-            (early & (t < v * 0.2), "SLOW_MORNING"), (early & ~(t < v * 0.2), "GOOD_MORNING"),
-            (late & (t < due * 0.8), "AFTERNOON_BEHIND"), (late & (t > due * 1.2), "AFTERNOON_AHEAD"),
-            (evening & (h >= 16), "DAY_NEARLY_DONE"),
-            (t > v * 1.2, "VOLUME_ABOVE_TARGET"), (low_fresh, "FRESH_BELOW_STANDARD"),
+            (f"{early} AND {T} < {V} * 0.2D", "SLOW_MORNING"),
+            (f"{early} AND NOT {T} < {V} * 0.2D", "GOOD_MORNING"),
+            (f"{late} AND {T} < {due} * 0.8D", "AFTERNOON_BEHIND"),
+            (f"{late} AND {T} > {due} * 1.2D", "AFTERNOON_AHEAD"),
+            (f"{evening} AND {HOURS} >= 16", "DAY_NEARLY_DONE"),
+            (f"{T} > {V} * 1.2D", "VOLUME_ABOVE_TARGET"), (_LOW_FRESH, "FRESH_BELOW_STANDARD"),
         ),
         "proactive": code_list(
-            (behind, "FIND_CAUSES_FOR_TOMORROW"), ((h >= 12) & (t < v * 0.9), "PLAN_COMPENSATION"),
-            (low_fresh, "IMPROVE_QUALITY_PROCESS"),
+            (_BEHIND, "FIND_CAUSES_FOR_TOMORROW"), (f"{HOURS} >= 12 AND {T} < {V} * 0.9D", "PLAN_COMPENSATION"),
+            (_LOW_FRESH, "IMPROVE_QUALITY_PROCESS"),
         ),
         "adaptive": code_list(*adaptive_rules(part)),
     })

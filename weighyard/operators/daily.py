@@ -4,20 +4,22 @@ from pyspark.sql import functions as F
 
 from weighyard import schema as S
 from weighyard.functions.clock import slot_label
-from weighyard.functions.guards import percent, ratio
-from weighyard.functions.predicates import date_range, keep, printed_ticket, valid_ticket
+from weighyard.functions.guards import double, percent, ratio
+from weighyard.functions.layers import add, aggregates, named
+from weighyard.functions.predicates import date_range, keep, printed_ticket, rule
 from weighyard.functions.text import month_key
-from weighyard.operators.hourly import of_type, on_line, tons_where, weight, zero_tons
+from weighyard.operators.hourly import (
+    IS_BURNT, IS_FRESH, ON_A, ON_B, WEIGHT, ZERO, count_where, tons_where,
+)
 from weighyard.plans.joins import settle
 
-
-def _all_tons():
-    return F.coalesce(F.sum(weight()), zero_tons())
+TYPE_TONS = {"fresh_tons": tons_where(IS_FRESH), "burnt_tons": tons_where(IS_BURNT)}
+LINE_TONS = {"a_tons": tons_where(ON_A), "b_tons": tons_where(ON_B)}
 
 
 def season_total(tickets, predicate="printed"):
     """The one-row grand total that a source may also offer as a view of its own."""
-    return keep(tickets, predicate).agg(_all_tons().alias("season_tons"))
+    return keep(tickets, predicate).agg(*aggregates({"season_tons": tons_where()}))
 
 
 def season_totals(tickets, grand_total=None, predicate="valid"):
@@ -26,133 +28,86 @@ def season_totals(tickets, grand_total=None, predicate="valid"):
     Without a `grand_total` view all of it comes from one scan. A global aggregate is one
     row, so broadcasting the view's is bounded.
     """
-    counts = keep(tickets, "all").withColumn(
-        "_counts", valid_ticket() if predicate == "valid" else printed_ticket())
-    yes = F.col("_counts")
-    totals = counts.agg(
-        tons_where(yes & on_line(S.LINE_A)).alias("a_tons"),
-        tons_where(yes & on_line(S.LINE_B)).alias("b_tons"),
-        tons_where(yes & of_type(S.FRESH)).alias("fresh_tons"),
-        tons_where(yes & of_type(S.BURNT)).alias("burnt_tons"),
-        F.count_if(yes & on_line(S.LINE_A)).alias("a_trucks"),
-        F.count_if(yes & on_line(S.LINE_B)).alias("b_trucks"),
-        F.count_if(yes).alias("all_trucks"),
-        tons_where(printed_ticket()).alias("season_tons"),
-    )
+    counts = rule(predicate)
+    totals = tickets.agg(*aggregates({
+        "a_tons": tons_where(f"{counts} AND {ON_A}"), "b_tons": tons_where(f"{counts} AND {ON_B}"),
+        "fresh_tons": tons_where(f"{counts} AND {IS_FRESH}"),
+        "burnt_tons": tons_where(f"{counts} AND {IS_BURNT}"),
+        "a_trucks": count_where(f"{counts} AND {ON_A}"), "b_trucks": count_where(f"{counts} AND {ON_B}"),
+        "all_trucks": count_where(counts),
+        "season_tons": tons_where(printed_ticket()),
+    }))
     if grand_total is None:
         return totals
     # max() over the view keeps it one row whatever the caller passes.
-    one_row = grand_total.agg(F.max("season_tons").alias("season_tons"))
+    one_row = grand_total.agg(*aggregates({"season_tons": "max(season_tons)"}))
     return totals.drop("season_tons").crossJoin(F.broadcast(one_row))
 
 
 def daily_by_line(tickets, start=None, end=None, predicate="printed"):
     return keep(tickets, predicate, start, end).groupBy("report_date").agg(
-        tons_where(on_line(S.LINE_A)).alias("a_tons"),
-        tons_where(on_line(S.LINE_B)).alias("b_tons"),
-        _all_tons().alias("total_tons"),
-    )
+        *aggregates({**LINE_TONS, "total_tons": tons_where()}))
 
 
 def daily_weight(tickets, start=None, end=None, predicate="valid"):
     """Tons and trucks per day, tons by type and by line, whatever lines there are."""
     return keep(tickets, predicate, start, end).groupBy("report_date").agg(
-        _all_tons().alias("tons"),
-        F.count(F.lit(1)).alias("trucks"),
-        tons_where(of_type(S.FRESH)).alias("fresh_tons"),
-        tons_where(of_type(S.BURNT)).alias("burnt_tons"),
-        tons_where(on_line(S.LINE_A)).alias("a_tons"),
-        tons_where(on_line(S.LINE_B)).alias("b_tons"),
-    )
+        *aggregates({"tons": tons_where(), "trucks": "count(1)", **TYPE_TONS, **LINE_TONS}))
 
 
 def daily_weight_summary(daily):
     """Number of days, total, mean, highest and lowest day of a daily_weight table."""
-    return daily.agg(
-        F.count(F.lit(1)).alias("days"),
-        F.coalesce(F.sum("tons"), zero_tons()).cast("double").alias("total_tons"),
-        F.coalesce(F.max("tons"), zero_tons()).alias("max_tons"),
-        F.coalesce(F.min("tons"), zero_tons()).alias("min_tons"),
-    ).select(
-        "days", "total_tons",
-        ratio(F.col("total_tons"), F.col("days")).alias("avg_tons"),
-        "max_tons", "min_tons",
-    )
+    return daily.agg(*aggregates({
+        "days": "count(1)", "total": f"coalesce(sum(tons), {ZERO})",
+        "max_tons": f"coalesce(max(tons), {ZERO})", "min_tons": f"coalesce(min(tons), {ZERO})",
+    })).selectExpr("days", f"{double('total')} AS total_tons",
+                   f"{ratio('total', 'days')} AS avg_tons", "max_tons", "min_tons")
 
 
 def monthly(tickets, predicate="valid"):
     """Eight measures per calendar month of the report date."""
-    return keep(tickets, predicate).groupBy(month_key(F.col("report_date")).alias("month")).agg(
-        _all_tons().alias("tons"),
-        tons_where(of_type(S.FRESH)).alias("fresh_tons"),
-        tons_where(of_type(S.BURNT)).alias("burnt_tons"),
-        tons_where(on_line(S.LINE_A)).alias("a_tons"),
-        tons_where(on_line(S.LINE_B)).alias("b_tons"),
-        F.count(F.lit(1)).alias("trucks"),
-        F.count_if(of_type(S.FRESH)).alias("fresh_trucks"),
-        F.count_if(of_type(S.BURNT)).alias("burnt_trucks"),
-    )
+    return keep(tickets, predicate).groupBy(F.expr(month_key()).alias("month")).agg(*aggregates({
+        "tons": tons_where(), **TYPE_TONS, **LINE_TONS, "trucks": "count(1)",
+        "fresh_trucks": count_where(IS_FRESH), "burnt_trucks": count_where(IS_BURNT),
+    }))
 
 
 def _since(tickets, first_day, predicate):
     """No upper bound: tickets after the date of the question count too."""
-    return keep(tickets, predicate).where(F.col("report_date") >= first_day)
+    return keep(tickets, predicate).where(f"report_date >= {first_day}")
 
 
 def season_trend(tickets, as_of, months=6, predicate="valid"):
     """Months since `as_of` minus six months; the mean is per ticket."""
-    first = F.add_months(F.to_date(F.lit(str(as_of))), -months)
-    return (
-        _since(tickets, first, predicate)
-        .groupBy(month_key(F.col("report_date")).alias("month"))
-        .agg(
-            _all_tons().alias("tons"),
-            F.count(F.lit(1)).alias("tickets"),
-            tons_where(of_type(S.FRESH)).alias("fresh_tons"),
-            tons_where(of_type(S.BURNT)).alias("burnt_tons"),
-        )
-        .withColumn("avg_ticket_tons", ratio(F.col("tons"), F.col("tickets")))
-        .orderBy(F.desc("month"))
-    )
+    sums = _since(tickets, f"add_months(DATE'{as_of}', -{months})", predicate).groupBy(
+        F.expr(month_key()).alias("month")
+    ).agg(*aggregates({"tons": tons_where(), "tickets": "count(1)", **TYPE_TONS}))
+    return add(sums, {"avg_ticket_tons": ratio("tons", "tickets")}).orderBy(F.desc("month"))
 
 
 def ticket_stats(tickets, as_of, days=30, predicate="valid"):
     """Mean, sample deviation, lowest and highest ticket since `as_of` minus 30 days."""
-    first = F.date_sub(F.to_date(F.lit(str(as_of))), days)
-    return _since(tickets, first, predicate).agg(
-        _all_tons().alias("_tons"),
-        F.count("net_weight").alias("tickets"),
-        F.stddev_samp(weight().cast("double")).alias("std_tons"),
-        F.min(weight()).alias("min_tons"),
-        F.max(weight()).alias("max_tons"),
-    ).select(
-        "tickets", ratio(F.col("_tons"), F.col("tickets")).alias("avg_tons"),
-        "std_tons", "min_tons", "max_tons",
-    )
+    return _since(tickets, f"date_sub(DATE'{as_of}', {days})", predicate).agg(*aggregates({
+        "tons": tons_where(), "tickets": "count(net_weight)",
+        "std_tons": f"stddev_samp({double(WEIGHT)})",
+        "min_tons": f"min({WEIGHT})", "max_tons": f"max({WEIGHT})",
+    })).selectExpr("tickets", f"{ratio('tons', 'tickets')} AS avg_tons", "std_tons", "min_tons", "max_tons")
 
 
 def fresh_trend(tickets, as_of, days=14, predicate="valid"):
     """Fresh share of the tons per day since `as_of` minus 14 days."""
-    first = F.date_sub(F.to_date(F.lit(str(as_of))), days)
-    return _since(tickets, first, predicate).groupBy("report_date").agg(
-        percent(tons_where(of_type(S.FRESH)), _all_tons()).alias("fresh_pct"),
-    ).orderBy("report_date")
+    sums = _since(tickets, f"date_sub(DATE'{as_of}', {days})", predicate).groupBy("report_date").agg(
+        *aggregates({"tons": tons_where(), "fresh_tons": tons_where(IS_FRESH)}))
+    return sums.selectExpr(
+        "report_date", f"{percent('fresh_tons', 'tons')} AS fresh_pct").orderBy("report_date")
 
 
 def daily_training_agg(tickets, predicate="valid"):
-    return keep(tickets, predicate).groupBy("report_date").agg(
-        _all_tons().alias("tons"),
-        F.count("net_weight").alias("trucks"),
-        F.count_if(of_type(S.FRESH)).alias("fresh_trucks"),
-        tons_where(of_type(S.FRESH)).alias("fresh_tons"),
-    ).withColumn("fresh_pct", percent(F.col("fresh_tons"), F.col("tons")))
-
-
-def day_totals(frame):
-    """Day sums of an hour frame. No shuffle: the frame is already placed by day."""
-    names = ("a_count", "a_tons", "b_count", "b_tons", "fresh_tons", "burnt_tons",
-             "all_count", "all_tons", "total_count", "total_tons")
-    return frame.groupBy("report_date").agg(*[F.sum(n).alias(n) for n in names])
+    sums = keep(tickets, predicate).groupBy("report_date").agg(*aggregates({
+        "tons": tons_where(), "trucks": "count(net_weight)",
+        "fresh_trucks": count_where(IS_FRESH), "fresh_tons": tons_where(IS_FRESH),
+    }))
+    return add(sums, {"fresh_pct": percent("fresh_tons", "tons")})
 
 
 def share_panel(tickets, predicate="valid"):
@@ -161,86 +116,65 @@ def share_panel(tickets, predicate="valid"):
     Both levels come from the same daily sums, which are written to the checkpoint folder
     so that the tickets are scanned once; the season row is a global aggregate.
     """
-    daily = settle(keep(tickets, predicate).groupBy("report_date").agg(
-        F.count_if(on_line(S.LINE_A)).alias("a_trucks"),
-        F.count_if(on_line(S.LINE_B)).alias("b_trucks"),
-        tons_where(on_line(S.LINE_A)).alias("a_tons"),
-        tons_where(on_line(S.LINE_B)).alias("b_tons"),
-        tons_where(of_type(S.FRESH)).alias("fresh_tons"),
-        tons_where(of_type(S.BURNT)).alias("burnt_tons"),
-    ))
+    daily = settle(keep(tickets, predicate).groupBy("report_date").agg(*aggregates({
+        "a_trucks": count_where(ON_A), "b_trucks": count_where(ON_B), **LINE_TONS, **TYPE_TONS})))
     names = ("a_tons", "b_tons", "a_trucks", "b_trucks", "fresh_tons", "burnt_tons")
-    season = daily.agg(*[F.sum(n).alias(f"season_{n}") for n in names])
+    season = daily.agg(*aggregates({f"season_{n}": f"sum({n})" for n in names}))
 
-    def share(one, other, prefix=""):
-        part, rest = F.col(prefix + one), F.col(prefix + other)
-        return percent(part, part + rest)
+    def share(one, other):
+        return percent(one, f"({one} + {other})")
 
-    return daily.crossJoin(F.broadcast(season)).select(
-        "report_date",
-        share("fresh_tons", "burnt_tons").alias("fresh_pct"),
-        share("burnt_tons", "fresh_tons").alias("burnt_pct"),
-        share("a_tons", "b_tons", "season_").alias("season_a_tons_pct"),
-        share("b_tons", "a_tons", "season_").alias("season_b_tons_pct"),
-        share("a_trucks", "b_trucks", "season_").alias("season_a_trucks_pct"),
-        share("b_trucks", "a_trucks", "season_").alias("season_b_trucks_pct"),
-        share("fresh_tons", "burnt_tons", "season_").alias("season_fresh_pct"),
-        share("burnt_tons", "fresh_tons", "season_").alias("season_burnt_pct"),
-    )
+    return daily.crossJoin(F.broadcast(season)).selectExpr("report_date", *named({
+        "fresh_pct": share("fresh_tons", "burnt_tons"),
+        "burnt_pct": share("burnt_tons", "fresh_tons"),
+        "season_a_tons_pct": share("season_a_tons", "season_b_tons"),
+        "season_b_tons_pct": share("season_b_tons", "season_a_tons"),
+        "season_a_trucks_pct": share("season_a_trucks", "season_b_trucks"),
+        "season_b_trucks_pct": share("season_b_trucks", "season_a_trucks"),
+        "season_fresh_pct": share("season_fresh_tons", "season_burnt_tons"),
+        "season_burnt_pct": share("season_burnt_tons", "season_fresh_tons"),
+    }))
 
 
 def day_averages(frame):
     """Means over the fixed 24 hours of a day."""
-    totals = day_totals(frame)
-    hours = F.lit(float(S.SLOTS_PER_DAY))
-    return totals.select("report_date", *[
-        (F.col(n).cast("double") / hours).alias(f"avg_{n}")
-        for n in ("a_count", "b_count", "a_tons", "b_tons")
-    ])
-
-
-def summary_columns():
-    """Aggregates over the 24 slots of a day: the executive summary."""
-    tons, slot = F.col("total_tons"), F.col("slot")
-    active = tons > 0
-    return [
-        F.count_if(active).alias("active_hours"),
-        F.sum(tons).alias("day_tons"),
-        # Ties go to the earliest slot.
-        F.max(F.when(active, F.struct(tons.alias("tons"), (-slot).alias("minus_slot")))).alias("_peak"),
-        F.max(F.when(active, F.struct(slot.alias("slot"), tons.alias("tons")))).alias("_latest"),
-    ]
-
-
-def unpack_summary():
-    """Name -> column over `summary_columns`."""
-    peak_slot = -F.col("_peak.minus_slot")
-    hours = F.col("active_hours")
-    return {
-        "peak_slot": peak_slot,
-        "peak_label": F.coalesce(slot_label(peak_slot), F.lit("N/A")),
-        "peak_tons": F.coalesce(F.col("_peak.tons"), zero_tons()),
-        "latest_slot": F.col("_latest.slot"),
-        "latest_label": F.coalesce(slot_label(F.col("_latest.slot")), F.lit("N/A")),
-        "latest_tons": F.coalesce(F.col("_latest.tons"), zero_tons()),
-        "forecast_tons": ratio(F.col("day_tons"), hours) * 24,
-        "forecast_label": forecast_label(hours),
-    }
-
-
-def forecast_label(hours):
+    names = ("a_count", "b_count", "a_tons", "b_tons")
+    sums = frame.groupBy("report_date").agg(*aggregates({n: f"sum({n})" for n in names}))
+    return sums.selectExpr("report_date", *[f"{double(n)} / {S.SLOTS_PER_DAY} AS avg_{n}" for n in names])
+
+
+# Aggregates over the 24 slots of a day; ties of the peak go to the earliest slot.
+SUMMARY = {
+    "active_hours": "count_if(total_tons > 0)",
+    "day_tons": "sum(total_tons)",
+    "peak": "max(IF(total_tons > 0, struct(total_tons AS tons, -slot AS minus_slot), NULL))",
+    "latest": "max(IF(total_tons > 0, struct(slot, total_tons AS tons), NULL))",
+}
+
+
+def forecast_label(hours="active_hours"):
     """How far the run-rate forecast can be trusted; empty before the first ticket."""
-    return (
-        F.when(hours <= 0, "").when(hours < 6, "early").when(hours < 12, "half_day").otherwise("full_day")
-    )
+    return (f"CASE WHEN {hours} <= 0 THEN '' WHEN {hours} < 6 THEN 'early' "
+            f"WHEN {hours} < 12 THEN 'half_day' ELSE 'full_day' END")
+
+
+# Columns over the aggregates of SUMMARY.
+UNPACKED = {
+    "peak_slot": "-peak.minus_slot",
+    "peak_label": f"coalesce({slot_label('(-peak.minus_slot)')}, 'N/A')",
+    "peak_tons": f"coalesce(peak.tons, {ZERO})",
+    "latest_slot": "latest.slot",
+    "latest_label": f"coalesce({slot_label('latest.slot')}, 'N/A')",
+    "latest_tons": f"coalesce(latest.tons, {ZERO})",
+    "forecast_tons": f"{ratio('day_tons', 'active_hours')} * 24",
+    "forecast_label": forecast_label(),
+}
 
 
 def exec_summary(frame):
     """Active hours, peak hour, latest hour and the run-rate forecast per day."""
-    return (
-        frame.groupBy("report_date").agg(*summary_columns())
-        .withColumns(unpack_summary()).drop("_peak", "_latest")
-    )
+    sums = frame.groupBy("report_date").agg(*aggregates(SUMMARY))
+    return sums.selectExpr("report_date", "active_hours", "day_tons", *named(UNPACKED))
 
 
 def range_filter(tickets, start, end):

@@ -1,10 +1,8 @@
 """Short forecasts and the sanity clamp for model predictions."""
 
-from pyspark.sql import Window
-from pyspark.sql import functions as F
-
 from weighyard.functions.codes import code_list
-from weighyard.functions.guards import percent_change
+from weighyard.functions.guards import double, percent_change
+from weighyard.functions.layers import add, named
 
 
 def next_hour_forecast(frame, current_hour=None):
@@ -13,28 +11,23 @@ def next_hour_forecast(frame, current_hour=None):
     Mean of the three plus a third of their rise; the band is 1.96 sample deviations and
     does not go below 0. The first two slots have too little history.
     """
-    day = Window.partitionBy("report_date").orderBy("slot")
-    tail = day.rowsBetween(-2, 0)
-    tons = F.col("total_tons").cast("double")
-    mean = F.sum("total_tons").over(tail).cast("double") / 3
-    rise = (tons - F.lag(tons, 2).over(day)) / 3
-    rows = frame.select(
-        "report_date", "slot",
-        F.count(F.lit(1)).over(tail).alias("_n"),
-        mean.alias("moving_avg"), rise.alias("trend"),
-        F.stddev_samp(tons).over(tail).alias("std_tons"),
-    ).where(F.col("_n") == 3)
+    day = "PARTITION BY report_date ORDER BY slot"
+    tail = f"OVER ({day} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)"
+    tons = double("total_tons")
+    rows = frame.selectExpr("report_date", "slot", *named({
+        "known": f"count(1) {tail}",
+        "moving_avg": f"CAST(sum(total_tons) {tail} AS DOUBLE) / 3",
+        "trend": f"({tons} - lag({tons}, 2) OVER ({day})) / 3",
+        "std_tons": f"stddev_samp({tons}) {tail}",
+    })).where("known = 3")
     if current_hour is not None:
-        rows = rows.where(F.col("slot") == current_hour)
-    predicted, std = F.col("predicted_tons"), F.col("std_tons")
-    return rows.withColumn("predicted_tons", F.col("moving_avg") + F.col("trend")).select(
-        "report_date", F.col("slot").alias("current_hour"),
-        (F.col("slot") + 1).alias("prediction_hour"),
-        "moving_avg", "trend", "predicted_tons", "std_tons",
-        F.greatest(F.lit(0.0), predicted - 1.96 * std).alias("lower"),
-        (predicted + 1.96 * std).alias("upper"),
-        F.when(std < 10, "high").when(std < 20, "medium").otherwise("low").alias("confidence"),
-    )
+        rows = rows.where(f"slot = {current_hour}")
+    return rows.selectExpr(
+        "report_date", "slot AS current_hour", "slot + 1 AS prediction_hour", "moving_avg", "trend",
+        "moving_avg + trend AS predicted_tons", "std_tons",
+        "greatest(0.0D, predicted_tons - 1.96 * std_tons) AS lower",
+        "predicted_tons + 1.96 * std_tons AS upper",
+        "CASE WHEN std_tons < 10 THEN 'high' WHEN std_tons < 20 THEN 'medium' ELSE 'low' END AS confidence")
 
 
 def clamp_prediction(df, tons="tons", fresh="fresh_pct",
@@ -43,59 +36,48 @@ def clamp_prediction(df, tons="tons", fresh="fresh_pct",
 
     Tons outside 0.6 to 1.4 times today and fresh shares outside 0 to 100 are replaced.
     """
-    today, today_fresh = F.col(tons).cast("double"), F.col(fresh).cast("double")
-    raw, raw_fresh = F.col(predicted_tons).cast("double"), F.col(predicted_fresh).cast("double")
-    odd_tons = (raw < 0) | (raw > today * 1.4) | (raw < today * 0.6)
-    odd_fresh = (raw_fresh < 0) | (raw_fresh > 100)
-    placed = df.where(today > 0).withColumns({
-        "clamped_tons": F.when(odd_tons, today).otherwise(raw),
-        "clamped_fresh": F.when(odd_fresh, today_fresh).otherwise(raw_fresh),
-        "adjusted": odd_tons | odd_fresh,
-    }).withColumns({
-        "tons_change_pct": F.greatest(F.lit(-25.0), F.least(
-            F.lit(25.0), percent_change(F.col("clamped_tons"), today))),
-        "fresh_change": F.col("clamped_fresh") - today_fresh,
-    })
-    change, shift = F.col("tons_change_pct"), F.col("fresh_change")
-    return placed.withColumns({
-        "tons_outlook": F.when(F.abs(change) < 3, "steady").when(change > 3, "up").otherwise("down"),
-        "fresh_outlook": F.when(F.abs(shift) < 1.5, "steady").when(shift > 1.5, "better").otherwise("worse"),
-        "confidence": F.when(F.col("adjusted"), "medium").otherwise("high"),
+    odd_tons = f"({predicted_tons} < 0 OR {predicted_tons} > {tons} * 1.4D OR {predicted_tons} < {tons} * 0.6D)"
+    odd_fresh = f"({predicted_fresh} < 0 OR {predicted_fresh} > 100)"
+    return add(df.where(f"{tons} > 0"), {
+        "clamped_tons": double(f"IF({odd_tons}, {tons}, {predicted_tons})"),
+        "clamped_fresh": double(f"IF({odd_fresh}, {fresh}, {predicted_fresh})"),
+        "adjusted": f"{odd_tons} OR {odd_fresh}",
+        "tons_change_pct": f"greatest(-25.0D, least(25.0D, {percent_change('clamped_tons', tons)}))",
+        "fresh_change": f"clamped_fresh - {double(fresh)}",
+        "tons_outlook": "CASE WHEN abs(tons_change_pct) < 3 THEN 'steady' "
+                        "WHEN tons_change_pct > 3 THEN 'up' ELSE 'down' END",
+        "fresh_outlook": "CASE WHEN abs(fresh_change) < 1.5 THEN 'steady' "
+                         "WHEN fresh_change > 1.5 THEN 'better' ELSE 'worse' END",
+        "confidence": "IF(adjusted, 'medium', 'high')",
     })
 
 
 def compare_with_prediction(df, tons="tons", fresh="fresh_pct", predicted_tons="predicted_tons",
                             predicted_fresh="predicted_fresh", good_probability="p_good"):
     """Codes for how a day turned out against its prediction, with what to do about it."""
-    actual, expected = F.col(tons).cast("double"), F.col(predicted_tons)
-    quality, expected_quality = F.col(fresh).cast("double"), F.col(predicted_fresh)
-    good = F.col(good_probability)
-    low_tons = ~(actual > expected * 1.1) & (actual < expected * 0.9)
-    low_fresh = ~(quality > expected_quality + 5) & (quality < expected_quality - 5)
+    high_tons, high_fresh = f"{tons} > {predicted_tons} * 1.1D", f"{fresh} > {predicted_fresh} + 5"
+    low_tons = f"NOT ({high_tons}) AND {tons} < {predicted_tons} * 0.9D"
+    low_fresh = f"{fresh} < {predicted_fresh} - 5"
+    unlikely = f"{good_probability} < 0.3"
     found = code_list(
-        (actual > expected * 1.1, "TONS_ABOVE_PREDICTION"),
-        (low_tons, "TONS_BELOW_PREDICTION"),
-        (quality > expected_quality + 5, "FRESH_ABOVE_PREDICTION"),
-        (low_fresh, "FRESH_BELOW_PREDICTION"),
-        (good > 0.8, "GOOD_DAY_LIKELY"),
-        (good < 0.3, "GOOD_DAY_UNLIKELY"),
-    )
-    todo = code_list(
-        (low_tons, "CHECK_TRANSPORT"), (low_fresh, "CHECK_BURNT_HANDLING"), (good < 0.3, "FIND_CAUSES"))
-    return df.withColumns({
-        "model_findings": F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("NORMAL"))),
-        "model_actions": F.when(F.size(todo) > 0, todo).otherwise(F.array(F.lit("KEEP_STANDARD"))),
+        (high_tons, "TONS_ABOVE_PREDICTION"), (low_tons, "TONS_BELOW_PREDICTION"),
+        (high_fresh, "FRESH_ABOVE_PREDICTION"), (low_fresh, "FRESH_BELOW_PREDICTION"),
+        (f"{good_probability} > 0.8", "GOOD_DAY_LIKELY"), (unlikely, "GOOD_DAY_UNLIKELY"))
+    todo = code_list((low_tons, "CHECK_TRANSPORT"), (low_fresh, "CHECK_BURNT_HANDLING"), (unlikely, "FIND_CAUSES"))
+    return add(df, {
+        "model_findings": f"IF(size({found}) > 0, {found}, array('NORMAL'))",
+        "model_actions": f"IF(size({todo}) > 0, {todo}, array('KEEP_STANDARD'))",
     })
 
 
 def trend_outlook(df, tons="tons", fresh="fresh_pct",
                   predicted_tons="predicted_tons", predicted_fresh="predicted_fresh"):
     """Direction of the next days and how sure it is, from a prediction."""
-    change = percent_change(F.col(predicted_tons), F.col(tons))
-    shift = F.col(predicted_fresh) - F.col(fresh).cast("double")
-    q, s = F.col("outlook_tons_pct"), F.col("outlook_fresh_pp")
-    return df.withColumns({"outlook_tons_pct": change, "outlook_fresh_pp": shift}).withColumns({
-        "outlook": F.when((q > 5) & (s > 2), "up").when((q < -5) | (s < -2), "down").otherwise("flat"),
-        "outlook_confidence": F.when((F.abs(q) < 5) & (F.abs(s) < 2), "high")
-                               .when((F.abs(q) > 15) | (F.abs(s) > 8), "low").otherwise("medium"),
+    q, s = "outlook_tons_pct", "outlook_fresh_pp"
+    return add(df, {
+        q: percent_change(predicted_tons, tons),
+        s: f"{predicted_fresh} - {double(fresh)}",
+        "outlook": f"CASE WHEN {q} > 5 AND {s} > 2 THEN 'up' WHEN {q} < -5 OR {s} < -2 THEN 'down' ELSE 'flat' END",
+        "outlook_confidence": f"CASE WHEN abs({q}) < 5 AND abs({s}) < 2 THEN 'high' "
+                              f"WHEN abs({q}) > 15 OR abs({s}) > 8 THEN 'low' ELSE 'medium' END",
     })

@@ -4,8 +4,9 @@ from pyspark.sql import functions as F
 
 from weighyard import schema as S
 from weighyard.functions.clock import (
-    business_date, seconds_into_hour, slot_label, slot_of,
+    business_date, closed_places, seconds_into_hour, slot_label, slot_of,
 )
+from weighyard.functions.layers import add, aggregates
 from weighyard.functions.predicates import keep
 from weighyard.functions.text import number_in_text
 
@@ -14,26 +15,21 @@ MEASURES = ("a_count", "a_tons", "b_count", "b_tons", "fresh_tons", "burnt_tons"
 TALLY = ("a_count", "a_tons", "b_count", "b_tons", "fresh_tons", "burnt_tons",
          "total_count", "total_tons")
 
+ON_A = f"prod_line = '{S.LINE_A}'"
+ON_B = f"prod_line = '{S.LINE_B}'"
+IS_FRESH = f"cane_type = '{S.FRESH}'"
+IS_BURNT = f"cane_type = '{S.BURNT}'"
+WEIGHT = "CAST(net_weight AS DECIMAL(18,2))"
+ZERO = "CAST(0 AS DECIMAL(28,2))"
 
-def zero_tons():
-    return F.lit(0).cast("decimal(28,2)")
 
-
-def weight():
-    return F.col("net_weight").cast(S.TONS)
-
-
-def on_line(line):
-    return F.col("prod_line") == line
-
-
-def of_type(cane_type):
-    return F.col("cane_type") == cane_type
+def tons_where(condition="true"):
+    """Exact decimal sum of the weights under a condition; 0 where there are none."""
+    return f"coalesce(sum(IF({condition}, {WEIGHT}, NULL)), {ZERO})"
 
 
-def tons_where(condition):
-    """Exact decimal sum of the weights under a condition; 0 where there are none."""
-    return F.coalesce(F.sum(F.when(condition, weight())), zero_tons())
+def count_where(condition="true"):
+    return f"count_if({condition})"
 
 
 def _slot_measures(in_slot):
@@ -42,16 +38,13 @@ def _slot_measures(in_slot):
     The `all_` columns count a ticket whatever its line, and also where it falls between
     the bins of the 'second' mode.
     """
-    return [
-        F.count_if(in_slot & on_line(S.LINE_A)).alias("a_count"),
-        tons_where(in_slot & on_line(S.LINE_A)).alias("a_tons"),
-        F.count_if(in_slot & on_line(S.LINE_B)).alias("b_count"),
-        tons_where(in_slot & on_line(S.LINE_B)).alias("b_tons"),
-        tons_where(in_slot & of_type(S.FRESH)).alias("fresh_tons"),
-        tons_where(in_slot & of_type(S.BURNT)).alias("burnt_tons"),
-        F.count("net_weight").alias("all_count"),
-        F.coalesce(F.sum(weight()), zero_tons()).alias("all_tons"),
-    ]
+    return {
+        "a_count": count_where(f"{in_slot} AND {ON_A}"), "a_tons": tons_where(f"{in_slot} AND {ON_A}"),
+        "b_count": count_where(f"{in_slot} AND {ON_B}"), "b_tons": tons_where(f"{in_slot} AND {ON_B}"),
+        "fresh_tons": tons_where(f"{in_slot} AND {IS_FRESH}"),
+        "burnt_tons": tons_where(f"{in_slot} AND {IS_BURNT}"),
+        "all_count": "count(net_weight)", "all_tons": tons_where(),
+    }
 
 
 def slot_sums(tickets, closed="left", start=None, end=None):
@@ -64,34 +57,22 @@ def slot_sums(tickets, closed="left", start=None, end=None):
 
     With `start` and `end` every day of the range is present, tickets or not.
     """
-    ts = F.col("ts")
-    in_slot = F.lit(True)
+    if closed not in ("left", "second", "both"):
+        raise ValueError(f"unknown bin edge {closed!r}")
+    if (start is None) != (end is None):
+        raise ValueError("give both ends of the range")
+    facts = ("prod_line", "cane_type", "net_weight")
     if closed == "both":
-        on_the_hour = seconds_into_hour(ts) == 0
-        places = F.array_compact(F.array(ts, F.when(on_the_hour, ts - F.expr("INTERVAL 1 HOUR"))))
-        rows = (
-            tickets.withColumn("_place", F.explode(places))
-            .withColumns({"report_date": business_date(F.col("_place")), "slot": slot_of(F.col("_place"))})
-        )
-    elif closed in ("left", "second"):
-        rows = tickets.withColumn("slot", slot_of(ts))
-        if closed == "second":
-            in_slot = seconds_into_hour(ts) <= 3599
+        rows = tickets.selectExpr(f"explode({closed_places()}) AS ts", *facts).selectExpr(
+            f"{business_date()} AS report_date", f"{slot_of()} AS slot", "true AS in_slot", *facts)
     else:
-        raise ValueError(f"unknown bin edge {closed!r}")
-    if start is not None or end is not None:
-        if start is None or end is None:
-            raise ValueError("give both ends of the range")
-        rows = keep(rows, "all", start, end)
-    needed = ["report_date", "slot", "ts", "prod_line", "cane_type", "net_weight"]
-    rows = rows.select(*needed)
+        inside = f"{seconds_into_hour()} <= 3599" if closed == "second" else "true"
+        rows = tickets.selectExpr("report_date", f"{slot_of()} AS slot", f"{inside} AS in_slot", *facts)
     if start is not None:
-        spine = rows.sparkSession.range(1).select(
-            F.explode(F.sequence(F.to_date(F.lit(str(start))), F.to_date(F.lit(str(end))))).alias("report_date"),
-            F.lit(0).alias("slot"),
-        )
-        rows = rows.unionByName(spine, allowMissingColumns=True)
-    return rows.groupBy("report_date", "slot").agg(*_slot_measures(in_slot))
+        days = rows.sparkSession.range(1).selectExpr(
+            f"explode(sequence(DATE'{start}', DATE'{end}')) AS report_date", "0 AS slot")
+        rows = keep(rows, "all", start, end).unionByName(days, allowMissingColumns=True)
+    return rows.groupBy("report_date", "slot").agg(*aggregates(_slot_measures("in_slot")))
 
 
 def fill_slots(sums):
@@ -100,28 +81,23 @@ def fill_slots(sums):
     A day has at most 24 rows here, so gathering them is bounded. The result stays
     partitioned by report_date: later grouping or windows by day need no new shuffle.
     """
-    gathered = sums.groupBy("report_date").agg(
-        F.map_from_entries(F.collect_list(F.struct("slot", F.struct(*MEASURES)))).alias("_by_slot")
-    )
-    placed = gathered.select(
-        "report_date",
-        F.explode(F.transform(
-            F.sequence(F.lit(0), F.lit(S.SLOTS_PER_DAY - 1)),
-            lambda i: F.struct(i.alias("slot"), F.try_element_at("_by_slot", i).alias("_m")),
-        )).alias("_row"),
-    )
-    zero = {name: F.lit(0).cast("bigint") if name.endswith("count") else zero_tons() for name in MEASURES}
-    return placed.select(
+    gathered = sums.groupBy("report_date").agg(*aggregates({
+        "by_slot": f"map_from_entries(collect_list(struct(slot, struct({', '.join(MEASURES)}))))",
+    }))
+    placed = gathered.selectExpr(
         "report_date",
-        F.col("_row.slot").alias("slot"),
-        *[F.coalesce(F.col(f"_row._m.{name}"), zero[name]).alias(name) for name in MEASURES],
+        f"inline(transform(sequence(0, {S.SLOTS_PER_DAY - 1}), "
+        "i -> named_struct('slot', i, 'm', try_element_at(by_slot, i))))",
     )
+    zero = {name: "0L" if name.endswith("count") else ZERO for name in MEASURES}
+    return placed.selectExpr(
+        "report_date", "slot", *[f"coalesce(m.{name}, {zero[name]}) AS {name}" for name in MEASURES])
 
 
 def _with_totals(rows):
-    return rows.withColumns({
-        "total_count": F.col("a_count") + F.col("b_count"),
-        "total_tons": (F.col("a_tons") + F.col("b_tons")).cast("decimal(28,2)"),
+    return add(rows, {
+        "total_count": "a_count + b_count",
+        "total_tons": "CAST(a_tons + b_tons AS DECIMAL(28,2))",
     })
 
 
@@ -137,55 +113,41 @@ def hourly_tally(tickets, predicate="valid", closed="left", start=None, end=None
     Tickets on other lines are in the fresh and burnt tons but not in the totals.
     """
     frame = hour_frame(tickets, predicate, closed, start, end)
-    return frame.select("report_date", "slot", slot_label(F.col("slot")).alias("time_label"), *TALLY)
+    return frame.selectExpr("report_date", "slot", f"{slot_label()} AS time_label", *TALLY)
 
 
 def queue_tally(tickets, predicate="valid", closed="both"):
     """Desk variant: closed hours on the time stamp, trucks counted by queue number."""
-    queued = keep(tickets, predicate).where(on_line(S.LINE_A) | on_line(S.LINE_B)).withColumns({
-        "_queued": F.col("truck_q").try_cast("decimal(18,2)").isNotNull(),
-    })
-    ts = F.col("ts")
-    if closed == "both":
-        on_the_hour = seconds_into_hour(ts) == 0
-        places = F.array_compact(F.array(ts, F.when(on_the_hour, ts - F.expr("INTERVAL 1 HOUR"))))
-        queued = queued.withColumn("_place", F.explode(places))
-    else:
-        queued = queued.withColumn("_place", ts)
-    queued = queued.withColumns({
-        "report_date": business_date(F.col("_place")), "slot": slot_of(F.col("_place")),
-    })
-    sums = queued.groupBy("report_date", "slot").agg(
-        F.count_if(on_line(S.LINE_A) & F.col("_queued")).alias("a_count"),
-        tons_where(on_line(S.LINE_A)).alias("a_tons"),
-        F.count_if(on_line(S.LINE_B) & F.col("_queued")).alias("b_count"),
-        tons_where(on_line(S.LINE_B)).alias("b_tons"),
-    )
-    spare = {n: F.lit(0).cast("bigint") if n.endswith("count") else zero_tons()
-             for n in ("fresh_tons", "burnt_tons", "all_count", "all_tons")}
-    filled = _with_totals(fill_slots(sums.withColumns(spare)))
-    return filled.select(
-        "report_date", "slot", slot_label(F.col("slot")).alias("time_label"),
-        "a_count", "a_tons", "b_count", "b_tons", "total_count", "total_tons",
-    )
+    places = closed_places() if closed == "both" else "array(ts)"
+    rows = keep(tickets, predicate).where(f"{ON_A} OR {ON_B}").selectExpr(
+        f"explode({places}) AS place", "prod_line", "net_weight",
+        "try_cast(truck_q AS DECIMAL(18,2)) IS NOT NULL AS queued",
+    ).selectExpr(f"{business_date('place')} AS report_date", f"{slot_of('place')} AS slot",
+                 "prod_line", "net_weight", "queued")
+    sums = rows.groupBy("report_date", "slot").agg(*aggregates({
+        "a_count": count_where(f"{ON_A} AND queued"), "a_tons": tons_where(ON_A),
+        "b_count": count_where(f"{ON_B} AND queued"), "b_tons": tons_where(ON_B),
+        "fresh_tons": ZERO, "burnt_tons": ZERO, "all_count": "0L", "all_tons": ZERO,
+    }))
+    return _with_totals(fill_slots(sums)).selectExpr(
+        "report_date", "slot", f"{slot_label()} AS time_label",
+        "a_count", "a_tons", "b_count", "b_tons", "total_count", "total_tons")
 
 
 def with_day_total(tally):
     """Append one total row per day (slot NULL, label 'TOTAL')."""
-    sums = [F.sum(c).alias(c) for c in TALLY]
     grouped = tally.groupingSets(
         [["report_date", "slot"], ["report_date"]], "report_date", "slot"
-    ).agg(*sums, F.grouping("slot").alias("is_total"))
-    label = F.when(F.col("is_total") == 1, "TOTAL").otherwise(slot_label(F.col("slot")))
-    return grouped.select("report_date", "slot", label.alias("time_label"), *TALLY,
-                          (F.col("is_total") == 1).alias("is_total"))
+    ).agg(*aggregates({**{c: f"sum({c})" for c in TALLY}, "is_total": "grouping(slot) = 1"}))
+    label = f"IF(is_total, 'TOTAL', {slot_label()}) AS time_label"
+    return grouped.selectExpr("report_date", "slot", label, *TALLY, "is_total")
 
 
 def hour_efficiency(tally, high=100, normal=50):
     """Label every hour: > high, > normal, > 0, or nothing weighed."""
-    tons = F.col("total_tons")
-    label = F.when(tons > high, "high").when(tons > normal, "normal").when(tons > 0, "low").otherwise("none")
-    return tally.withColumn("efficiency", label)
+    return add(tally, {"efficiency": (
+        f"CASE WHEN total_tons > {high} THEN 'high' WHEN total_tons > {normal} THEN 'normal' "
+        "WHEN total_tons > 0 THEN 'low' ELSE 'none' END")})
 
 
 def heatmap(tickets, predicate="printed", start=None, end=None):
@@ -193,15 +155,14 @@ def heatmap(tickets, predicate="printed", start=None, end=None):
     hours = list(range(24))
     wide = (
         keep(tickets, predicate, start, end)
-        .select("report_date", F.hour("ts").alias("clock_hour"), weight().alias("net_weight"))
+        .selectExpr("report_date", "hour(ts) AS clock_hour", f"{WEIGHT} AS net_weight")
         .groupBy("report_date").pivot("clock_hour", hours).agg(F.sum("net_weight"))
     )
-    cells = [F.coalesce(F.col(f"`{h}`"), zero_tons()).alias(f"h{h:02d}") for h in hours]
-    return wide.select("report_date", *cells)
+    return wide.selectExpr("report_date", *[f"coalesce(`{h}`, {ZERO}) AS h{h:02d}" for h in hours])
 
 
 def sorted_table(df, column, descending=False):
     """Order by a column the way a grid does: by number where its text is a number."""
-    text = F.col(column).cast("string")
-    keys = [number_in_text(text), text]
+    text = f"CAST({column} AS STRING)"
+    keys = [F.expr(number_in_text(text)), F.expr(text)]
     return df.orderBy(*[k.desc_nulls_last() if descending else k.asc_nulls_last() for k in keys])

@@ -6,12 +6,10 @@ pick their columns, and Catalyst drops the aggregates nobody asked for.
 
 from itertools import combinations
 
-from pyspark.sql import Window
-from pyspark.sql import functions as F
-
 from weighyard.functions.clock import slot_label
 from weighyard.functions.codes import collect_findings, explode_findings, finding
-from weighyard.functions.guards import percent, percent_change, ratio
+from weighyard.functions.guards import double, percent, percent_change, ratio
+from weighyard.functions.layers import add, aggregates, named
 from weighyard.functions.student import slope_p_value
 
 SERIES = ("a_tons", "b_tons", "fresh_tons", "burnt_tons", "total_tons")
@@ -23,194 +21,154 @@ def _pair_name(x, y):
 
 
 def _sums(high, medium, low):
-    tons, trucks = F.col("total_tons"), F.col("total_count")
-    return [
-        F.count(F.lit(1)).alias("n"),
-        F.sum(tons).alias("tons"),
-        F.sum(trucks).alias("trucks"),
-        F.sum("a_tons").alias("a_tons"),
-        F.sum("b_tons").alias("b_tons"),
-        F.count_if(tons > 0).alias("active_hours"),
-        F.max(tons).alias("max_tons"),
-        F.min(tons).alias("min_tons"),
-        F.count_if(tons >= high).alias("high_hours"),
-        F.count_if((tons >= medium) & (tons < high)).alias("medium_hours"),
-        F.count_if((tons >= low) & (tons < medium)).alias("low_hours"),
-        F.count_if(tons < low).alias("idle_hours"),
-    ]
+    return {
+        "n": "count(1)", "tons": "sum(total_tons)", "trucks": "sum(total_count)",
+        "a_sum": "sum(a_tons)", "b_sum": "sum(b_tons)",
+        "active_hours": "count_if(total_tons > 0)",
+        "max_tons": "max(total_tons)", "min_tons": "min(total_tons)",
+        "high_hours": f"count_if(total_tons >= {high})",
+        "medium_hours": f"count_if(total_tons >= {medium} AND total_tons < {high})",
+        "low_hours": f"count_if(total_tons >= {low} AND total_tons < {medium})",
+        "idle_hours": f"count_if(total_tons < {low})",
+    }
 
 
 def _moments():
-    tons, slot = F.col("total_tons").cast("double"), F.col("slot").cast("double")
-    return [
-        F.regr_slope(tons, slot).alias("_slope"),
-        F.regr_intercept(tons, slot).alias("intercept"),
-        F.corr(tons, slot).alias("_r"),
-        F.stddev_pop(tons).alias("std_pop"),
-        F.var_pop(tons).alias("var_pop"),
-        F.stddev_samp(tons).alias("std_samp"),
-        F.percentile(tons, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"),
-        F.sort_array(F.collect_list(F.struct("slot", "total_tons"))).alias("hours"),
-        F.max(F.struct(F.col("total_tons"), (-F.col("slot")).alias("minus_slot"))).alias("_best"),
-    ]
+    tons, slot = double("total_tons"), double("slot")
+    return {
+        "raw_slope": f"regr_slope({tons}, {slot})", "intercept": f"regr_intercept({tons}, {slot})",
+        "raw_r": f"corr({tons}, {slot})",
+        "std_pop": f"stddev_pop({tons})", "var_pop": f"var_pop({tons})", "std_samp": f"stddev_samp({tons})",
+        "quartiles": f"percentile({tons}, array(0.25, 0.5, 0.75))",
+        "hours": "array_sort(collect_list(struct(slot, total_tons)))",
+        "best": "max(struct(total_tons AS tons, -slot AS minus_slot))",
+    }
 
 
 def _correlations():
-    return [
-        F.corr(F.col(x).cast("double"), F.col(y).cast("double")).alias(_pair_name(x, y))
-        for x, y in PAIRS
-    ]
-
-
-def _half_mean(first):
-    """Mean tons of the slots before or from the middle of the day's rows."""
-    half = F.floor(F.col("n") / 2).cast("int")
-    size = half if first else F.col("n").cast("int") - half
-    begin = F.lit(1) if first else half + 1
-    part = F.slice("hours", begin, size)
-    total = F.aggregate(
-        part, F.lit(0).cast("decimal(38,2)"),
-        lambda acc, h: (acc + h["total_tons"]).cast("decimal(38,2)"))
-    return ratio(total, size)
+    return {_pair_name(x, y): f"corr({double(x)}, {double(y)})" for x, y in PAIRS}
 
 
-def _derived():
-    """Columns over the aggregates, in the order they build on each other."""
-    mean = ratio(F.col("tons"), F.col("n"))
-    first = {
-        "mean_tons": mean,
-        "q25": F.col("_q")[0], "q50": F.col("_q")[1], "q75": F.col("_q")[2],
-        "slope": F.coalesce(F.col("_slope"), F.lit(0.0)),
-        "r": F.coalesce(F.col("_r"), F.lit(0.0)),
-        "p_value": slope_p_value(F.col("_r"), F.col("n")),
-        "first_half_avg": _half_mean(True),
-        "second_half_avg": _half_mean(False),
-        "best_slot": -F.col("_best.minus_slot"),
-        "best_tons": F.col("_best.total_tons"),
-        "efficiency_ratio": F.col("active_hours") / F.lit(24.0),
-        "tons_per_truck": ratio(F.col("tons"), F.col("trucks")),
-        "balance_ratio": ratio(F.col("a_tons"), F.col("b_tons")),
-    }
-    slope, r = F.col("slope"), F.abs(F.col("r"))
-    low = F.col("q25") - 1.5 * F.col("iqr")
-    high = F.col("q75") + 1.5 * F.col("iqr")
-    second = {
-        "iqr": F.col("q75") - F.col("q25"),
-        "cv_pct": percent(F.col("std_pop"), F.col("mean_tons")),
-        "change_pct": percent_change(F.col("second_half_avg"), F.col("first_half_avg")),
-        "direction": F.when(slope > 0.5, "increasing").when(slope < -0.5, "decreasing").otherwise("stable"),
-        "strength": F.when(F.abs(slope) <= 0.5, "weak").when(r > 0.7, "strong").otherwise("moderate"),
-        "balance": F.when(F.col("balance_ratio").between(0.8, 1.2), "balanced").otherwise("unbalanced"),
-        "peak_slots": _slots(lambda h: h["total_tons"].cast("double") >= F.col("q75")),
-        "efficiency_score": F.least(F.lit(100.0), F.col("efficiency_ratio") * 100),
-        "consistency_score": F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100 - F.when(
-            F.col("mean_tons") > 0, percent(F.col("std_samp"), F.col("mean_tons"))).otherwise(100.0))),
-        "productivity_score": F.least(F.lit(100.0), F.col("tons_per_truck") / 10 * 100),
-        "balance_score": F.when(
-            F.col("a_tons") + F.col("b_tons") != 0,
-            F.greatest(F.lit(0.0), 100 - F.abs(
-                ratio(F.col("a_tons"), F.col("a_tons") + F.col("b_tons")) - 0.5) * 200),
-        ).otherwise(0.0),
-    }
-    cv = F.col("cv_pct")
-    third = {
-        "outlier_slots": _slots(lambda h: (h["total_tons"].cast("double") < low)
-                                | (h["total_tons"].cast("double") > high)),
-        "peak_runs": _runs(F.col("peak_slots")),
-        "stability": F.when(cv < 20, "very_stable").when(cv < 40, "stable")
-                      .when(cv < 60, "moderate").otherwise("unstable"),
-        "overall_index": (F.col("efficiency_score") * 0.3 + F.col("consistency_score") * 0.25
-                          + F.col("productivity_score") * 0.25 + F.col("balance_score") * 0.2),
-    }
-    index = F.col("overall_index")
-    fourth = {
-        "level": F.when(index >= 80, "excellent").when(index >= 70, "good")
-                  .when(index >= 60, "fair").when(index >= 50, "poor").otherwise("very_poor"),
-    }
-    return first, second, third, fourth
+def _mean_of(rows, size):
+    """Mean tons of a slice of the day's hours."""
+    total = f"aggregate({rows}, CAST(0 AS DECIMAL(38,2)), (acc, h) -> CAST(acc + h.total_tons AS DECIMAL(38,2)))"
+    return ratio(total, size)
 
 
 def _slots(test):
-    return F.transform(F.filter("hours", test), lambda h: h["slot"])
-
-
-def _runs(slots):
-    """Runs of at least two neighbouring slots, each as the list of its slots.
-
-    A run starts where the slot before is missing and the next is present, and ends the
-    other way round; starts and ends pair up in order.
-    """
-    def has(slot):
-        return F.array_contains(slots, slot)
-
-    starts = F.filter(slots, lambda s: ~has(s - 1) & has(s + 1))
-    ends = F.filter(slots, lambda s: has(s - 1) & ~has(s + 1))
-    return F.zip_with(starts, ends, lambda a, b: F.sequence(a, b))
+    """The slots whose tons (t) pass the test."""
+    return f"transform(filter(hours, h -> {test.replace('t ', double('h.total_tons') + ' ')}), h -> h.slot)"
+
+
+# Runs of at least two neighbouring peak slots, each as the list of its slots: a run starts
+# where the slot before is missing and the next is present, and ends the other way round;
+# starts and ends pair up in order.
+_RUNS = (
+    "zip_with("
+    "filter(peak_slots, s -> NOT array_contains(peak_slots, s - 1) AND array_contains(peak_slots, s + 1)), "
+    "filter(peak_slots, s -> array_contains(peak_slots, s - 1) AND NOT array_contains(peak_slots, s + 1)), "
+    "(a, b) -> sequence(a, b))"
+)
+
+_HALF = "CAST(n DIV 2 AS INT)"
+
+# Layers of columns over the aggregates; each layer reads the ones before.
+_BASIC = {
+    "mean_tons": ratio("tons", "n"),
+    "q25": "quartiles[0]", "q50": "quartiles[1]", "q75": "quartiles[2]",
+    "slope": "coalesce(raw_slope, 0.0D)", "r": "coalesce(raw_r, 0.0D)",
+    "p_value": slope_p_value("raw_r", "n"),
+    "first_half_avg": _mean_of(f"slice(hours, 1, {_HALF})", _HALF),
+    "second_half_avg": _mean_of(f"slice(hours, {_HALF} + 1, CAST(n AS INT) - {_HALF})", f"(n - {_HALF})"),
+    "best_slot": "-best.minus_slot", "best_tons": "best.tons",
+    "efficiency_ratio": "active_hours / 24.0D",
+    "tons_per_truck": ratio("tons", "trucks"),
+    "balance_ratio": ratio("a_sum", "b_sum"),
+}
+_SHAPE = {
+    "iqr": "q75 - q25",
+    "cv_pct": percent("std_pop", "mean_tons"),
+    "change_pct": percent_change("second_half_avg", "first_half_avg"),
+    "direction": "CASE WHEN slope > 0.5 THEN 'increasing' WHEN slope < -0.5 THEN 'decreasing' ELSE 'stable' END",
+    "strength": "CASE WHEN abs(slope) <= 0.5 THEN 'weak' WHEN abs(r) > 0.7 THEN 'strong' ELSE 'moderate' END",
+    "balance": "IF(balance_ratio BETWEEN 0.8 AND 1.2, 'balanced', 'unbalanced')",
+    "peak_slots": _slots("t >= q75"),
+    "efficiency_score": "least(100.0D, efficiency_ratio * 100)",
+    "consistency_score": "greatest(0.0D, least(100.0D, 100 - "
+                         f"IF(mean_tons > 0, {percent('std_samp', 'mean_tons')}, 100.0D)))",
+    "productivity_score": "least(100.0D, tons_per_truck / 10 * 100)",
+    "balance_score": "IF(a_sum + b_sum = 0, 0.0D, "
+                     f"greatest(0.0D, 100 - abs({ratio('a_sum', '(a_sum + b_sum)')} - 0.5) * 200))",
+}
+_LABELS = {
+    "outlier_slots": _slots("t < q25 - 1.5 * iqr OR t > q75 + 1.5 * iqr"),
+    "peak_runs": _RUNS,
+    "stability": "CASE WHEN cv_pct < 20 THEN 'very_stable' WHEN cv_pct < 40 THEN 'stable' "
+                 "WHEN cv_pct < 60 THEN 'moderate' ELSE 'unstable' END",
+    "overall_index": "efficiency_score * 0.3 + consistency_score * 0.25 "
+                     "+ productivity_score * 0.25 + balance_score * 0.2",
+}
+_LEVEL = {
+    "level": "CASE WHEN overall_index >= 80 THEN 'excellent' WHEN overall_index >= 70 THEN 'good' "
+             "WHEN overall_index >= 60 THEN 'fair' WHEN overall_index >= 50 THEN 'poor' ELSE 'very_poor' END",
+}
 
 
 def battery(frame, high=100, medium=50, low=20):
     """One wide row of statistics per day. Adds no shuffle to an hour frame."""
-    wide = frame.groupBy("report_date").agg(*_sums(high, medium, low), *_moments(), *_correlations())
-    for step in _derived():
-        wide = wide.withColumns(step)
+    wide = frame.groupBy("report_date").agg(
+        *aggregates({**_sums(high, medium, low), **_moments(), **_correlations()}))
+    for layer in (_BASIC, _SHAPE, _LABELS, _LEVEL):
+        wide = add(wide, layer)
     return wide
 
 
 def hourly_metrics(wide):
-    return wide.select(
-        "report_date", "tons", "trucks", "active_hours",
-        (F.col("tons").cast("double") / 24).alias("tons_per_hour"),
-        ratio(F.col("tons"), F.col("active_hours")).alias("tons_per_active_hour"),
-        "tons_per_truck", "max_tons", "min_tons",
-        "high_hours", "medium_hours", "low_hours", "idle_hours", "efficiency_ratio",
-    )
+    return wide.selectExpr(
+        "report_date", "tons", "trucks", "active_hours", f"{double('tons')} / 24 AS tons_per_hour",
+        f"{ratio('tons', 'active_hours')} AS tons_per_active_hour", "tons_per_truck", "max_tons", "min_tons",
+        "high_hours", "medium_hours", "low_hours", "idle_hours", "efficiency_ratio")
 
 
 def hourly_trend(wide):
     """Least-squares line of tons on the slot; days with fewer than 3 rows are dropped."""
-    return wide.where(F.col("n") >= 3).select(
+    return wide.where("n >= 3").select(
         "report_date", "direction", "strength", "slope", "intercept", "r", "p_value",
         "change_pct", "first_half_avg", "second_half_avg")
 
 
 def hourly_variability(wide):
     """Population deviation, quartiles and the stability label."""
-    return wide.where(F.col("n") >= 2).select(
+    return wide.where("n >= 2").select(
         "report_date", "mean_tons", "std_pop", "var_pop", "cv_pct",
         "q25", "q50", "q75", "iqr", "stability")
 
 
 def hourly_outliers(wide):
     """Slots outside the quartile fences (1.5 times the interquartile range)."""
-    return wide.select("report_date", F.size("outlier_slots").alias("outlier_count"), "outlier_slots")
+    return wide.selectExpr("report_date", "size(outlier_slots) AS outlier_count", "outlier_slots")
 
 
 def peak_periods(wide):
     """Slots at or above the upper quartile and the best slot (ties: the earliest)."""
-    return wide.where(F.col("n") >= 3).select(
-        "report_date", F.col("q75").alias("threshold"),
-        F.size("peak_slots").alias("peak_count"), "peak_slots",
-        ratio(F.size("peak_slots"), F.col("n")).alias("peak_ratio"),
-        "best_slot", slot_label(F.col("best_slot")).alias("best_label"), "best_tons")
+    return wide.where("n >= 3").selectExpr(
+        "report_date", "q75 AS threshold", "size(peak_slots) AS peak_count", "peak_slots",
+        f"{ratio('size(peak_slots)', 'n')} AS peak_ratio",
+        "best_slot", f"{slot_label('best_slot')} AS best_label", "best_tons")
 
 
 def peak_runs(wide):
     """One row per run of at least two neighbouring peak slots."""
-    run = F.col("_run")
-    return wide.select("report_date", F.explode("peak_runs").alias("_run")).select(
-        "report_date", run[0].alias("first_slot"),
-        F.element_at(run, -1).alias("last_slot"), F.size(run).alias("length"))
+    return wide.selectExpr("report_date", "explode(peak_runs) AS run").selectExpr(
+        "report_date", "run[0] AS first_slot", "element_at(run, -1) AS last_slot", "size(run) AS length")
 
 
 def hourly_correlation(wide):
     """Long form of the correlation matrix (each pair once); with a constant it is 0."""
-    cells = [
-        F.struct(F.lit(x).alias("series"), F.lit(y).alias("other"),
-                 F.coalesce(F.col(_pair_name(x, y)), F.lit(0.0)).alias("corr"))
-        for x, y in PAIRS
-    ]
-    return wide.where(F.col("n") >= 4).select(
-        "report_date", "balance_ratio", "balance", F.inline(F.array(*cells)))
+    cells = ", ".join(
+        f"named_struct('series', '{x}', 'other', '{y}', 'corr', coalesce({_pair_name(x, y)}, 0.0D))"
+        for x, y in PAIRS)
+    return wide.where("n >= 4").selectExpr("report_date", "balance_ratio", "balance", f"inline(array({cells}))")
 
 
 def performance_index_hourly(wide):
@@ -218,78 +176,65 @@ def performance_index_hourly(wide):
                        "productivity_score", "balance_score", "overall_index", "level")
 
 
-def insight_findings():
-    """What the day's statistics say; a moderate stability is not mentioned."""
-    stability = F.col("stability")
-    return collect_findings(
-        finding(F.lit(True), "ACTIVE_HOURS", F.col("active_hours")),
-        finding(F.col("tons") > 0, "TONS_PER_HOUR", F.col("tons").cast("double") / 24),
-        finding(F.lit(True), F.concat(F.lit("TREND_"), F.upper("direction")),
-                F.when(F.col("direction") == "increasing", F.col("change_pct"))
-                 .when(F.col("direction") == "decreasing", F.abs("change_pct"))),
-        finding(stability != "moderate", F.concat(F.lit("STABILITY_"), F.upper(stability)), F.col("cv_pct")),
-        finding(F.lit(True), "BEST_HOUR", F.col("best_tons")),
-        finding(F.lit(True), F.concat(F.lit("INDEX_"), F.upper("level")), F.col("overall_index")),
-    )
-
-
-def recommendation_findings():
-    few_peaks = F.size("peak_slots")
-    return collect_findings(
-        finding(F.col("efficiency_ratio") < 0.5, "EFFICIENCY", F.col("efficiency_ratio"), priority="high"),
-        finding(F.col("stability") == "unstable", "STABILITY", F.col("cv_pct"), priority="medium"),
-        finding(F.col("balance") == "unbalanced", "BALANCE", F.col("balance_ratio"), priority="medium"),
-        finding(few_peaks < 6, "PEAK_PERFORMANCE", few_peaks, priority="low"),
-    )
+# What the day's statistics say; a moderate stability is not mentioned.
+INSIGHTS = collect_findings(
+    finding("true", "ACTIVE_HOURS", "active_hours"),
+    finding("tons > 0", "TONS_PER_HOUR", f"{double('tons')} / 24"),
+    finding("true", "concat('TREND_', upper(direction))",
+            "CASE direction WHEN 'increasing' THEN change_pct WHEN 'decreasing' THEN abs(change_pct) END"),
+    finding("stability <> 'moderate'", "concat('STABILITY_', upper(stability))", "cv_pct"),
+    finding("true", "BEST_HOUR", "best_tons"),
+    finding("true", "concat('INDEX_', upper(level))", "overall_index"),
+)
+RECOMMENDATIONS = collect_findings(
+    finding("efficiency_ratio < 0.5", "EFFICIENCY", "efficiency_ratio", priority="high"),
+    finding("stability = 'unstable'", "STABILITY", "cv_pct", priority="medium"),
+    finding("balance = 'unbalanced'", "BALANCE", "balance_ratio", priority="medium"),
+    finding("size(peak_slots) < 6", "PEAK_PERFORMANCE", "size(peak_slots)", priority="low"),
+)
 
 
 def hourly_insights(wide):
-    return explode_findings(wide.select("report_date", insight_findings().alias("found")), "found")
+    return explode_findings(wide, INSIGHTS)
 
 
 def hourly_recommendations(wide):
-    return explode_findings(wide.select("report_date", recommendation_findings().alias("found")), "found")
+    return explode_findings(wide, RECOMMENDATIONS)
 
 
 def cumulative(frame):
     """Running tons over the day."""
-    so_far = Window.partitionBy("report_date").orderBy("slot").rowsBetween(Window.unboundedPreceding, 0)
+    over = "OVER (PARTITION BY report_date ORDER BY slot ROWS UNBOUNDED PRECEDING)"
     names = ("a_tons", "b_tons", "fresh_tons", "burnt_tons")
-    return frame.select("report_date", "slot", *[F.sum(n).over(so_far).alias(f"cum_{n}") for n in names])
+    return frame.selectExpr("report_date", "slot", *[f"sum({n}) {over} AS cum_{n}" for n in names])
 
 
 def moving_avg(frame):
     """Centred mean of three slots; NULL at both ends of the day."""
-    around = Window.partitionBy("report_date").orderBy("slot").rowsBetween(-1, 1)
-    total = F.sum("total_tons").over(around).cast("double")
-    full = F.count(F.lit(1)).over(around) == 3
-    return frame.select("report_date", "slot", "total_tons", F.when(full, total / 3).alias("moving_avg"))
+    over = "OVER (PARTITION BY report_date ORDER BY slot ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)"
+    return frame.selectExpr(
+        "report_date", "slot", "total_tons",
+        f"IF(count(1) {over} = 3, CAST(sum(total_tons) {over} AS DOUBLE) / 3, NULL) AS moving_avg")
 
 
 def range_comparison(wide):
     """One row over all days of the battery: means, best and worst day (ties: earliest)."""
-    day, index = F.col("report_date"), F.col("overall_index")
-    age = F.datediff(F.lit("1970-01-01").cast("date"), day)
-    best = F.max(F.struct(index.alias("index"), age.alias("age"), day.alias("day"))).alias("_best")
-    worst = F.min(F.struct(index.alias("index"), (-age).alias("age"), day.alias("day"))).alias("_worst")
-    return wide.agg(
-        F.count(F.lit(1)).alias("days"), F.avg(index).alias("avg_index"),
-        F.avg("efficiency_ratio").alias("avg_efficiency_ratio"), best, worst,
-    ).select(
-        "days",
-        F.coalesce("avg_index", F.lit(0.0)).alias("avg_index"),
-        F.coalesce("avg_efficiency_ratio", F.lit(0.0)).alias("avg_efficiency_ratio"),
-        F.col("_best.day").alias("best_day"), F.col("_best.index").alias("best_index"),
-        F.col("_worst.day").alias("worst_day"), F.col("_worst.index").alias("worst_index"),
-    )
+    age = "datediff(DATE'1970-01-01', report_date)"
+    return wide.agg(*aggregates({
+        "days": "count(1)",
+        "avg_index": "coalesce(avg(overall_index), 0.0D)",
+        "avg_efficiency_ratio": "coalesce(avg(efficiency_ratio), 0.0D)",
+        "best": f"max(struct(overall_index AS index, {age} AS age, report_date AS day))",
+        "worst": f"min(struct(overall_index AS index, -{age} AS age, report_date AS day))",
+    })).selectExpr("days", "avg_index", "avg_efficiency_ratio", *named({
+        "best_day": "best.day", "best_index": "best.index",
+        "worst_day": "worst.day", "worst_index": "worst.index",
+    }))
 
 
 def best_worst_day(wide):
     """The best and the worst day as two labelled rows."""
-    summary = range_comparison(wide)
-    rows = F.array(*[
-        F.struct(F.lit(kind).alias("kind"), F.col(f"{kind}_day").alias("report_date"),
-                 F.col(f"{kind}_index").alias("overall_index"))
-        for kind in ("best", "worst")
-    ])
-    return summary.select(F.inline(rows))
+    rows = ", ".join(
+        f"named_struct('kind', '{kind}', 'report_date', {kind}_day, 'overall_index', {kind}_index)"
+        for kind in ("best", "worst"))
+    return range_comparison(wide).selectExpr(f"inline(array({rows}))")

@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from weighyard.functions.codes import text_array
+
 # Persona -> headline colour, insight codes, focus codes.
 PERSONAS = {
     "CRITICAL": ("danger",
@@ -65,11 +67,7 @@ def persona_profile(days):
     return days.join(F.broadcast(persona_table(days.sparkSession)), "persona", "left")
 
 
-def by_persona(values, default=None):
-    """Expression form of a lookup: the value for the row's persona."""
-    chain = None
-    for name, value in values.items():
-        chosen = F.array(*[F.lit(v) for v in value]) if isinstance(value, tuple) else F.lit(value)
-        hit = F.col("persona") == name
-        chain = F.when(hit, chosen) if chain is None else chain.when(hit, chosen)
-    return chain if default is None else chain.otherwise(default)
+def by_persona(values):
+    """Lookup as an expression: the list of codes for the row's persona."""
+    cases = " ".join(f"WHEN '{name}' THEN {text_array(codes)}" for name, codes in values.items())
+    return f"CASE persona {cases} ELSE {text_array(())} END"

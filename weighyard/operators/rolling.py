@@ -5,22 +5,21 @@ looks back at it and the copies are summed there. That is one shuffle with parti
 aggregation, it needs no global ordering, and no task ever holds the whole history.
 """
 
-from pyspark.sql import functions as F
-
-from weighyard import schema as S
 from weighyard.functions.guards import percent, percent_change, ratio
+from weighyard.functions.layers import add, aggregates, named
 from weighyard.functions.predicates import keep
-from weighyard.operators.hourly import of_type, tons_where, weight, zero_tons
+from weighyard.operators.hourly import IS_FRESH, ZERO, tons_where
 from weighyard.plans.joins import lookup_join
 
+WEEK = (1, 7)
+WEEK_BEFORE = (8, 14)
+FORTNIGHT = (1, 14)
+
 
 def ticket_days(tickets, predicate="valid"):
     """Per day: tons, fresh tons, tickets. The only shuffle of ticket-derived rows."""
-    return keep(tickets, predicate).groupBy("report_date").agg(
-        F.coalesce(F.sum(weight()), zero_tons()).alias("tons"),
-        tons_where(of_type(S.FRESH)).alias("fresh_tons"),
-        F.count(F.lit(1)).alias("tickets"),
-    )
+    return keep(tickets, predicate).groupBy("report_date").agg(*aggregates({
+        "tons": tons_where(), "fresh_tons": tons_where(IS_FRESH), "tickets": "count(1)"}))
 
 
 def trailing(daily, spans, sums=("tons", "fresh_tons"), carry=(), idle_days=False, data=None):
@@ -33,140 +32,118 @@ def trailing(daily, spans, sums=("tons", "fresh_tons"), carry=(), idle_days=Fals
     says so (default: every row).
     """
     reach = max(far for _, far in spans.values())
-    lag = F.col("_lag")
-    copies = daily.select(
-        "report_date", *dict.fromkeys((*sums, *carry, *([data] if data else []))),
-        F.explode(F.sequence(F.lit(0), F.lit(reach))).alias("_lag"),
-    ).withColumn("_date", F.date_add("report_date", lag))
-    outputs = [F.count_if(lag == 0).alias("_own")]
+    wanted = dict.fromkeys((*sums, *carry, *([data] if data else [])))
+    copies = daily.selectExpr(
+        "report_date AS own_date", *wanted, f"explode(sequence(0, {reach})) AS lag",
+    ).selectExpr("date_add(own_date, lag) AS report_date", "lag", *wanted)
+    outputs = {"own_rows": "count_if(lag = 0)"}
     for name, (near, far) in spans.items():
-        inside = lag.between(near, far)
-        if data:
-            inside = inside & F.col(data)
-        outputs.append(F.count_if(inside).alias(f"{name}_days"))
-        outputs += [F.sum(F.when(inside, F.col(c))).alias(f"{name}_{c}") for c in sums]
-    outputs += [F.max(F.when(lag == 0, F.col(c))).alias(c) for c in carry]
-    grouped = copies.groupBy(F.col("_date").alias("report_date")).agg(*outputs)
+        inside = f"lag BETWEEN {near} AND {far}" + (f" AND {data}" if data else "")
+        outputs[f"{name}_days"] = f"count_if({inside})"
+        outputs.update({f"{name}_{c}": f"sum(IF({inside}, {c}, NULL))" for c in sums})
+    outputs.update({c: f"max(IF(lag = 0, {c}, NULL))" for c in carry})
+    grouped = copies.groupBy("report_date").agg(*aggregates(outputs))
     if not idle_days:
-        grouped = grouped.where(F.col("_own") > 0)
-    return grouped.drop("_own")
-
-
-WEEK = (1, 7)
-WEEK_BEFORE = (8, 14)
-FORTNIGHT = (1, 14)
+        grouped = grouped.where("own_rows > 0")
+    return grouped.drop("own_rows")
 
 
 def baseline_columns(span="week"):
     """Mean tons per day with data and fresh share over one span."""
-    days, tons, fresh = (F.col(f"{span}_{c}") for c in ("days", "tons", "fresh_tons"))
     return {
-        "avg_daily_tons": ratio(tons, days),
-        "avg_fresh_percent": percent(fresh, tons),
-        "has_comparison_data": days > 0,
+        "avg_daily_tons": ratio(f"{span}_tons", f"{span}_days"),
+        "avg_fresh_percent": percent(f"{span}_fresh_tons", f"{span}_tons"),
+        "has_comparison_data": f"{span}_days > 0",
     }
 
 
+def _fresh_shift(now, before):
+    return (f"{percent(f'{now}_fresh_tons', f'{now}_tons')}"
+            f" - {percent(f'{before}_fresh_tons', f'{before}_tons')}")
+
+
 def trend_columns(now="week", before="prior"):
     """Change of the mean per data-day and of the fresh share; both sides must have data."""
-    both = (F.col(f"{now}_days") > 0) & (F.col(f"{before}_days") > 0)
-    mean_now = ratio(F.col(f"{now}_tons"), F.col(f"{now}_days"))
-    mean_before = ratio(F.col(f"{before}_tons"), F.col(f"{before}_days"))
-    fresh_now = percent(F.col(f"{now}_fresh_tons"), F.col(f"{now}_tons"))
-    fresh_before = percent(F.col(f"{before}_fresh_tons"), F.col(f"{before}_tons"))
+    both = f"({now}_days > 0 AND {before}_days > 0)"
+    means = [ratio(f"{side}_tons", f"{side}_days") for side in (now, before)]
     return {
         "has_trend_data": both,
-        "tons_trend_percent": F.when(both, percent_change(mean_now, mean_before)),
-        "fresh_trend_percent": F.when(both, fresh_now - fresh_before),
+        "tons_trend_percent": f"IF({both}, {percent_change(*means)}, NULL)",
+        "fresh_trend_percent": f"IF({both}, {_fresh_shift(now, before)}, NULL)",
     }
 
 
 def baseline_7d(tickets, idle_days=False):
     """For every day: mean tons per data-day and fresh share of the seven days before."""
     spans = trailing(ticket_days(tickets), {"week": WEEK}, idle_days=idle_days)
-    return spans.withColumns(baseline_columns()).select(
-        "report_date", "avg_daily_tons", "avg_fresh_percent", "has_comparison_data")
+    return spans.selectExpr("report_date", *named(baseline_columns()))
 
 
 def trend_7v7(tickets, idle_days=False):
     """For every day: the seven days before against the seven before those."""
     spans = trailing(ticket_days(tickets), {"week": WEEK, "prior": WEEK_BEFORE}, idle_days=idle_days)
-    return spans.withColumns(trend_columns()).select(
-        "report_date", "has_trend_data", "tons_trend_percent", "fresh_trend_percent")
+    return spans.selectExpr("report_date", *named(trend_columns()))
 
 
 def index_column(tons, hours, span="fortnight"):
     """Tons per active hour against a 24th of the span's mean day; NULL without either."""
-    mean_hour = ratio(F.col(f"{span}_tons"), F.col(f"{span}_days")) / 24
-    rate = tons.cast("double") / F.when(hours > 0, hours)
-    return F.when(mean_hour > 0, rate / F.when(mean_hour > 0, mean_hour))
+    mean_hour = f"({ratio(f'{span}_tons', f'{span}_days')} / 24)"
+    return f"IF({hours} > 0 AND {mean_hour} > 0, CAST({tons} AS DOUBLE) / {hours} / {mean_hour}, NULL)"
 
 
 def performance_index(frame):
     """Hourly rate of every day of an hour frame against its 14 previous days."""
-    daily = frame.groupBy("report_date").agg(
-        F.sum("all_tons").alias("tons"),
-        F.sum("total_tons").alias("line_tons"),
-        F.count_if(F.col("total_tons") > 0).alias("active_hours"),
-        F.sum("all_count").alias("tickets"),
-    ).where(F.col("tickets") > 0)
+    daily = frame.groupBy("report_date").agg(*aggregates({
+        "tons": "sum(all_tons)", "line_tons": "sum(total_tons)",
+        "active_hours": "count_if(total_tons > 0)", "has_tickets": "sum(all_count) > 0",
+    }))
     spans = trailing(daily, {"fortnight": FORTNIGHT}, sums=("tons",),
-                     carry=("line_tons", "active_hours"))
-    return spans.select(
-        "report_date", "line_tons", "active_hours",
-        index_column(F.col("line_tons"), F.col("active_hours")).alias("performance_index"),
-    )
+                     carry=("line_tons", "active_hours"), data="has_tickets")
+    return spans.selectExpr("report_date", "line_tons", "active_hours",
+                            f"{index_column('line_tons', 'active_hours')} AS performance_index")
 
 
 def rolling_baseline_columns(span="week", min_days=3):
     """The training variant: at least three data-days and some tons, else 0 and false."""
-    days, tons, fresh = (F.col(f"{span}_{c}") for c in ("days", "tons", "fresh_tons"))
-    enough = (days >= min_days) & (F.coalesce(tons, zero_tons()) > 0)
+    enough = f"({span}_days >= {min_days} AND coalesce({span}_tons, {ZERO}) > 0)"
     return {
-        "avg_daily_tons": F.when(enough, ratio(tons, days)).otherwise(0.0),
-        "avg_fresh_percent": F.when(enough, percent(fresh, tons)).otherwise(0.0),
+        "avg_daily_tons": f"IF({enough}, {ratio(f'{span}_tons', f'{span}_days')}, 0.0D)",
+        "avg_fresh_percent": f"IF({enough}, {percent(f'{span}_fresh_tons', f'{span}_tons')}, 0.0D)",
         "has_comparison_data": enough,
     }
 
 
 def rolling_trend_columns(now="week", before="prior"):
     """The training variant: change of the totals; 0 where a side has no day."""
-    both = (F.col(f"{now}_days") > 0) & (F.col(f"{before}_days") > 0)
-    fresh_now = percent(F.col(f"{now}_fresh_tons"), F.col(f"{now}_tons"))
-    fresh_before = percent(F.col(f"{before}_fresh_tons"), F.col(f"{before}_tons"))
+    both = f"({now}_days > 0 AND {before}_days > 0)"
     return {
-        "tons_trend_percent": F.when(
-            both, percent_change(F.col(f"{now}_tons"), F.col(f"{before}_tons"))).otherwise(0.0),
-        "fresh_trend_percent": F.when(both, fresh_now - fresh_before).otherwise(0.0),
+        "tons_trend_percent": f"IF({both}, {percent_change(f'{now}_tons', f'{before}_tons')}, 0.0D)",
+        "fresh_trend_percent": f"IF({both}, {_fresh_shift(now, before)}, 0.0D)",
     }
 
 
 def rolling_baseline(tickets, min_days=3):
     spans = trailing(ticket_days(tickets), {"week": WEEK}, carry=("tons", "fresh_tons"))
-    return spans.withColumns(rolling_baseline_columns(min_days=min_days)).select(
-        "report_date", "tons", "fresh_tons", percent(F.col("fresh_tons"), F.col("tons")).alias("fresh_pct"),
-        "avg_daily_tons", "avg_fresh_percent", "has_comparison_data")
+    return spans.selectExpr(
+        "report_date", "tons", "fresh_tons", f"{percent('fresh_tons', 'tons')} AS fresh_pct",
+        *named(rolling_baseline_columns(min_days=min_days)))
 
 
 def rolling_trend(tickets):
     spans = trailing(ticket_days(tickets), {"week": WEEK, "prior": WEEK_BEFORE})
-    return spans.withColumns(rolling_trend_columns()).select(
-        "report_date", "tons_trend_percent", "fresh_trend_percent")
+    return spans.selectExpr("report_date", *named(rolling_trend_columns()))
 
 
 def ticket_with_baseline(tickets, min_days=3, predicate="valid"):
     """Every valid ticket with its day's sums and rolling baseline."""
-    chosen = keep(tickets, predicate)
     days = rolling_baseline(tickets, min_days).withColumnsRenamed({
         "tons": "day_tons", "fresh_tons": "day_fresh_tons", "fresh_pct": "day_fresh_pct"})
-    return lookup_join(chosen, days, "report_date", how="left")
+    return lookup_join(keep(tickets, predicate), days, "report_date", how="left")
 
 
 def _tons_and_trucks(tickets, predicate):
     return keep(tickets, predicate).groupBy("report_date").agg(
-        F.coalesce(F.sum(weight()), zero_tons()).alias("tons"),
-        F.count(F.lit(1)).alias("trucks"),
-    )
+        *aggregates({"tons": tons_where(), "trucks": "count(1)"}))
 
 
 def week_compare_daily(tickets, base_date=None, predicate="printed"):
@@ -175,29 +152,23 @@ def week_compare_daily(tickets, base_date=None, predicate="printed"):
     Without `base_date` every day in the table is a base date.
     """
     daily = _tons_and_trucks(tickets, predicate)
-    lag = F.col("_lag")
-    label = F.when(lag <= 6, "current").otherwise("previous")
-    fan = daily.select(
-        "*", F.explode(F.sequence(F.lit(0), F.lit(13))).alias("_lag")
-    ).select(
-        F.date_add("report_date", lag).alias("base_date"), "report_date",
-        label.alias("period"), "tons", "trucks",
-    )
+    fan = daily.selectExpr("*", "explode(sequence(0, 13)) AS lag").selectExpr(
+        "date_add(report_date, lag) AS base_date", "report_date",
+        "IF(lag <= 6, 'current', 'previous') AS period", "tons", "trucks")
     if base_date is not None:
-        return fan.where(F.col("base_date") == F.to_date(F.lit(str(base_date))))
-    return fan.join(daily.select(F.col("report_date").alias("base_date")), "base_date", "left_semi")
+        return fan.where(f"base_date = DATE'{base_date}'")
+    return fan.join(daily.selectExpr("report_date AS base_date"), "base_date", "left_semi")
 
 
 def week_compare(tickets, predicate="printed"):
     """For every day D: totals and means of [D-6, D] and [D-13, D-7] and their change."""
-    daily = _tons_and_trucks(tickets, predicate)
-    spans = trailing(daily, {"current": (0, 6), "previous": (7, 13)}, sums=("tons",))
-    now = ratio(F.col("current_tons"), F.col("current_days"))
-    before = ratio(F.col("previous_tons"), F.col("previous_days"))
-    return spans.select(
-        F.col("report_date").alias("base_date"),
-        F.coalesce("current_tons", zero_tons()).alias("current_tons"),
-        F.coalesce("previous_tons", zero_tons()).alias("previous_tons"),
-        now.alias("current_avg"), before.alias("previous_avg"),
-        percent_change(now, before).alias("change_pct"),
-    )
+    spans = trailing(_tons_and_trucks(tickets, predicate),
+                     {"current": (0, 6), "previous": (7, 13)}, sums=("tons",))
+    means = add(spans, {
+        "current_avg": ratio("current_tons", "current_days"),
+        "previous_avg": ratio("previous_tons", "previous_days"),
+    })
+    return means.selectExpr(
+        "report_date AS base_date", f"coalesce(current_tons, {ZERO}) AS current_tons",
+        f"coalesce(previous_tons, {ZERO}) AS previous_tons", "current_avg", "previous_avg",
+        f"{percent_change('current_avg', 'previous_avg')} AS change_pct")

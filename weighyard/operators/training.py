@@ -2,10 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from weighyard import schema as S
-from weighyard.functions.guards import percent, ratio
+from weighyard.functions.guards import double, percent, ratio
+from weighyard.functions.layers import add, aggregates, named
 from weighyard.functions.predicates import keep
-from weighyard.operators.hourly import of_type, tons_where, weight, zero_tons
+from weighyard.operators.hourly import IS_FRESH, WEIGHT, tons_where
 from weighyard.operators.rolling import (
     WEEK, WEEK_BEFORE, rolling_baseline_columns, rolling_trend_columns, trailing,
 )
@@ -20,45 +20,35 @@ FEATURES = (
 
 def training_days(tickets, start=None, end=None, min_days=3):
     """Per-day statistics with rolling baseline, trend and scores, from clock hours."""
-    last = F.struct("ts", "ticket_id", weight().alias("w"))
     by_hour = keep(tickets, "valid", start, end).groupBy(
-        "report_date", F.hour("ts").alias("clock_hour")
-    ).agg(
-        F.coalesce(F.sum(weight()), zero_tons()).alias("tons"),
-        tons_where(of_type(S.FRESH)).alias("fresh_tons"),
-        F.count(F.lit(1)).alias("tickets"),
-        F.max(last).alias("last"),
-    )
-    hour, tons = F.col("clock_hour"), F.col("tons")
-    daily = by_hour.groupBy("report_date").agg(
-        F.sum("tons").alias("tons"), F.sum("fresh_tons").alias("fresh_tons"),
-        F.sum("tickets").alias("tickets"),
-        F.count(F.lit(1)).alias("active_hours"),
-        F.max(F.struct(tons.alias("tons"), (-hour).alias("minus_hour"))).alias("peak"),
-        F.max("last").alias("last"),
-    )
-    own = [c for c in daily.columns if c != "report_date"]
-    packed = daily.select("report_date", F.struct(*own).alias("own"), "tons", "fresh_tons")
+        "report_date", F.expr("hour(ts)").alias("clock_hour")
+    ).agg(*aggregates({
+        "tons": tons_where(), "fresh_tons": tons_where(IS_FRESH), "tickets": "count(1)",
+        "latest": f"max(struct(ts, ticket_id, {WEIGHT} AS tons))",
+    }))
+    own = {
+        "day_tons": "sum(tons)", "day_fresh": "sum(fresh_tons)", "tickets": "sum(tickets)",
+        "active_hours": "count(1)",
+        # Ties of the peak go to the earliest hour.
+        "peak": "max(struct(tons, -clock_hour AS minus_hour))",
+        "latest": "max(latest)",
+    }
+    daily = by_hour.groupBy("report_date").agg(*aggregates(own))
+    packed = daily.selectExpr("report_date", f"struct({', '.join(own)}) AS own",
+                              "day_tons AS tons", "day_fresh AS fresh_tons")
     spans = trailing(packed, {"week": WEEK, "prior": WEEK_BEFORE}, carry=("own",))
-    facts = spans.withColumns(rolling_baseline_columns(min_days=min_days)).withColumns(rolling_trend_columns())
-    o = F.col("own")
-    days = facts.select(
-        "report_date",
-        o["tons"].cast("double").alias("tons"),
-        F.col("avg_daily_tons").alias("avg_tons"),
-        percent(o["fresh_tons"], o["tons"]).alias("fresh_pct"),
-        F.col("avg_fresh_percent").alias("avg_fresh_pct"),
-        F.col("has_comparison_data").alias("has_baseline"),
-        o["active_hours"].cast("int").alias("active_hours"),
-        o["peak"]["tons"].cast("double").alias("peak_tons"),
-        (-o["peak"]["minus_hour"]).alias("peak_hour"),
-        o["last"]["ts"].alias("latest_ts"),
-        o["last"]["w"].cast("double").alias("latest_tons"),
-        o["tickets"].alias("tickets"),
-        F.lit(True).alias("has_trend"),
-        F.col("tons_trend_percent").alias("tons_trend"),
-        F.col("fresh_trend_percent").alias("fresh_trend"),
-    )
+    days = spans.selectExpr(
+        "report_date", *named(rolling_baseline_columns(min_days=min_days)), *named(rolling_trend_columns()),
+        "inline(array(own))",
+    ).selectExpr("report_date", *named({
+        "tons": double("day_tons"), "avg_tons": "avg_daily_tons",
+        "fresh_pct": percent("day_fresh", "day_tons"), "avg_fresh_pct": "avg_fresh_percent",
+        "has_baseline": "has_comparison_data",
+        "active_hours": "CAST(active_hours AS INT)",
+        "peak_tons": double("peak.tons"), "peak_hour": "-peak.minus_hour",
+        "latest_ts": "latest.ts", "latest_tons": double("latest.tons"), "tickets": "tickets",
+        "has_trend": "true", "tons_trend": "tons_trend_percent", "fresh_trend": "fresh_trend_percent",
+    }))
     return day_scores(days)
 
 
@@ -69,25 +59,22 @@ def training_records(tickets, start=None, end=None, min_days=3):
 
 def ml_features(days):
     """Fourteen feature columns; a ratio without a basis is 1. The season is the row's own."""
-    hours = F.col("active_hours").cast("double")
-    mean_hour = F.when((hours > 0) & (F.col("tons") > 0), F.col("tons") / F.when(hours > 0, hours))
-    return days.withColumns({
-        "quantity_ratio": ratio(F.col("tons"), F.col("avg_tons"), 1.0),
-        "quality_ratio": ratio(F.col("fresh_pct"), F.col("avg_fresh_pct"), 1.0),
-        "peak_share": ratio(F.col("peak_tons"), mean_hour, 1.0),
-        "abs_tons_trend": F.abs("tons_trend"),
-        "abs_fresh_trend": F.abs("fresh_trend"),
-        "in_season_flag": F.when(F.month("report_date").isin(12, 1, 2, 3, 4), 1.0).otherwise(0.0),
+    mean_hour = "IF(active_hours > 0 AND tons > 0, tons / active_hours, NULL)"
+    return add(days, {
+        "quantity_ratio": ratio("tons", "avg_tons", "1.0D"),
+        "quality_ratio": ratio("fresh_pct", "avg_fresh_pct", "1.0D"),
+        "peak_share": ratio("peak_tons", mean_hour, "1.0D"),
+        "abs_tons_trend": "abs(tons_trend)",
+        "abs_fresh_trend": "abs(fresh_trend)",
+        "in_season_flag": "IF(month(report_date) IN (12, 1, 2, 3, 4), 1.0D, 0.0D)",
     })
 
 
 def label_columns(days):
     """Targets: tons, fresh share, and a good day at a mean score of 4 or more."""
-    mean_score = (F.col("quantity") + F.col("quality") + F.col("stability")) / 3
-    return days.withColumns({
-        "label_tons": F.col("tons").cast("double"),
-        "label_fresh": F.col("fresh_pct").cast("double"),
-        "label_good": F.when(mean_score >= 4, 1.0).otherwise(0.0),
+    return add(days, {
+        "label_tons": double("tons"), "label_fresh": double("fresh_pct"),
+        "label_good": "IF((quantity + quality + stability) / 3 >= 4, 1.0D, 0.0D)",
     })
 
 
@@ -97,11 +84,9 @@ def training_table(days, leak_free=False):
     By default a day's features contain its own tons and fresh share, which are also the
     targets. `leak_free=True` takes the features of the calendar day before instead.
     """
-    features = ml_features(days)
-    labels = label_columns(days).select("report_date", "label_tons", "label_fresh", "label_good")
-    chosen = features.select("report_date", *FEATURES)
-    if leak_free:
-        chosen = chosen.withColumn("report_date", F.date_add("report_date", 1))
-        return chosen.join(labels, "report_date")
-    return label_columns(features).select(
-        "report_date", *FEATURES, "label_tons", "label_fresh", "label_good")
+    rows = label_columns(ml_features(days))
+    labels = ("label_tons", "label_fresh", "label_good")
+    if not leak_free:
+        return rows.select("report_date", *FEATURES, *labels)
+    before = rows.selectExpr("date_add(report_date, 1) AS report_date", *FEATURES)
+    return before.join(rows.select("report_date", *labels), "report_date")

@@ -7,6 +7,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import functions as F
 
+from weighyard.functions.layers import replace
 from weighyard.operators.training import FEATURES, ml_features, training_records, training_table
 from weighyard.plans.joins import settle
 from weighyard.sources.training_log import append_training_log
@@ -77,7 +78,7 @@ def predict(models, days):
 
 def predict_outlook(models, days):
     """Predictions under a fixed context of 12 even hours."""
-    even = days.withColumns({"active_hours": F.lit(12), "peak_tons": F.col("tons") / 12})
+    even = replace(days, {"active_hours": "12", "peak_tons": "tons / 12"})
     return predict({k: models[k] for k in ("tons", "fresh", "good")}, even)
 
 

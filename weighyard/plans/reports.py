@@ -1,51 +1,38 @@
 """Report rows: nested structs ready to be written as JSON, one line per day."""
 
-from pyspark.sql import functions as F
-
-from weighyard.operators.hourstats import battery, insight_findings, recommendation_findings
-from weighyard.plans.scorecard import headline_of, next_steps_of
+from weighyard.functions.codes import text_array
+from weighyard.functions.guards import double
+from weighyard.functions.layers import named
+from weighyard.operators.hourstats import INSIGHTS, RECOMMENDATIONS, battery
+from weighyard.plans.scorecard import FIRST_STEP, HEADLINE
 
 
 def analysis_report(card):
     """The exported subset of a daily scorecard."""
-    return card.select(
-        "report_date",
-        F.struct(
-            F.col("tons").alias("total_tons"), F.col("trucks").alias("total_trucks"),
-            F.col("fresh_pct").alias("fresh_percentage"), F.col("burnt_pct").alias("burnt_percentage"),
-        ).alias("summary"),
-        F.struct(
-            headline_of().alias("status"), F.col("overall_score").alias("score"),
-            next_steps_of().alias("recommendation"),
-        ).alias("analysis"),
-        F.struct("volume_eff", "volume_status", "hourly_eff", "hourly_status",
-                 "quality_eff", "quality_status", "stability_status").alias("efficiency_metrics"),
-        F.coalesce("insights", F.array().cast("array<string>")).alias("operational_insights"),
-        F.struct("projected_tons", "warnings").alias("predictions"),
-    )
+    return card.selectExpr("report_date", *named({
+        "summary": "struct(tons AS total_tons, trucks AS total_trucks, "
+                   "fresh_pct AS fresh_percentage, burnt_pct AS burnt_percentage)",
+        "analysis": f"struct({HEADLINE} AS status, overall_score AS score, {FIRST_STEP} AS recommendation)",
+        "efficiency_metrics": "struct(volume_eff, volume_status, hourly_eff, hourly_status, "
+                              "quality_eff, quality_status, stability_status)",
+        "operational_insights": f"coalesce(insights, {text_array(())})",
+        "predictions": "struct(projected_tons, warnings)",
+    }))
 
 
 def efficiency_report(frame, high=100, medium=50, low=20):
     """Executive summary, the statistics battery, findings and the 24 hours of every day."""
-    wide = battery(frame, high, medium, low)
-    return wide.select(
-        "report_date",
-        F.struct(
-            F.col("tons").cast("double").alias("total_tons"), F.col("trucks").alias("total_trucks"),
-            "active_hours", "efficiency_ratio",
-            F.col("overall_index").alias("overall_performance_index"), F.col("level").alias("performance_level"),
-        ).alias("executive_summary"),
-        F.struct(
-            F.struct("direction", "strength", "slope", "r", "p_value", "change_pct").alias("trend"),
-            F.struct("mean_tons", "std_pop", "var_pop", "cv_pct", "q25", "q50", "q75", "iqr",
-                     "stability", "outlier_slots").alias("variability"),
-            F.struct(F.col("q75").alias("threshold"), "peak_slots", "peak_runs", "best_slot").alias("peaks"),
-            F.struct("balance_ratio", "balance", F.col("corr_a_b").alias("ab"),
-                     F.col("corr_fresh_burnt").alias("fresh_burnt")).alias("correlation"),
-            F.struct("efficiency_score", "consistency_score", "productivity_score",
-                     "balance_score").alias("component_scores"),
-        ).alias("detailed_analysis"),
-        insight_findings().alias("insights"),
-        recommendation_findings().alias("recommendations"),
-        F.col("hours").alias("hourly_breakdown"),
-    )
+    return battery(frame, high, medium, low).selectExpr("report_date", *named({
+        "executive_summary": f"struct({double('tons')} AS total_tons, trucks AS total_trucks, active_hours, "
+                             "efficiency_ratio, overall_index AS overall_performance_index, "
+                             "level AS performance_level)",
+        "detailed_analysis": "struct("
+            "struct(direction, strength, slope, r, p_value, change_pct) AS trend, "
+            "struct(mean_tons, std_pop, var_pop, cv_pct, q25, q50, q75, iqr, stability, outlier_slots) AS variability, "
+            "struct(q75 AS threshold, peak_slots, peak_runs, best_slot) AS peaks, "
+            "struct(balance_ratio, balance, corr_a_b AS ab, corr_fresh_burnt AS fresh_burnt) AS correlation, "
+            "struct(efficiency_score, consistency_score, productivity_score, balance_score) AS component_scores)",
+        "insights": INSIGHTS,
+        "recommendations": RECOMMENDATIONS,
+        "hourly_breakdown": "hours",
+    }))

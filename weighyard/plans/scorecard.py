@@ -1,18 +1,16 @@
 """The day record and the daily scorecard: every rule for every day in one job."""
 
-from pyspark.sql import functions as F
-
-from weighyard.functions.guards import percent
+from weighyard.functions.guards import double, percent
+from weighyard.functions.layers import aggregates, named, replace
 from weighyard.operators import advice as A
 from weighyard.operators import rules as R
-from weighyard.operators.daily import summary_columns, unpack_summary
+from weighyard.operators.daily import SUMMARY, UNPACKED
 from weighyard.operators.hourly import hour_frame
 from weighyard.operators.rolling import (
     FORTNIGHT, WEEK, WEEK_BEFORE, baseline_columns, index_column, trailing, trend_columns,
 )
 
-_DAY_SUMS = ("a_count", "a_tons", "b_count", "b_tons", "fresh_tons", "burnt_tons",
-             "all_count", "all_tons", "total_count", "total_tons")
+_DAY_SUMS = ("a_tons", "b_tons", "fresh_tons", "burnt_tons", "all_count", "all_tons", "total_count", "total_tons")
 
 
 def day_records(frame):
@@ -22,42 +20,33 @@ def day_records(frame):
     (no shuffle) and one shuffle of the day rows to the dates that look back at them.
     """
     daily = frame.groupBy("report_date").agg(
-        *[F.sum(n).alias(n) for n in _DAY_SUMS], *summary_columns(),
-    ).withColumns(unpack_summary()).drop("_peak", "_latest", "day_tons")
-    own = [c for c in daily.columns if c != "report_date"]
-    packed = daily.select(
-        "report_date", F.struct(*own).alias("own"), (F.col("all_count") > 0).alias("has_tickets"),
-        F.col("all_tons").alias("tons"), "fresh_tons",
-    )
+        *aggregates({**{n: f"sum({n})" for n in _DAY_SUMS}, **SUMMARY}))
+    own = ", ".join([*_DAY_SUMS, *SUMMARY])
+    packed = daily.selectExpr("report_date", f"struct({own}) AS own", "all_count > 0 AS has_tickets",
+                              "all_tons AS tons", "fresh_tons")
     spans = trailing(packed, {"week": WEEK, "prior": WEEK_BEFORE, "fortnight": FORTNIGHT},
                      carry=("own",), data="has_tickets")
-    facts = spans.withColumns(baseline_columns()).withColumns(trend_columns())
-    o = F.col("own")
-    return facts.select(
-        "report_date",
-        o["total_tons"].cast("double").alias("tons"),
-        F.col("avg_daily_tons").alias("avg_tons"),
-        percent(o["fresh_tons"], o["fresh_tons"] + o["burnt_tons"]).alias("fresh_pct"),
-        percent(o["burnt_tons"], o["fresh_tons"] + o["burnt_tons"]).alias("burnt_pct"),
-        F.col("avg_fresh_percent").alias("avg_fresh_pct"),
-        F.col("has_comparison_data").alias("has_baseline"),
-        o["a_tons"].cast("double").alias("line_a_tons"),
-        o["b_tons"].cast("double").alias("line_b_tons"),
-        o["fresh_tons"].cast("double").alias("fresh_tons"),
-        o["burnt_tons"].cast("double").alias("burnt_tons"),
-        o["total_count"].alias("trucks"),
-        o["active_hours"].cast("int").alias("active_hours"),
-        o["peak_tons"].cast("double").alias("peak_tons"),
-        o["peak_label"].alias("peak_label"),
-        o["latest_label"].alias("latest_label"),
-        o["latest_tons"].cast("double").alias("latest_tons"),
-        o["forecast_tons"].alias("forecast_tons"),
-        o["forecast_label"].alias("forecast_label"),
-        F.col("has_trend_data").alias("has_trend"),
-        F.coalesce("tons_trend_percent", F.lit(0.0)).alias("tons_trend"),
-        F.coalesce("fresh_trend_percent", F.lit(0.0)).alias("fresh_trend"),
-        index_column(o["total_tons"], o["active_hours"]).alias("performance_index"),
-    )
+    facts = spans.selectExpr(
+        "report_date", *named(baseline_columns()), *named(trend_columns()),
+        "fortnight_tons", "fortnight_days", "inline(array(own))")
+    shown = facts.selectExpr("*", *named(UNPACKED))
+    typed = "(fresh_tons + burnt_tons)"
+    return shown.selectExpr("report_date", *named({
+        "tons": double("total_tons"),
+        "avg_tons": "avg_daily_tons",
+        "fresh_pct": percent("fresh_tons", typed), "burnt_pct": percent("burnt_tons", typed),
+        "avg_fresh_pct": "avg_fresh_percent", "has_baseline": "has_comparison_data",
+        "line_a_tons": double("a_tons"), "line_b_tons": double("b_tons"),
+        "trucks": "total_count", "active_hours": "CAST(active_hours AS INT)",
+        "performance_index": index_column("total_tons", "active_hours"),
+        "has_trend": "has_trend_data",
+        "tons_trend": "coalesce(tons_trend_percent, 0.0D)",
+        "fresh_trend": "coalesce(fresh_trend_percent, 0.0D)",
+        "day_fresh": double("fresh_tons"), "day_burnt": double("burnt_tons"),
+        "day_peak": double("peak_tons"), "day_latest": double("latest_tons"),
+    }), "peak_label", "latest_label", "forecast_tons", "forecast_label").withColumnsRenamed({
+        "day_fresh": "fresh_tons", "day_burnt": "burnt_tons",
+        "day_peak": "peak_tons", "day_latest": "latest_tons"})
 
 
 def scored(days):
@@ -68,71 +57,60 @@ def scored(days):
     return days
 
 
+# What only a full analysis shows.
+GATED = (
+    "quantity", "quality", "stability", "trend_score", "persona", "flow_pattern",
+    "hourly_pattern", "quality_pattern", "anomaly_score", "signals",
+    "volume_eff", "hourly_eff", "quality_eff", "peak_ratio", "volume_status", "hourly_status",
+    "quality_status", "stability_status", "trend_direction", "quality_trend",
+    "anomalies", "alerts", "insights", "warnings", "recommendations",
+    "daily_target", "daily_progress", "remaining_target", "hourly_target", "hourly_rate",
+    "hourly_progress", "quality_target", "quality_gap", "trend_target", "projected_tons",
+    "practical", "actionable", "learning", "contextual", "proactive", "adaptive",
+)
+
+
 def analysed(days, as_of, as_of_hour=12, std_column=None):
     """All rules. Lists are arrays; a day without the full analysis keeps them NULL."""
-    full = F.col("status") == "full"
-    rich = scored(days)
-    rich = R.time_context(R.analysis_mode(rich, as_of), as_of_hour)
+    rich = R.time_context(R.analysis_mode(scored(days), as_of), as_of_hour)
     rich = R.anomalies(rich, std_column)
     for step in (R.alerts, R.insights, R.benchmarks, R.day_projection, R.overall_score):
         rich = step(rich)
     rich = A.advice(A.recommendations(rich, as_of_hour), as_of_hour)
-    gated = [
-        "quantity", "quality", "stability", "trend_score", "persona", "flow_pattern",
-        "hourly_pattern", "quality_pattern", "anomaly_score", "signals",
-        "volume_eff", "hourly_eff", "quality_eff", "peak_ratio", "volume_status", "hourly_status",
-        "quality_status", "stability_status", "trend_direction", "quality_trend",
-        "anomalies", "alerts", "insights", "warnings", "recommendations",
-        "daily_target", "daily_progress", "remaining_target", "hourly_target", "hourly_rate",
-        "hourly_progress", "quality_target", "quality_gap", "trend_target", "projected_tons",
-        "practical", "actionable", "learning", "contextual", "proactive", "adaptive",
-    ]
-    rich = rich.withColumns({name: F.when(full, F.col(name)) for name in gated})
-    return rich.withColumn("overall_score", F.when(full, F.col("overall_score")).otherwise(0.0))
+    gates = {name: f"IF(status = 'full', {name}, NULL)" for name in GATED}
+    return replace(rich, {**gates, "overall_score": "IF(status = 'full', overall_score, 0.0D)"})
 
 
 def daily_scorecard(tickets, as_of, as_of_hour=12, start=None, end=None, closed="left"):
     """The whole dashboard of every day, straight from the tickets.
 
-    With `start` and `end` days of the range without tickets are present as 'no_data'.
+    With `start` and `end` days of the range without tickets are present as 'no_data';
+    give a start 14 days before the first day of interest, since the range also bounds
+    what the baselines see.
     """
     frame = hour_frame(tickets, closed=closed, start=start, end=end)
     return analysed(day_records(frame), as_of, as_of_hour)
 
 
-def codes_of(column):
-    """The codes of a finding array, as an array of strings."""
-    return F.transform(column, lambda x: x["code"])
-
-
 def flat_scorecard(card):
     """The scorecard with its lists joined to text, for tables without nested types."""
     def joined(column):
-        return F.array_join(column, ",")
+        return f"array_join({column}, ',')"
 
-    return card.select(
+    return card.selectExpr(
         "report_date", "status", "mode", "tons", "avg_tons", "fresh_pct", "avg_fresh_pct",
         "active_hours", "peak_tons", "peak_label", "latest_label", "forecast_tons", "forecast_label",
         "tons_trend", "fresh_trend", "performance_index",
         "quantity", "quality", "stability", "persona", "flow_pattern", "season", "week_part",
         "anomaly_score", "volume_eff", "hourly_eff", "quality_eff", "overall_score",
-        joined("signals").alias("signals"),
-        joined(codes_of("anomalies")).alias("anomalies"),
-        joined(codes_of("alerts")).alias("alerts"),
-        joined("insights").alias("insights"),
-        joined(F.transform("recommendations", lambda r: F.concat_ws(":", r["priority"], r["category"]))).alias(
-            "recommendations"),
-    )
-
-
-def headline_of():
-    """The headline code of a day: its persona, or why there is none."""
-    return F.coalesce(F.col("persona"), F.upper("status"))
-
-
-def next_steps_of():
-    """The recommendation shown first; days around New Year have their own."""
-    first = F.when(F.size("recommendations") > 0, F.col("recommendations")[0]["category"])
-    return F.coalesce(F.col("holiday_context"), first)
+        *named({
+            "signals": joined("signals"), "anomalies": joined("anomalies.code"),
+            "alerts": joined("alerts.code"), "insights": joined("insights"),
+            "recommendations": joined("transform(recommendations, r -> concat(r.priority, ':', r.category))"),
+        }))
 
 
+# The headline code of a day: its persona, or why there is none.
+HEADLINE = "coalesce(persona, upper(status))"
+# The recommendation shown first; days around New Year have their own.
+FIRST_STEP = "coalesce(holiday_context, IF(size(recommendations) > 0, recommendations[0].category, NULL))"

@@ -1,9 +1,8 @@
 """Ticket views of general-purpose tables: an event log and an order-line history."""
 
-from pyspark.sql import functions as F
-
 from weighyard.functions.clock import business_date
-from weighyard.schema import TICKET_COLUMNS, TONS
+from weighyard.functions.layers import named
+from weighyard.schema import TICKET_COLUMNS
 
 
 def load(spark, folder, name):
@@ -12,20 +11,17 @@ def load(spark, folder, name):
 
 def event_tickets(events):
     """One ticket per event, weighed at the event time."""
-    kind = F.col("event_type")
-    lane = F.col("user_id").cast("string")
-    return events.select(
-        F.col("event_id").alias("ticket_id"),
-        F.col("ts").cast("timestamp_ntz").alias("ts"),
-        business_date(F.col("ts").cast("timestamp_ntz")).alias("report_date"),
-        F.col("value").cast(TONS).alias("net_weight"),
-        F.when(kind.isin("click", "view"), "A").when(kind.isin("purchase", "signup"), "B").alias("prod_line"),
-        F.when(F.col("user_id") % 4 != 0, "1").otherwise("2").alias("cane_type"),
-        F.when(kind == "error", "0").otherwise("5").alias("print_q"),
-        F.lit("y").alias("print_w"),
-        lane.alias("lane_code"),
-        lane.alias("truck_q"),
-    )
+    ts = "CAST(ts AS TIMESTAMP_NTZ)"
+    return events.selectExpr(*named({
+        "ticket_id": "event_id", "ts": ts, "report_date": business_date(ts),
+        "net_weight": "CAST(value AS DECIMAL(18,2))",
+        "prod_line": "CASE WHEN event_type IN ('click', 'view') THEN 'A' "
+                     "WHEN event_type IN ('purchase', 'signup') THEN 'B' END",
+        "cane_type": "IF(user_id % 4 <> 0, '1', '2')",
+        "print_q": "IF(event_type = 'error', '0', '5')",
+        "print_w": "'y'",
+        "lane_code": "CAST(user_id AS STRING)", "truck_q": "CAST(user_id AS STRING)",
+    }))
 
 
 def lineitem_tickets(lineitem, clock=False):
@@ -34,28 +30,20 @@ def lineitem_tickets(lineitem, clock=False):
     Ship dates have no time of day. `clock=True` derives one from the keys, which gives
     a history of several years with hours; the report date then follows the clock.
     """
-    shipped = F.col("l_shipdate").cast("timestamp_ntz")
+    ts = "CAST(l_shipdate AS TIMESTAMP_NTZ)"
+    day = f"CAST({ts} AS DATE)"
     if clock:
-        ts = shipped + F.make_dt_interval(
-            hours=(F.col("l_partkey") % 24).cast("int"),
-            mins=(F.col("l_orderkey") % 60).cast("int"),
-            secs=F.col("l_linenumber").cast("decimal(18,6)"),
-        )
+        ts = (f"({ts} + make_dt_interval(0, CAST(l_partkey % 24 AS INT), CAST(l_orderkey % 60 AS INT), "
+              "CAST(l_linenumber AS DECIMAL(18,6))))")
         day = business_date(ts)
-    else:
-        ts, day = shipped, shipped.cast("date")
-    return lineitem.select(
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ticket_id"),
-        ts.alias("ts"),
-        day.alias("report_date"),
-        F.col("l_quantity").cast(TONS).alias("net_weight"),
-        F.when(F.col("l_linestatus") == "O", "A").when(F.col("l_linestatus") == "F", "B").alias("prod_line"),
-        F.when(F.col("l_returnflag") == "A", "1").when(F.col("l_returnflag") == "R", "2").otherwise("3").alias("cane_type"),
-        F.lit("5").alias("print_q"),
-        F.lit("y").alias("print_w"),
-        F.col("l_suppkey").cast("string").alias("lane_code"),
-        F.col("l_orderkey").cast("string").alias("truck_q"),
-    )
+    return lineitem.selectExpr(*named({
+        "ticket_id": "l_orderkey * 10 + l_linenumber", "ts": ts, "report_date": day,
+        "net_weight": "CAST(l_quantity AS DECIMAL(18,2))",
+        "prod_line": "CASE l_linestatus WHEN 'O' THEN 'A' WHEN 'F' THEN 'B' END",
+        "cane_type": "CASE l_returnflag WHEN 'A' THEN '1' WHEN 'R' THEN '2' ELSE '3' END",
+        "print_q": "'5'", "print_w": "'y'",
+        "lane_code": "CAST(l_suppkey AS STRING)", "truck_q": "CAST(l_orderkey AS STRING)",
+    }))
 
 
 def from_events(spark, folder):

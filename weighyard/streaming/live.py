@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 
 from weighyard import schema as S
 from weighyard.functions.clock import business_date, slot_of
-from weighyard.functions.codes import collect_findings
+from weighyard.functions.codes import explode_findings
 from weighyard.functions.guards import percent
+from weighyard.functions.layers import aggregates
 from weighyard.functions.predicates import keep
-from weighyard.operators.hourly import of_type, on_line, tons_where
-from weighyard.operators.rules import base_alert_findings
+from weighyard.operators.hourly import IS_BURNT, IS_FRESH, ON_A, ON_B, count_where, tons_where
+from weighyard.operators.rules import base_alerts
 
 DELAY = "24 hours"
 
@@ -29,55 +30,42 @@ def read_ticket_stream(spark, path, files_per_trigger=None, glob=None, schema=No
 
 def _event_time(tickets):
     """Wall-clock time as a time stamp; the session time zone is UTC, so nothing shifts."""
-    return tickets.withColumn("event_time", F.col("ts").cast("timestamp"))
+    return tickets.selectExpr("*", "CAST(ts AS TIMESTAMP) AS event_time")
 
 
-def _tally():
-    return [
-        F.count_if(on_line(S.LINE_A)).alias("a_count"),
-        tons_where(on_line(S.LINE_A)).alias("a_tons"),
-        F.count_if(on_line(S.LINE_B)).alias("b_count"),
-        tons_where(on_line(S.LINE_B)).alias("b_tons"),
-        tons_where(of_type(S.FRESH)).alias("fresh_tons"),
-        tons_where(of_type(S.BURNT)).alias("burnt_tons"),
-    ]
+TALLY = {
+    "a_count": count_where(ON_A), "a_tons": tons_where(ON_A),
+    "b_count": count_where(ON_B), "b_tons": tons_where(ON_B),
+    "fresh_tons": tons_where(IS_FRESH), "burnt_tons": tons_where(IS_BURNT),
+}
+TOTALS = ("a_count + b_count AS total_count", "CAST(a_tons + b_tons AS DECIMAL(28,2)) AS total_tons")
+STARTED = "CAST(window.start AS TIMESTAMP_NTZ)"
 
 
 def live_hourly(tickets, delay=DELAY, predicate="valid"):
     """Running tally per hour; use it in update mode."""
-    hour = F.window("event_time", "1 hour")
     rows = keep(_event_time(tickets), predicate).withWatermark("event_time", delay)
-    started = F.col("window.start").cast("timestamp_ntz")
-    return rows.groupBy(hour).agg(*_tally()).select(
-        business_date(started).alias("report_date"), slot_of(started).alias("slot"),
-        "a_count", "a_tons", "b_count", "b_tons", "fresh_tons", "burnt_tons",
-        (F.col("a_count") + F.col("b_count")).alias("total_count"),
-        (F.col("a_tons") + F.col("b_tons")).cast("decimal(28,2)").alias("total_tons"),
-    )
+    return rows.groupBy(F.window("event_time", "1 hour")).agg(*aggregates(TALLY)).selectExpr(
+        f"{business_date(STARTED)} AS report_date", f"{slot_of(STARTED)} AS slot", *TALLY, *TOTALS)
 
 
 def live_day(tickets, delay=DELAY, predicate="valid"):
     """Running totals of the business day (18:00 to 18:00) and its active hours."""
-    day = F.window("event_time", "1 day", startTime="18 hours")
     rows = keep(_event_time(tickets), predicate).withWatermark("event_time", delay)
-    lined = on_line(S.LINE_A) | on_line(S.LINE_B)
     # At most 24 members, so the state of a day stays small.
-    hours = F.size(F.collect_set(F.when(lined, F.hour("ts"))))
-    return rows.groupBy(day).agg(*_tally(), hours.alias("active_hours")).select(
-        business_date(F.col("window.start").cast("timestamp_ntz")).alias("report_date"),
-        "a_count", "a_tons", "b_count", "b_tons", "fresh_tons", "burnt_tons", "active_hours",
-        (F.col("a_count") + F.col("b_count")).alias("total_count"),
-        (F.col("a_tons") + F.col("b_tons")).cast("decimal(28,2)").alias("total_tons"),
-    )
+    hours = f"size(collect_set(IF({ON_A} OR {ON_B}, hour(ts), NULL)))"
+    return rows.groupBy(F.window("event_time", "1 day", startTime="18 hours")).agg(
+        *aggregates({**TALLY, "active_hours": hours})
+    ).selectExpr(f"{business_date(STARTED)} AS report_date", *TALLY, "active_hours", *TOTALS)
 
 
 def running_alerts(day_totals, history):
     """Alerts on running totals; `history` has avg_tons, avg_fresh_pct and trend per day."""
-    days = day_totals.select(
-        "report_date", F.col("total_tons").cast("double").alias("tons"), "active_hours",
-        percent(F.col("fresh_tons"), F.col("fresh_tons") + F.col("burnt_tons")).alias("fresh_pct"),
+    days = day_totals.selectExpr(
+        "report_date", "CAST(total_tons AS DOUBLE) AS tons", "active_hours",
+        f"{percent('fresh_tons', '(fresh_tons + burnt_tons)')} AS fresh_pct",
     ).join(history, "report_date", "left")
-    return days.select("report_date", F.inline(collect_findings(*base_alert_findings())))
+    return explode_findings(base_alerts(days), "alerts")
 
 
 def _batch_writer(path, transform=None):
