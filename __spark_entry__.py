@@ -137,8 +137,8 @@ def q_sorted_tally(spark, sf):
 
 
 def q_recommendations(spark, sf):
-    rows = advice.recommendations(judged(spark, sf), AS_OF_HOUR).select(
-        "report_date", F.inline("recommendations"))
+    rows = advice.recommendations(judged(spark, sf), AS_OF_HOUR).selectExpr(
+        "report_date", "inline_outer(recommendations)").where("category IS NOT NULL")
     return plain(rows.select(
         "report_date", "priority", "category", "detail", "next_cycle",
         F.col("actions")[0].alias("first_action"), F.size("actions").alias("action_count")))

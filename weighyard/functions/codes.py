@@ -30,5 +30,9 @@ def text_array(values):
 
 
 def explode_findings(df, column, keep=("report_date",)):
-    """Long form of a finding array: one row per finding."""
-    return df.selectExpr(*keep, f"inline({column})")
+    """Long form of a finding array: one row per finding.
+
+    The outer form keeps Spark from repeating the whole array expression in a filter on
+    its size; the placeholder rows of empty arrays go out by their missing code.
+    """
+    return df.selectExpr(*keep, f"inline_outer({column})").where("code IS NOT NULL")

@@ -65,10 +65,11 @@ def recommendations(days, as_of_hour):
         _recommend("week_part = 'week_end'", "medium", "WEEKEND"),
         _recommend("volume_eff < 80", "high", "EFFICIENCY"),
     )
-    later = f"""transform({items}, r -> named_struct(
+    later = f"""transform(_items, r -> named_struct(
         'priority', IF(r.priority = 'critical', 'medium', r.priority), 'category', r.category, 'detail', r.detail,
         'next_cycle', true, 'actions', concat(slice(r.actions, 1, 1), {text_array(NEXT_CYCLE_ACTIONS)})))"""
-    return add(days, {"recommendations": f"IF(mode = 'historical', {later}, {items})"})
+    listed = add(days, {"_items": items})
+    return add(listed, {"recommendations": f"IF(mode = 'historical', {later}, _items)"}).drop("_items")
 
 
 def advice(days, as_of_hour):

@@ -52,14 +52,17 @@ ATTENTION = {
 
 def persona_table(spark):
     """The catalogue as a nine-row dimension."""
-    rows = [
-        (name, tone, *ATTENTION.get(name, (None, None, None)),
-         list(insights), list(focus), list(ROOT_CAUSES.get(name, ())))
-        for name, (tone, insights, focus) in PERSONAS.items()
-    ]
-    return spark.createDataFrame(rows, (
-        "persona string, tone string, priority string, risk_level string, response_time string, "
-        "insights array<string>, focus array<string>, root_causes array<string>"))
+    def word(value):
+        return "CAST(NULL AS STRING)" if value is None else f"'{value}'"
+
+    rows = []
+    for name, (tone, insights, focus) in PERSONAS.items():
+        priority, risk, response = ATTENTION.get(name, (None, None, None))
+        rows.append(
+            f"named_struct('persona', '{name}', 'tone', '{tone}', 'priority', {word(priority)}, "
+            f"'risk_level', {word(risk)}, 'response_time', {word(response)}, 'insights', {text_array(insights)}, "
+            f"'focus', {text_array(focus)}, 'root_causes', {text_array(ROOT_CAUSES.get(name, ()))})")
+    return spark.range(1).selectExpr(f"inline(array({', '.join(rows)}))")
 
 
 def persona_profile(days):

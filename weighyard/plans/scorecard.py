@@ -1,5 +1,6 @@
 """The day record and the daily scorecard: every rule for every day in one job."""
 
+from weighyard.functions.clock import slot_label
 from weighyard.functions.guards import double, percent
 from weighyard.functions.layers import aggregates, named, replace
 from weighyard.operators import advice as A
@@ -10,7 +11,7 @@ from weighyard.operators.rolling import (
     FORTNIGHT, WEEK, WEEK_BEFORE, baseline_columns, index_column, trailing, trend_columns,
 )
 
-_DAY_SUMS = ("a_tons", "b_tons", "fresh_tons", "burnt_tons", "all_count", "all_tons", "total_count", "total_tons")
+_DAY_SUMS = ("a_tons", "b_tons", "fresh_tons", "burnt_tons", "all_count", "all_tons", "total_count")
 
 
 def day_records(frame):
@@ -21,32 +22,38 @@ def day_records(frame):
     """
     daily = frame.groupBy("report_date").agg(
         *aggregates({**{n: f"sum({n})" for n in _DAY_SUMS}, **SUMMARY}))
-    own = ", ".join([*_DAY_SUMS, *SUMMARY])
-    packed = daily.selectExpr("report_date", f"struct({own}) AS own", "all_count > 0 AS has_tickets",
-                              "all_tons AS tons", "fresh_tons")
+    # Plain columns, not structs: Spark sums and carries them by hashing, without a sort.
+    own = ("day_a", "day_b", "day_fresh", "day_burnt", "trucks", "day_tons", "active_hours",
+           "day_peak", "peak_slot", "day_latest", "latest_slot")
+    packed = daily.selectExpr("report_date", *named({
+        "has_tickets": "all_count > 0", "tons": "all_tons", "fresh_tons": "fresh_tons",
+        "day_a": "a_tons", "day_b": "b_tons", "day_fresh": "fresh_tons", "day_burnt": "burnt_tons",
+        "trucks": "total_count", "day_tons": "day_tons", "active_hours": "CAST(active_hours AS INT)",
+        "day_peak": UNPACKED["peak_tons"], "peak_slot": UNPACKED["peak_slot"],
+        "day_latest": UNPACKED["latest_tons"], "latest_slot": UNPACKED["latest_slot"],
+    }))
     spans = trailing(packed, {"week": WEEK, "prior": WEEK_BEFORE, "fortnight": FORTNIGHT},
-                     carry=("own",), data="has_tickets")
-    facts = spans.selectExpr(
-        "report_date", *named(baseline_columns()), *named(trend_columns()),
-        "fortnight_tons", "fortnight_days", "inline(array(own))")
-    shown = facts.selectExpr("*", *named(UNPACKED))
-    typed = "(fresh_tons + burnt_tons)"
-    return shown.selectExpr("report_date", *named({
-        "tons": double("total_tons"),
+                     carry=own, data="has_tickets")
+    facts = spans.selectExpr("report_date", *named(baseline_columns()), *named(trend_columns()),
+                             "fortnight_tons", "fortnight_days", *own)
+    typed = "(day_fresh + day_burnt)"
+    return facts.selectExpr("report_date", *named({
+        "tons": double("day_tons"),
         "avg_tons": "avg_daily_tons",
-        "fresh_pct": percent("fresh_tons", typed), "burnt_pct": percent("burnt_tons", typed),
+        "fresh_pct": percent("day_fresh", typed), "burnt_pct": percent("day_burnt", typed),
         "avg_fresh_pct": "avg_fresh_percent", "has_baseline": "has_comparison_data",
-        "line_a_tons": double("a_tons"), "line_b_tons": double("b_tons"),
-        "trucks": "total_count", "active_hours": "CAST(active_hours AS INT)",
-        "performance_index": index_column("total_tons", "active_hours"),
+        "line_a_tons": double("day_a"), "line_b_tons": double("day_b"),
+        "fresh_tons": double("day_fresh"), "burnt_tons": double("day_burnt"),
+        "trucks": "trucks", "active_hours": "active_hours",
+        "peak_tons": double("day_peak"), "latest_tons": double("day_latest"),
+        "peak_label": f"coalesce({slot_label('peak_slot')}, 'N/A')",
+        "latest_label": f"coalesce({slot_label('latest_slot')}, 'N/A')",
+        "forecast_tons": UNPACKED["forecast_tons"], "forecast_label": UNPACKED["forecast_label"],
+        "performance_index": index_column("day_tons", "active_hours"),
         "has_trend": "has_trend_data",
         "tons_trend": "coalesce(tons_trend_percent, 0.0D)",
         "fresh_trend": "coalesce(fresh_trend_percent, 0.0D)",
-        "day_fresh": double("fresh_tons"), "day_burnt": double("burnt_tons"),
-        "day_peak": double("peak_tons"), "day_latest": double("latest_tons"),
-    }), "peak_label", "latest_label", "forecast_tons", "forecast_label").withColumnsRenamed({
-        "day_fresh": "fresh_tons", "day_burnt": "burnt_tons",
-        "day_peak": "peak_tons", "day_latest": "latest_tons"})
+    }))
 
 
 def scored(days):

@@ -33,8 +33,8 @@ def lineitem_tickets(lineitem, clock=False):
     ts = "CAST(l_shipdate AS TIMESTAMP_NTZ)"
     day = f"CAST({ts} AS DATE)"
     if clock:
-        ts = (f"({ts} + make_dt_interval(0, CAST(l_partkey % 24 AS INT), CAST(l_orderkey % 60 AS INT), "
-              "CAST(l_linenumber AS DECIMAL(18,6))))")
+        seconds = "(l_partkey % 24) * 3600 + (l_orderkey % 60) * 60 + l_linenumber"
+        ts = f"({ts} + INTERVAL '1' SECOND * ({seconds}))"
         day = business_date(ts)
     return lineitem.selectExpr(*named({
         "ticket_id": "l_orderkey * 10 + l_linenumber", "ts": ts, "report_date": day,
