@@ -26,6 +26,14 @@ def percent_change(new, old):
     return f"coalesce(IF({old} > 0, ({new} - {old}) / {old} * 100, NULL), 0.0D)"
 
 
+def correlation(x, y):
+    """Pearson correlation as an aggregate; NULL where a side is constant.
+
+    The built-in corr divides by zero there, which is an error in ANSI mode.
+    """
+    return f"try_divide(covar_pop({x}, {y}), stddev_pop({x}) * stddev_pop({y}))"
+
+
 def clean_number(sql):
     """NULL, NaN and the infinities become 0."""
     value = double(sql)

@@ -8,7 +8,7 @@ from itertools import combinations
 
 from weighyard.functions.clock import slot_label
 from weighyard.functions.codes import collect_findings, explode_findings, finding
-from weighyard.functions.guards import double, percent, percent_change, ratio
+from weighyard.functions.guards import correlation, double, percent, percent_change, ratio
 from weighyard.functions.layers import add, aggregates, named
 from weighyard.functions.student import slope_p_value
 
@@ -37,7 +37,7 @@ def _moments():
     tons, slot = double("total_tons"), double("slot")
     return {
         "raw_slope": f"regr_slope({tons}, {slot})", "intercept": f"regr_intercept({tons}, {slot})",
-        "raw_r": f"corr({tons}, {slot})",
+        "raw_r": correlation(tons, slot),
         "std_pop": f"stddev_pop({tons})", "var_pop": f"var_pop({tons})", "std_samp": f"stddev_samp({tons})",
         "quartiles": f"percentile({tons}, array(0.25, 0.5, 0.75))",
         "hours": "array_sort(collect_list(struct(slot, total_tons)))",
@@ -46,7 +46,7 @@ def _moments():
 
 
 def _correlations():
-    return {_pair_name(x, y): f"corr({double(x)}, {double(y)})" for x, y in PAIRS}
+    return {_pair_name(x, y): correlation(double(x), double(y)) for x, y in PAIRS}
 
 
 def _mean_of(rows, size):
