@@ -151,13 +151,18 @@ def week_compare_daily(tickets, base_date=None, predicate="printed"):
 
     Without `base_date` every day in the table is a base date.
     """
-    daily = _tons_and_trucks(tickets, predicate)
-    fan = daily.selectExpr("*", "explode(sequence(0, 13)) AS lag").selectExpr(
-        "date_add(report_date, lag) AS base_date", "report_date",
-        "IF(lag <= 6, 'current', 'previous') AS period", "tons", "trucks")
+    fan = _tons_and_trucks(tickets, predicate).selectExpr(
+        "*", "explode(sequence(0, 13)) AS lag",
+    ).selectExpr("date_add(report_date, lag) AS base_date", "lag",
+                 "struct(report_date, IF(lag <= 6, 'current', 'previous') AS period, tons, trucks) AS row")
     if base_date is not None:
-        return fan.where(f"base_date = DATE'{base_date}'")
-    return fan.join(daily.selectExpr("report_date AS base_date"), "base_date", "left_semi")
+        fan = fan.where(f"base_date = DATE'{base_date}'")
+    # A base date gathers at most 14 rows.
+    gathered = fan.groupBy("base_date").agg(*aggregates({
+        "rows": "collect_list(row)", "own_rows": "count_if(lag = 0)"}))
+    if base_date is None:
+        gathered = gathered.where("own_rows > 0")
+    return gathered.selectExpr("base_date", "inline(rows)")
 
 
 def week_compare(tickets, predicate="printed"):

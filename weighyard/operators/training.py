@@ -11,6 +11,7 @@ from weighyard.operators.rolling import (
     WEEK, WEEK_BEFORE, rolling_baseline_columns, rolling_trend_columns, trailing,
 )
 from weighyard.operators.rules import day_scores
+from weighyard.plans.joins import settle
 
 FEATURES = (
     "tons", "avg_tons", "fresh_pct", "avg_fresh_pct", "active_hours", "peak_tons",
@@ -97,5 +98,7 @@ def training_table(days, leak_free=False):
     labels = ("label_tons", "label_fresh", "label_good")
     if not leak_free:
         return rows.select("report_date", *FEATURES, *labels)
+    # Both sides of the join come from one pass over the tickets.
+    rows = settle(rows)
     before = rows.selectExpr("date_add(report_date, 1) AS report_date", *FEATURES)
     return before.join(rows.select("report_date", *labels), "report_date")

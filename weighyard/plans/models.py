@@ -1,10 +1,10 @@
-"""Day models on MLlib: two forest regressors and a forest classifier."""
+"""Day models on MLlib: two forest regressors and a forest classifier on scaled features."""
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import RandomForestRegressor
+from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
 from pyspark.sql import functions as F
 
 from weighyard.functions.layers import replace
@@ -15,11 +15,12 @@ from weighyard.sources.training_log import append_training_log
 TREES = 50
 SEED = 42
 MIN_DAYS = 10
-# name -> label, prediction column
-TARGETS = {
-    "tons": ("label_tons", "predicted_tons"),
-    "fresh": ("label_fresh", "predicted_fresh"),
-    "good": ("label_good", "predicted_good"),
+SCALER = "scaler"
+# name -> label, prediction column, class of the saved model
+FORESTS = {
+    "tons": ("label_tons", "predicted_tons", RandomForestRegressionModel),
+    "fresh": ("label_fresh", "predicted_fresh", RandomForestRegressionModel),
+    "good": ("label_good", "predicted_good", RandomForestClassificationModel),
 }
 
 
@@ -27,34 +28,36 @@ class NotEnoughDays(ValueError):
     """Fewer days with a baseline than training needs."""
 
 
-def _pipeline(name, trees, depth):
-    label, prediction = TARGETS[name]
+def _forest(name, trees, depth):
+    label, prediction, _ = FORESTS[name]
     common = dict(featuresCol="scaled", labelCol=label, predictionCol=prediction,
                   numTrees=trees, seed=SEED, maxDepth=depth)
     if name == "good":
-        forest = RandomForestClassifier(
+        return RandomForestClassifier(
             probabilityCol="good_probability", rawPredictionCol="good_votes", **common)
-    else:
-        # A regression tree looks at every feature at each split.
-        forest = RandomForestRegressor(featureSubsetStrategy="all", **common)
-    return Pipeline(stages=[
+    # A regression tree looks at every feature at each split.
+    return RandomForestRegressor(featureSubsetStrategy="all", **common)
+
+
+def _fit(rows, days, trees, depth, min_days):
+    if days < min_days:
+        raise NotEnoughDays(f"{days} days with a baseline, {min_days} needed")
+    scaler = Pipeline(stages=[
         VectorAssembler(inputCols=list(FEATURES), outputCol="features"),
         StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True),
-        forest,
-    ])
+    ]).fit(rows)
+    scaled = scaler.transform(rows)
+    return {SCALER: scaler, **{name: _forest(name, trees, depth).fit(scaled) for name in FORESTS}}
 
 
 def fit_models(table, trees=TREES, depth=10, min_days=MIN_DAYS):
-    """Fit the three models on a training table; too few days raise NotEnoughDays.
+    """Fit scaler and models on a training table; too few days raise NotEnoughDays.
 
     The table is one row per day and is settled once, so that each tree level reads the
     stored rows instead of going back to the tickets.
     """
     rows = settle(table)
-    days = rows.count()
-    if days < min_days:
-        raise NotEnoughDays(f"{days} days with a baseline, {min_days} needed")
-    return {name: _pipeline(name, trees, depth).fit(rows) for name in TARGETS}
+    return _fit(rows, rows.count(), trees, depth, min_days)
 
 
 def save_models(models, folder):
@@ -63,32 +66,33 @@ def save_models(models, folder):
 
 
 def load_models(folder):
-    return {name: PipelineModel.load(f"{folder.rstrip('/')}/{name}") for name in TARGETS}
+    folder = folder.rstrip("/")
+    return {SCALER: PipelineModel.load(f"{folder}/{SCALER}"),
+            **{name: kind.load(f"{folder}/{name}") for name, (_, _, kind) in FORESTS.items()}}
 
 
 def predict(models, days):
     """Day records with predicted_tons, predicted_fresh and p_good (probability of a good day)."""
-    rows = ml_features(days)
-    for model in models.values():
-        rows = model.transform(rows).drop("features", "scaled", "good_votes")
+    rows = models[SCALER].transform(ml_features(days))
+    for name in FORESTS:
+        rows = models[name].transform(rows)
     chances = vector_to_array("good_probability")
     good = F.when(F.size(chances) > 1, chances[1]).otherwise(0.5)
-    return rows.withColumn("p_good", good).drop("good_probability")
+    return rows.withColumn("p_good", good).drop("features", "scaled", "good_votes", "good_probability")
 
 
 def predict_outlook(models, days):
     """Predictions under a fixed context of 12 even hours."""
-    even = replace(days, {"active_hours": "12", "peak_tons": "tons / 12"})
-    return predict({k: models[k] for k in ("tons", "fresh", "good")}, even)
+    return predict(models, replace(days, {"active_hours": "12", "peak_tons": "tons / 12"}))
 
 
 def train_job(tickets, start, end, folder, trained_at=None, trees=TREES, depth=10, leak_free=False):
-    """Tickets of a range -> records -> three saved models -> a log line. Returns the models."""
+    """Tickets of a range -> records -> saved models -> a log line. Returns the models."""
     spark = tickets.sparkSession
     records = settle(training_records(tickets, start, end))
-    models = fit_models(training_table(records, leak_free), trees, depth)
-    save_models(models, folder)
     used = records.agg(F.count(F.lit(1)).alias("days"), F.sum("tickets").alias("tickets")).first()
+    models = _fit(training_table(records, leak_free), used["days"], trees, depth, MIN_DAYS)
+    save_models(models, folder)
     when = trained_at or spark.range(1).select(
         F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss")).first()[0]
     append_training_log(spark, f"{folder.rstrip('/')}/training_history", when, start, end,

@@ -20,6 +20,8 @@ def build_session(app="weighyard", master=None, shuffle_partitions=None, extra=N
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.parquet.filterPushdown", "true")
         .config("spark.ui.enabled", "false")
+        # Checkpoint files go away with the tables that used them.
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         # Recording the Python line of every column call takes longer than planning.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
