@@ -112,7 +112,7 @@ pk AS (SELECT report_date, COUNT(*) AS active_hours, MAX(ht) AS peak_tons FROM h
 ph AS (SELECT hr.report_date, MIN(hh) AS peak_hour FROM hr JOIN pk ON pk.report_date = hr.report_date AND ht = peak_tons
   GROUP BY hr.report_date),
 la AS (SELECT report_date, ts AS latest_ts, net_weight AS latest_tons, row_number() OVER (
-    PARTITION BY report_date ORDER BY ts DESC, net_weight DESC) AS rn FROM valid),
+    PARTITION BY report_date ORDER BY ts DESC, ticket_id DESC) AS rn FROM valid),
 tr AS (
   SELECT report_date, CAST(dw.tons AS DOUBLE) AS tons, {_PCT.format('dw.')} AS fresh_pct,
     CASE WHEN n1 >= 3 AND t1 > 0 THEN t1 / n1 ELSE 0 END AS avg_tons,

@@ -54,8 +54,8 @@ def test_leak_free_features_come_from_the_day_before(history):
 def test_last_ticket_and_peak_hour(tickets):
     rows = []
     for d in range(1, 6):
-        rows += [dict(ts=f"2025-01-{d:02d} 09:10:00", net=5), dict(ts=f"2025-01-{d:02d} 12:00:00.500000", net=2),
-                 dict(ts=f"2025-01-{d:02d} 12:00:00.500000", net="3.25"), dict(ts=f"2025-01-{d:02d} 12:00:00", net=90, line="B", cane="2")]
+        rows += [dict(ts=f"2025-01-{d:02d} 09:10:00", net=5), dict(ts=f"2025-01-{d:02d} 12:00:00.500000", net=2, ticket_id=8),
+                 dict(ts=f"2025-01-{d:02d} 12:00:00.500000", net="3.25", ticket_id=9), dict(ts=f"2025-01-{d:02d} 12:00:00", net=90, line="B", cane="2")]
     r = training.training_records(tickets(*rows)).first()
     assert (r["latest_tons"], r["peak_hour"], r["peak_tons"], r["active_hours"]) == (3.25, 12, 95.25, 2)
     assert r["latest_ts"].microsecond == 500000 and r["tickets"] == 4

@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from weighyard.functions.clock import seconds_into_hour
 from weighyard.functions.guards import double, percent, ratio
 from weighyard.functions.layers import add, aggregates, named
 from weighyard.functions.predicates import keep
@@ -20,12 +19,14 @@ FEATURES = (
 )
 
 
-# The last ticket of a clock hour, by time and then by weight, as one number: micros into
-# the hour, then the weight. A struct would do the same, but Spark aggregates structs by
-# sorting all tickets, and plain numbers by hashing.
-_SHIFT = 10 ** 16
-_LAST = (f"CAST(CAST({seconds_into_hour()} * 1000000 AS DECIMAL(10,0)) * CAST({_SHIFT} AS DECIMAL(17,0)) "
-         f"+ {WEIGHT} AS DECIMAL(28,2))")
+# Order of the tickets within a clock hour, by time and then by ticket, as one long: micros
+# into the hour, then the low bits of the id. A struct would do the same, but Spark
+# aggregates structs by sorting all tickets, and plain numbers by hashing. The time zone
+# used for the fraction does not matter: zones differ by whole seconds.
+_BITS = 2 ** 31
+_MICROS = ("(minute(ts) * 60 + second(ts)) * 1000000L"
+           " + pmod(unix_micros(CAST(ts AS TIMESTAMP)), 1000000L)")
+_ORDER = f"({_MICROS}) * {_BITS}L + pmod(coalesce(ticket_id, 0L), {_BITS}L)"
 
 
 def training_days(tickets, start=None, end=None, min_days=3):
@@ -34,14 +35,14 @@ def training_days(tickets, start=None, end=None, min_days=3):
         "report_date", F.expr("hour(ts)").alias("clock_hour")
     ).agg(*aggregates({
         "tons": tons_where(), "fresh_tons": tons_where(IS_FRESH), "tickets": "count(1)",
-        "latest_ts": "max(ts)", "last_code": f"max({_LAST})",
+        "latest_ts": "max(ts)", "latest_tons": f"max_by({WEIGHT}, {_ORDER})",
     }))
     own = {
         "day_tons": "sum(tons)", "day_fresh": "sum(fresh_tons)", "tickets": "sum(tickets)",
         "active_hours": "count(1)",
         # Ties of the peak go to the earliest hour.
         "peak": "max(struct(tons, -clock_hour AS minus_hour))",
-        "latest": f"max(struct(latest_ts AS ts, last_code % {_SHIFT} AS tons))",
+        "latest": "max(struct(latest_ts AS ts, latest_tons AS tons))",
     }
     daily = by_hour.groupBy("report_date").agg(*aggregates(own))
     packed = daily.selectExpr("report_date", f"struct({', '.join(own)}) AS own",
