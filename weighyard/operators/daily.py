@@ -28,14 +28,15 @@ def season_totals(tickets, grand_total=None, predicate="valid"):
     Without a `grand_total` view all of it comes from one scan. A global aggregate is one
     row, so broadcasting the view's is bounded.
     """
-    counts = rule(predicate)
-    totals = tickets.agg(*aggregates({
-        "a_tons": tons_where(f"{counts} AND {ON_A}"), "b_tons": tons_where(f"{counts} AND {ON_B}"),
-        "fresh_tons": tons_where(f"{counts} AND {IS_FRESH}"),
-        "burnt_tons": tons_where(f"{counts} AND {IS_BURNT}"),
-        "a_trucks": count_where(f"{counts} AND {ON_A}"), "b_trucks": count_where(f"{counts} AND {ON_B}"),
-        "all_trucks": count_where(counts),
-        "season_tons": tons_where(printed_ticket()),
+    rows = tickets.where(f"({rule(predicate)}) OR ({printed_ticket()})").selectExpr(
+        "prod_line", "cane_type", "net_weight",
+        f"coalesce({rule(predicate)}, false) AS counts", f"coalesce({printed_ticket()}, false) AS printed")
+    totals = rows.agg(*aggregates({
+        "a_tons": tons_where(f"counts AND {ON_A}"), "b_tons": tons_where(f"counts AND {ON_B}"),
+        "fresh_tons": tons_where(f"counts AND {IS_FRESH}"),
+        "burnt_tons": tons_where(f"counts AND {IS_BURNT}"),
+        "a_trucks": count_where(f"counts AND {ON_A}"), "b_trucks": count_where(f"counts AND {ON_B}"),
+        "all_trucks": count_where("counts"), "season_tons": tons_where("printed"),
     }))
     if grand_total is None:
         return totals

@@ -166,11 +166,10 @@ def hour_efficiency(tally, high=100, normal=50):
 def heatmap(tickets, predicate="printed", start=None, end=None):
     """Days by clock hour (not slot), tons, empty cells 0. The 24 columns are fixed."""
     hours = list(range(24))
-    wide = (
-        keep(tickets, predicate, start, end)
-        .selectExpr("report_date", "hour(ts) AS clock_hour", f"{WEIGHT} AS net_weight")
-        .groupBy("report_date").pivot("clock_hour", hours).agg(F.sum("net_weight"))
-    )
+    cells = keep(tickets, predicate, start, end).groupBy(
+        "report_date", F.expr("hour(ts)").alias("clock_hour")
+    ).agg(*aggregates({"tons": tons_where()}))
+    wide = cells.groupBy("report_date").pivot("clock_hour", hours).agg(F.sum("tons"))
     return wide.selectExpr("report_date", *[f"coalesce(`{h}`, {ZERO}) AS h{h:02d}" for h in hours])
 
 
