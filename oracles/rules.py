@@ -130,6 +130,11 @@ S["alerts"] = f"""{C}, f AS ({long_form(ALERTS, ('level', 'code', 'value'))})
   SELECT {day()}, level, code, ROUND(value, 6) AS value FROM f"""
 
 
+# The stream reads all files in one batch, so its alerts are those of the final day totals.
+S["stream_alerts"] = f"""WITH {EVENT_DAYS},\n{RULES}, f AS ({long_form(ALERTS[:6], ('level', 'code', 'value'))})
+  SELECT {day()}, level, code, ROUND(value, 6) AS value FROM f"""
+
+
 def _status(value, high, low):
     return (f"CASE WHEN tons <= 0 THEN 'none' WHEN {value} > {high} THEN 'high' WHEN {value} > {low} THEN 'normal'"
             f" WHEN {value} IS NOT NULL THEN 'low' END")

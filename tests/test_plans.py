@@ -64,4 +64,4 @@ def test_working_folder_is_the_configured_one(spark):
 def test_every_statement_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
     without = set(entry.queries()) - set(entry.oracle_sql())
-    assert without == {"model_predictions", "model_trend_outlook", "stream_alerts"}
+    assert without == {"model_predictions", "model_trend_outlook"}
