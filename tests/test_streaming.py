@@ -86,3 +86,13 @@ def test_live_alerts(spark, feed, tmp_path):
     live.start_alerts(live.live_day(stream), history, out + "/out", out + "/state").awaitTermination()
     codes = [(r["level"], r["code"]) for r in spark.read.parquet(out + "/out").collect()]
     assert codes == [("critical", "VOLUME_VERY_LOW"), ("warning", "QUALITY_DROP"), ("critical", "EFFICIENCY_LOW"), ("warning", "TREND_DOWN")]
+
+
+def test_live_tallies_need_utc(spark, feed):
+    feed.add(dict(ts="2025-01-10 09:00:00"))
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Bangkok")
+    try:
+        with pytest.raises(ValueError):
+            live.live_day(live.read_ticket_stream(spark, feed.path))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")

@@ -28,8 +28,18 @@ def read_ticket_stream(spark, path, files_per_trigger=None, glob=None, schema=No
     return reader.load(path)
 
 
+UTC_NAMES = ("UTC", "Etc/UTC", "GMT", "Etc/GMT", "Z", "Zulu", "Universal", "+00:00")
+
+
 def _event_time(tickets):
-    """Wall-clock time as a time stamp; the session time zone is UTC, so nothing shifts."""
+    """Wall-clock time as a time stamp, which watermarks and windows need.
+
+    Windows start at multiples of their length in UTC, so the session must be on UTC for
+    18:00 to be 18:00.
+    """
+    zone = tickets.sparkSession.conf.get("spark.sql.session.timeZone")
+    if zone not in UTC_NAMES:
+        raise ValueError(f"set spark.sql.session.timeZone to UTC for live tallies, not {zone}")
     return tickets.selectExpr("*", "CAST(ts AS TIMESTAMP) AS event_time")
 
 
