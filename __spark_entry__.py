@@ -26,6 +26,12 @@ from weighyard.sources import sinks, tables, training_log
 from weighyard.sources.tickets import ticket_extract
 from weighyard.streaming import live
 
+try:  # the corpus operators may be taken away; everything else works without them
+    import corpus_pipeline
+    from weighyard.llm import queries as corpus
+except ImportError:
+    corpus = corpus_pipeline = None
+
 BANDS = dict(high=600, medium=400, low=200)
 AS_OF_HOUR = 13
 
@@ -363,8 +369,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "stream_hourly_tally": streamed(live.live_hourly, ["report_date", "slot"]),
         "stream_day_total": streamed(live.live_day, ["report_date"]),
         "stream_alerts": q_stream_alerts,
+        **corpus_queries(),
     }
 
 
+def corpus_queries():
+    return {} if corpus is None else corpus.queries() | {"pipeline": corpus_pipeline.run}
+
+
 def oracle_sql() -> dict[str, str]:
-    return all_statements()
+    if corpus is None:
+        return all_statements()
+    own = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return all_statements() | corpus.oracle_sql() | own
