@@ -27,7 +27,7 @@ from collections import Counter
 from itertools import islice
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,19 +96,19 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity=CAPACITY, end_id=0,
     def cut(batches):
         memory = chunk_memory(vocabulary)
         for batch in batches:
-            out = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32")}
-            for ident, body in zip(batch["doc_id"], batch["body"], strict=True):
+            out = [[] for _ in range(5)]
+            for ident, body in zip(batch["doc_id"].to_pylist(), batch["body"].to_pylist(), strict=True):
                 ids = token_bytes(body, memory) + end
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at:at + 4 * capacity]
-                    for key, value in zip(out, (ident, piece, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
-                        out[key].append(value)
-            frame = pd.DataFrame(out)
-            frame["doc_id"] = pd.array(frame["doc_id"], dtype="Int64")
-            yield frame
+                    for column, value in zip(out, (ident, piece, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
+                        column.append(value)
+            yield pa.record_batch([pa.array(column, pa.int32() if at == 1 else pa.int64())
+                                   for at, column in enumerate(out)],
+                                  names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     rows = docs.select(col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("body"))
-    return rows.mapInPandas(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return rows.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def plan_patterns(counts: dict[int, int], capacity=CAPACITY) -> list[tuple[tuple[int, ...], int]]:

@@ -4,24 +4,44 @@ from __future__ import annotations
 
 import os
 
-from weighyard.llm import exact_dedup, packing
+from pyspark.sql import functions as F
+
+from weighyard.llm import exact_dedup, langid, packing, pii
 from weighyard.llm.common import table
 
 #: Folder of the public tokenizer files.
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 
 
+def op1_pii(spark, sf):
+    found = pii.find_personal_data(table(spark, sf, "documents"))
+    return found.select("doc_id", *[f"n_{kind}" for kind in pii.BASE_PATTERNS],
+                        F.sha2(F.expr(pii.spans_text("base")), 256).alias("base_sha256"),
+                        F.expr(pii.spans_text("spans")).alias("spans"))
+
+
 def op6_exact_dedup(spark, sf):
     return exact_dedup.copies(table(spark, sf, "documents"))
 
 
+def op7_language_id(spark, sf):
+    return langid.identify_documents(table(spark, sf, "documents"))
+
+
+def page_languages(spark, sf):
+    return langid.identify(langid.page_evidence(table(spark, sf, "pages")))
+
+
 def op8_packing(spark, sf):
     return packing.pack_documents(table(spark, sf, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
 
 
 def queries():
     return {
+        "op1_pii": op1_pii,
         "op6_exact_dedup": op6_exact_dedup,
+        "op7_language_id": op7_language_id,
+        "page_languages": page_languages,
         "op8_packing": op8_packing,
     }
 
