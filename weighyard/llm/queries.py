@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from weighyard.llm import exact_dedup, langid, packing, pii
+from weighyard.llm import exact_dedup, jaccard_join, langid, packing, pii
 from weighyard.llm.common import table
 
 #: Folder of the public tokenizer files.
@@ -20,6 +20,10 @@ def op1_pii(spark, sf):
                         F.expr(pii.spans_text("spans")).alias("spans"))
 
 
+def op4_jaccard_join(spark, sf):
+    return jaccard_join.jaccard_components(table(spark, sf, "documents"))
+
+
 def op6_exact_dedup(spark, sf):
     return exact_dedup.copies(table(spark, sf, "documents"))
 
@@ -39,6 +43,7 @@ def op8_packing(spark, sf):
 def queries():
     return {
         "op1_pii": op1_pii,
+        "op4_jaccard_join": op4_jaccard_join,
         "op6_exact_dedup": op6_exact_dedup,
         "op7_language_id": op7_language_id,
         "page_languages": page_languages,
@@ -54,5 +59,31 @@ FROM rows WINDOW same AS (PARTITION BY body)
 """
 
 
+#: Shingle sets, pairs counted by common shingles, and the smallest id within reach.
+OP4_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, [x FOR x IN string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+')
+    IF x <> ''] AS w
+  FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[]
+    WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct([array_to_string(w[i:i+4], ' ') FOR i IN range(1, len(w) - 3)]) END AS s
+  FROM words),
+grams AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+links AS (
+  SELECT a.doc_id AS x, b.doc_id AS y
+  FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id
+  HAVING 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))),
+reach AS (
+  SELECT doc_id AS x, doc_id AS y FROM documents
+  UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x)
+SELECT sets.doc_id, len(sets.s) AS n_shingles, least_id.y AS component_id
+FROM sets JOIN (SELECT x, min(y) AS y FROM reach GROUP BY x) least_id ON sets.doc_id = least_id.x
+"""
+
+
 def oracle_sql():
-    return {"op6_exact_dedup": OP6_SQL}
+    return {"op4_jaccard_join": OP4_SQL, "op6_exact_dedup": OP6_SQL}
