@@ -11,9 +11,9 @@ Documents become sets of five-word shingles; equal sets are one class. Two class
    prefix of l = 1 has no link. Every other class picks the `l` of the least estimated cost: the
    postings its prefix reads plus the candidates expected to share `l` of them, times what
    verifying one costs. A pair must share as many shingles as the smaller `l` of the two asks for.
-3. First each posting list is linked to its smallest class only; verified links give first
-   components. Then pairs across components that still share enough are verified, so a group of
-   near copies is not spelt out in pairs, while no link between two components is lost.
+3. First, in a few rounds, a class meets two leaders of its posting lists only; verified links give
+   first components. Then all pairs across components that share enough are verified, so a group
+   of near copies is not spelt out in pairs, while no link between two components is lost.
 
 Rows of a pair carry the shared shingles of both classes for the verification. Components come
 from `components`.
@@ -152,13 +152,13 @@ def choose_level(n: int, frequencies: np.ndarray, rare: int) -> int:
 
     `frequencies` are those of the shared shingles in order, after `rare` shingles of the class alone.
     Reading a posting costs 1; a pair with l shared shingles is met at least l times, so at most
-    (postings / l) candidates remain, each verified at the cost of n / 8.
+    (postings / l) candidates remain, each verified at the cost of n / 64.
     """
     base = n - least_overlap(n) - rare
     cumulated = np.concatenate([[0], np.cumsum(frequencies.astype(np.float64) - 1)])
     levels = np.arange(1, min(LEVELS, least_overlap(n)) + 1)
     reads = cumulated[np.clip(base + levels, 0, len(frequencies))]
-    return int(levels[np.argmin(reads + reads / levels * (n / 8))])
+    return int(levels[np.argmin(reads + reads / levels * (n / 64))])
 
 
 def linkable_classes(blocks: DataFrame) -> DataFrame:
@@ -185,11 +185,15 @@ def linkable_classes(blocks: DataFrame) -> DataFrame:
 
 
 def postings(classes: DataFrame) -> DataFrame:
-    """(shingle, class, n, level, needs): the prefix of every class; `needs` is the least level
-    whose prefix has the shingle."""
+    """(shingle, class, n, level, needs, before, after): the prefix of every class.
+
+    `needs` is the least level whose prefix has the shingle; `before` and `after` count the
+    shared shingles on either side of it.
+    """
     return classes.selectExpr(
-        "class", "n", "level", "base", "posexplode(slice(shingles, 1, base + level)) AS (at, shingle)").selectExpr(
-        "shingle", "class", "n", "level", "greatest(1, at + 1 - base) AS needs")
+        "class", "n", "level", "base", "size(shingles) AS m",
+        "posexplode(slice(shingles, 1, base + level)) AS (before, shingle)").selectExpr(
+        "shingle", "class", "n", "level", "greatest(1, before + 1 - base) AS needs", "before", "m - before - 1 AS after")
 
 
 def verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -200,28 +204,45 @@ def verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
         f"{NUMERATOR + DENOMINATOR}L * size(array_intersect(s_a, s_b)) >= {NUMERATOR}L * (n_a + n_b)").select("a", "b")
 
 
-_FITS = f"{DENOMINATOR}L * least(n, m) >= {NUMERATOR}L * greatest(n, m)"
+#: Sizes and places of a common shingle that leave room for the overlap two sets need.
+_FITS = (f"{DENOMINATOR}L * least(n, n_b) >= {NUMERATOR}L * greatest(n, n_b) AND {NUMERATOR + DENOMINATOR}L * "
+         f"(least(before, before_b) + 1 + least(after, after_b)) >= {NUMERATOR}L * (n + n_b)")
+#: Rounds in which a class meets one or two classes of its posting lists only.
+LEADER_ROUNDS = 4
+
+
+def crossing_lists(prefixes: DataFrame, found: DataFrame | None) -> DataFrame:
+    """The postings of shingles that occur in more than one component, with their component."""
+    placed = prefixes.withColumn("component", F.col("class")) if found is None else prefixes.join(
+        found.select(F.col("node").alias("class"), "component"), "class", "left").withColumn(
+        "component", F.coalesce("component", "class"))
+    mixed = placed.groupBy("shingle").agg(
+        F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("shingle")
+    return placed.join(mixed, "shingle")
+
 
+def leader_pairs(lists: DataFrame, turn: int) -> DataFrame:
+    """Each class with the two it meets most often among its lists' leaders, if of another component.
 
-def leader_pairs(prefixes: DataFrame) -> DataFrame:
-    """Each class with the smallest and the largest class of its posting lists."""
-    first = prefixes.where("needs = 1")
-    ends = first.groupBy("shingle").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high")
-    met = first.select("shingle", "class").join(ends, "shingle")
-    return met.selectExpr("class", "explode(array(low, high)) AS other").where("class <> other").select(
+    A list's leaders are its first and last class in an order that changes from turn to turn.
+    """
+    drawn = F.xxhash64("class", F.lit(turn))
+    leaders = lists.groupBy("shingle").agg(
+        *[pick(column, drawn).alias(f"{name}_{column}") for name, pick in (("low", F.min_by), ("high", F.max_by))
+          for column in ("class", "component")])
+    met = lists.join(leaders, "shingle").selectExpr(
+        "class", "component", "inline(array(struct(0 AS kind, low_class AS other, low_component AS theirs), "
+        "struct(1 AS kind, high_class AS other, high_component AS theirs)))").where("component <> theirs")
+    often = met.groupBy("class", "kind", "other").agg(F.count(F.lit(1)).alias("times"))
+    return often.groupBy("class", "kind").agg(F.max_by("other", "times").alias("other")).select(
         F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b")).distinct()
 
 
-def crossing_pairs(prefixes: DataFrame, found: DataFrame) -> DataFrame:
+def crossing_pairs(lists: DataFrame) -> DataFrame:
     """Pairs of different components that share as many prefix shingles as both ask for."""
-    placed = prefixes.join(found.select(F.col("node").alias("class"), "component"), "class", "left").withColumn(
-        "component", F.coalesce("component", "class"))
-    mixed = placed.groupBy("shingle").agg(
-        F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("shingle")
-    left = placed.join(mixed, "shingle")
-    right = left.select("shingle", F.col("class").alias("b"), F.col("n").alias("m"), F.col("level").alias("level_b"),
-                        F.col("needs").alias("needs_b"), F.col("component").alias("component_b"))
-    met = left.withColumnRenamed("class", "a").join(right, "shingle").where(
+    right = lists.select("shingle", *[F.col(name).alias("b" if name == "class" else f"{name}_b")
+                                      for name in ("class", "n", "level", "needs", "before", "after", "component")])
+    met = lists.withColumnRenamed("class", "a").join(right, "shingle").where(
         f"a < b AND component <> component_b AND {_FITS} AND greatest(needs, needs_b) <= least(level, level_b)")
     return met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.max(F.least("level", "level_b")).alias("asked")).where(
         "shared >= asked").select("a", "b")
@@ -231,11 +252,20 @@ def class_components(docs: DataFrame, text="text") -> DataFrame:
     """(node, component) of all classes with a link."""
     classes = settle(linkable_classes(shingle_blocks(docs, text)))
     prefixes = settle(postings(classes))
-    near = settle(verified(leader_pairs(prefixes), classes))
-    found = components(near)
-    far = verified(crossing_pairs(prefixes, found), classes)
-    stars = found.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
-    return components(stars.union(far))
+    found = None
+    for turn in range(LEADER_ROUNDS):
+        near = settle(verified(leader_pairs(crossing_lists(prefixes, found), turn), classes))
+        if near.isEmpty():
+            break
+        found = components(_stars(found, near))
+    far = verified(crossing_pairs(settle(crossing_lists(prefixes, found))), classes)
+    return components(_stars(found, far))
+
+
+def _stars(found: DataFrame | None, links: DataFrame) -> DataFrame:
+    """The components so far as links to their smallest class, and new links."""
+    return links if found is None else found.where("node <> component").select(
+        F.col("node").alias("a"), F.col("component").alias("b")).union(links)
 
 
 def linked(docs: DataFrame, text="text", doc_id="doc_id") -> DataFrame:
