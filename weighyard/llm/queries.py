@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from weighyard.llm import exact_dedup, jaccard_join, langid, packing, pii
+from weighyard.llm import bpe_automaton, compression_quality, exact_dedup, jaccard_join, langid, licenses, packing, pii
 from weighyard.llm.common import table
 
 #: Folder of the public tokenizer files.
@@ -20,10 +20,27 @@ def op1_pii(spark, sf):
                         F.expr(pii.spans_text("spans")).alias("spans"))
 
 
+def op3_compression_quality(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text").withColumn(
+        "held_out", F.expr("crc32(CAST(doc_id AS STRING)) % 5 = 0"))
+    labels = table(spark, sf, "labels").where("crc32(CAST(doc_id AS STRING)) % 5 <> 0")
+    scored = compression_quality.score(docs, compression_quality.fit(docs, labels))
+    return scored.select("doc_id", F.coalesce("held_out", F.lit(False)).alias("held_out"), "score",
+                         F.expr(f"CAST(score >= {compression_quality.THRESHOLD} AS INT)").alias("predicted"))
+
+
 def op4_jaccard_join(spark, sf):
     return jaccard_join.jaccard_components(table(spark, sf, "documents"))
 
 
+def op5_bpe_automaton(spark, sf):
+    codec = bpe_automaton.Codec(spark, f"{TOKENIZERS}/byte_bpe_50k.json")
+    encoded = codec.encode(table(spark, sf, "documents").select("doc_id", "text"))
+    digests = encoded.select("doc_id", "ids", bpe_automaton.token_count().alias("n_tokens"),
+                             F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"))
+    return codec.decode(digests).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op6_exact_dedup(spark, sf):
     return exact_dedup.copies(table(spark, sf, "documents"))
 
@@ -40,14 +57,21 @@ def op8_packing(spark, sf):
     return packing.pack_documents(table(spark, sf, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
 
 
+def op9_license_scan(spark, sf):
+    return licenses.licenses(table(spark, sf, "documents"))
+
+
 def queries():
     return {
         "op1_pii": op1_pii,
+        "op3_compression_quality": op3_compression_quality,
         "op4_jaccard_join": op4_jaccard_join,
+        "op5_bpe_automaton": op5_bpe_automaton,
         "op6_exact_dedup": op6_exact_dedup,
         "op7_language_id": op7_language_id,
         "page_languages": page_languages,
         "op8_packing": op8_packing,
+        "op9_license_scan": op9_license_scan,
     }
 
 
