@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from array import array
 from itertools import islice
 
 import numpy as np
@@ -39,10 +40,10 @@ from weighyard.llm.common import col, text_of
 
 #: Pre-split of the byte-level vocabulary (fixed value).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Chunks that a worker remembers (some 200 bytes each); a full memory forgets its older half.
-MEMORY = 1_000_000
+#: Words and chunks that a worker remembers (some 200 bytes each); a full memory forgets its older half.
+WORDS, CHUNKS = 150_000, 900_000
 #: Rows of one output batch and about as many characters.
-_ROWS, _CHARS = 2000, 8 << 20
+_ROWS, _CHARS = 500, 2 << 20
 
 
 def byte_letters() -> dict[str, int]:
@@ -83,8 +84,9 @@ class Automaton:
     def __init__(self, labels, targets, rows, forbidden):
         self.labels, self.targets, self.forbidden = labels, targets, forbidden
         self.rows = rows
-        self.tokens = {label: i for i, label in labels.items() if rows[i] >= 0}
-        self.longest = max(map(len, self.tokens))
+        # Endings of tokens without a token of their own lead nowhere, but show that a longer one may follow.
+        self.tokens = {label[at:]: None for i, label in labels.items() if rows[i] >= 0 for at in range(1, len(label))}
+        self.tokens.update({label: i for i, label in labels.items() if rows[i] >= 0})
 
     @classmethod
     def compile(cls, labels, merges):
@@ -136,10 +138,14 @@ class Automaton:
         states, came = [0] + [-1] * n, [0] * (n + 1)
         tokens, rows, forbidden, targets = self.tokens, self.rows, self.forbidden, self.targets
         for end in range(1, n + 1):
-            for start in range(end - 1, max(-1, end - self.longest - 1), -1):
+            for start in range(end - 1, -1, -1):
+                token = tokens.get(word[start:end], -1)
+                if token is None:
+                    continue
+                if token < 0:
+                    break
                 state = states[start]
-                token = tokens.get(word[start:end]) if state >= 0 else None
-                if token is not None and not forbidden[rows[token]][state >> 3] >> (state & 7) & 1:
+                if state >= 0 and not forbidden[rows[token]][state >> 3] >> (state & 7) & 1:
                     states[end], came[end] = targets[token], token
                     break
         ids = []
@@ -158,8 +164,8 @@ class Coder:
         self.unknown = regex.compile(f"[{unknown}]") if unknown else None
         self.careful = regex.compile("(?V1)" + SPLIT.replace(r"[^\s\p{L}\p{N}]", rf"[[^\s\p{{L}}\p{{N}}]||[{unknown}]]").replace(
             r" ?\p{L}+", rf" ?[\p{{L}}--[{unknown}]]+").replace(r" ?\p{N}+", rf" ?[\p{{N}}--[{unknown}]]+")) if unknown else None
-        self.words = _Memory(lambda word: np.array(automaton.encode_word(word.encode()), "<i4").tobytes())
-        self.chunks = _Memory(self._chunk)
+        self.words = _Memory(lambda word: array("i", automaton.encode_word(word.encode())).tobytes(), WORDS)
+        self.chunks = _Memory(self._chunk, CHUNKS)
         self.stops = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         self.labels = [automaton.labels.get(i, b"") for i in range(max(automaton.labels) + 1)]
 
@@ -172,6 +178,10 @@ class Coder:
         """Ids of ' ' + chunk; None where the chunk can't be split on its own."""
         if not chunk or chunk[0].isspace() or chunk[-1].isspace():
             return None
+        if chunk.isalpha():  # one word
+            return array("i", self.automaton.encode_word(f" {chunk}".encode())).tobytes()
+        if chunk[-1] in ".," and chunk[:-1].isalpha():
+            return self.chunks[chunk[:-1]] + self.words[chunk[-1]]
         return b"".join(map(self.words.__getitem__, self.split(" " + chunk)))
 
     def _plain(self, text: str) -> bytes:
@@ -197,13 +207,13 @@ class Coder:
 
 
 class _Memory(dict):
-    def __init__(self, make):
+    def __init__(self, make, most):
         super().__init__()
-        self.make = make
+        self.make, self.most = make, most
 
     def __missing__(self, key):
-        if len(self) >= MEMORY:
-            for old in list(islice(self, MEMORY // 2)):
+        if len(self) >= self.most:
+            for old in list(islice(self, self.most // 2)):
                 del self[old]
         found = self[key] = self.make(key)
         return found
@@ -261,9 +271,10 @@ class Codec:
         def run(batches):
             own = coder()
             for batch in batches:
-                column = batch.column(len(kept))
-                bodies = [own.decode(x or ()) for x in column.to_pylist()]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(bodies, pa.string())], names=[*kept, text])
+                for at in range(0, batch.num_rows, _ROWS):
+                    part = batch.slice(at, _ROWS)
+                    bodies = [own.decode(x or ()) for x in part.column(len(kept)).to_pylist()]
+                    yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(bodies, pa.string())], names=[*kept, text])
 
         ordered = rows.select(*[col(name) for name in kept], col(ids))
         return ordered.mapInArrow(run, ordered.drop(ids).schema.add(text, "string"))
