@@ -12,8 +12,10 @@ Documents become sets of five-word shingles; equal sets are one class. Two class
    postings its prefix reads plus the candidates expected to share `l` of them, times what
    verifying one costs. A pair must share as many shingles as the smaller `l` of the two asks for.
 3. First, in a few rounds, a class meets two leaders of its posting lists only; verified links give
-   first components. Then all pairs across components that share enough are verified, so a group
-   of near copies is not spelt out in pairs, while no link between two components is lost.
+   first components. What is left between components is shown exactly: classes outside the head of
+   their family of posting lists meet its members in blocks that write links only (`families`), or,
+   in families with very many of them, all pairs that share enough are joined and verified. So a
+   group of near copies is not spelt out in pairs, while no link between two components is lost.
 
 Rows of a pair carry the shared shingles of both classes for the verification. Components come
 from `components`.
@@ -34,6 +36,7 @@ from pyspark.sql import functions as F
 
 from weighyard.llm.common import col, original, settle, sized, text_of
 from weighyard.llm.components import components
+from weighyard.llm.families import family_links, family_table
 from weighyard.llm.shingles import set_key, shingle_set
 
 #: Least share of the union, as a fraction of whole numbers.
@@ -258,7 +261,11 @@ def class_components(docs: DataFrame, text="text") -> DataFrame:
         if near.isEmpty():
             break
         found = components(_stars(found, near))
-    far = verified(crossing_pairs(settle(crossing_lists(prefixes, found))), classes)
+    lists = settle(crossing_lists(prefixes, found))
+    families = family_table(lists, classes)
+    # Pairs inside a family whose queries fit are settled there; the others are joined list by list.
+    apart = lists.join(families.where("NOT fits").select("class"), "class", "left_semi")
+    far = verified(crossing_pairs(apart), classes).union(family_links(families, classes, NUMERATOR, DENOMINATOR))
     return components(_stars(found, far))
 
 
