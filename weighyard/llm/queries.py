@@ -6,7 +6,18 @@ import os
 
 from pyspark.sql import functions as F
 
-from weighyard.llm import bpe_automaton, compression_quality, exact_dedup, jaccard_join, langid, licenses, packing, pii
+from weighyard.llm import (
+    bpe_automaton,
+    compression_quality,
+    exact_dedup,
+    hilbert_ann,
+    jaccard_join,
+    langid,
+    licenses,
+    packing,
+    paragraph_dedup,
+    pii,
+)
 from weighyard.llm.common import table
 
 #: Folder of the public tokenizer files.
@@ -20,6 +31,11 @@ def op1_pii(spark, sf):
                         F.expr(pii.spans_text("spans")).alias("spans"))
 
 
+def op2_hilbert_ann(spark, sf):
+    vectors = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    return hilbert_ann.nearest(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
 def op3_compression_quality(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text").withColumn(
         "held_out", F.expr("crc32(CAST(doc_id AS STRING)) % 5 = 0"))
@@ -61,9 +77,14 @@ def op9_license_scan(spark, sf):
     return licenses.licenses(table(spark, sf, "documents"))
 
 
+def op10_paragraph_dedup(spark, sf):
+    return paragraph_dedup.repeated_passages(table(spark, sf, "documents"))
+
+
 def queries():
     return {
         "op1_pii": op1_pii,
+        "op2_hilbert_ann": op2_hilbert_ann,
         "op3_compression_quality": op3_compression_quality,
         "op4_jaccard_join": op4_jaccard_join,
         "op5_bpe_automaton": op5_bpe_automaton,
@@ -72,6 +93,7 @@ def queries():
         "page_languages": page_languages,
         "op8_packing": op8_packing,
         "op9_license_scan": op9_license_scan,
+        "op10_paragraph_dedup": op10_paragraph_dedup,
     }
 
 
