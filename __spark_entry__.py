@@ -212,7 +212,7 @@ def q_model_predictions(spark, sf):
     """Fit on the records, save, load, predict. Forests are not comparable in SQL."""
     days = trained(spark, sf)
     folder = scratch_path(spark, "models")
-    models.save_models(models.fit_models(training.training_table(days), trees=10, depth=6), folder)
+    models.save_models(models.fit_models(training.training_table(days)), folder)
     scored = models.predict(models.load_models(folder), days)
     clamped = forecast.clamp_prediction(forecast.compare_with_prediction(scored))
     return plain(clamped.select(
@@ -222,7 +222,7 @@ def q_model_predictions(spark, sf):
 
 def q_model_trend_outlook(spark, sf):
     days = trained(spark, sf)
-    fitted = models.fit_models(training.training_table(days, leak_free=True), trees=10, depth=6)
+    fitted = models.fit_models(training.training_table(days, leak_free=True))
     ahead = forecast.trend_outlook(models.predict_outlook(fitted, days))
     return plain(ahead.select("report_date", "outlook_tons_pct", "outlook_fresh_pp", "outlook", "outlook_confidence"))
 

@@ -68,7 +68,9 @@ def slot_sums(tickets, closed="left", start=None, end=None):
     closed='both'    closed hours on the time stamp alone: a ticket on the full hour
                      counts in two slots, and in two days at 18:00
 
-    With `start` and `end` every day of the range is present, tickets or not.
+    With `start` and `end` every day of the range is present, tickets or not. A ticket without
+    a time is in no slot, but in its day's `all_` columns (those of slot 0); one without a
+    report date is in no day.
     """
     if closed not in ("left", "second", "both"):
         raise ValueError(f"unknown bin edge {closed!r}")
@@ -80,7 +82,9 @@ def slot_sums(tickets, closed="left", start=None, end=None):
             f"{business_date()} AS report_date", f"{slot_of()} AS slot", "true AS in_slot", *facts)
     else:
         inside = f"{seconds_into_hour()} <= 3599" if closed == "second" else "true"
-        rows = tickets.selectExpr("report_date", f"{slot_of()} AS slot", f"{inside} AS in_slot", *facts)
+        rows = tickets.selectExpr("report_date", f"coalesce({slot_of()}, 0) AS slot",
+                                  f"ts IS NOT NULL AND {inside} AS in_slot", *facts)
+    rows = rows.where("report_date IS NOT NULL")
     if start is not None:
         days = rows.sparkSession.range(1).selectExpr(
             f"explode(sequence(DATE'{start}', DATE'{end}')) AS report_date", "0 AS slot")

@@ -18,7 +18,7 @@ FORTNIGHT = (1, 14)
 
 def ticket_days(tickets, predicate="valid"):
     """Per day: tons, fresh tons, tickets. The only shuffle of ticket-derived rows."""
-    return keep(tickets, predicate).groupBy("report_date").agg(*aggregates({
+    return keep(tickets, predicate).where("report_date IS NOT NULL").groupBy("report_date").agg(*aggregates({
         "tons": tons_where(), "fresh_tons": tons_where(IS_FRESH), "tickets": "count(1)"}))
 
 
@@ -142,7 +142,7 @@ def ticket_with_baseline(tickets, min_days=3, predicate="valid"):
 
 
 def _tons_and_trucks(tickets, predicate):
-    return keep(tickets, predicate).groupBy("report_date").agg(
+    return keep(tickets, predicate).where("report_date IS NOT NULL").groupBy("report_date").agg(
         *aggregates({"tons": tons_where(), "trucks": "count(1)"}))
 
 

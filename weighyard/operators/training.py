@@ -19,19 +19,22 @@ FEATURES = (
 )
 
 
-# Order of the tickets within a clock hour, by time and then by ticket, as one long: micros
-# into the hour, then the low bits of the id. A struct would do the same, but Spark
+# Order of the tickets within a clock hour, by time and then by ticket, as one decimal: micros
+# into the hour, then the whole id, negative ones included. Tickets without an id come before
+# all others and are told apart by their weight. A struct would do the same, but Spark
 # aggregates structs by sorting all tickets, and plain numbers by hashing. The time zone
 # used for the fraction does not matter: zones differ by whole seconds.
-_BITS = 2 ** 31
+_STEP, _ABOVE_WEIGHTS = 3 * 10 ** 19, 2 * 10 ** 18 + 2 ** 63
 _MICROS = ("(minute(ts) * 60 + second(ts)) * 1000000L"
            " + pmod(unix_micros(CAST(ts AS TIMESTAMP)), 1000000L)")
-_ORDER = f"({_MICROS}) * {_BITS}L + pmod(coalesce(ticket_id, 0L), {_BITS}L)"
+_ORDER = (f"CAST({_MICROS} AS DECIMAL(10,0)) * CAST('{_STEP}' AS DECIMAL(20,0)) + coalesce("
+          f"CAST(ticket_id AS DECIMAL(20,0)) + CAST('{_ABOVE_WEIGHTS}' AS DECIMAL(20,0)), "
+          f"CAST(greatest({WEIGHT} * 100, 0) AS DECIMAL(20,0)), 0)")
 
 
 def training_days(tickets, start=None, end=None, min_days=3):
     """Per-day statistics with rolling baseline, trend and scores, from clock hours."""
-    by_hour = keep(tickets, "valid", start, end).groupBy(
+    by_hour = keep(tickets, "valid", start, end).where("report_date IS NOT NULL").groupBy(
         "report_date", F.expr("hour(ts)").alias("clock_hour")
     ).agg(*aggregates({
         "tons": tons_where(), "fresh_tons": tons_where(IS_FRESH), "tickets": "count(1)",
@@ -39,9 +42,9 @@ def training_days(tickets, start=None, end=None, min_days=3):
     }))
     own = {
         "day_tons": "sum(tons)", "day_fresh": "sum(fresh_tons)", "tickets": "sum(tickets)",
-        "active_hours": "count(1)",
+        "active_hours": "count_if(clock_hour IS NOT NULL)",  # a ticket without a time is in the day only
         # Ties of the peak go to the earliest hour.
-        "peak": "max(struct(tons, -clock_hour AS minus_hour))",
+        "peak": "max(IF(clock_hour IS NULL, NULL, struct(tons, -clock_hour AS minus_hour)))",
         "latest": "max(struct(latest_ts AS ts, latest_tons AS tons))",
     }
     daily = by_hour.groupBy("report_date").agg(*aggregates(own))

@@ -1,5 +1,7 @@
 """The day record and the daily scorecard: every rule for every day in one job."""
 
+from datetime import date, timedelta
+
 from weighyard.functions.clock import slot_label
 from weighyard.functions.guards import double, percent
 from weighyard.functions.layers import aggregates, named, replace
@@ -91,12 +93,12 @@ def analysed(days, as_of, as_of_hour=12, std_column=None):
 def daily_scorecard(tickets, as_of, as_of_hour=12, start=None, end=None, closed="left"):
     """The whole dashboard of every day, straight from the tickets.
 
-    With `start` and `end` days of the range without tickets are present as 'no_data';
-    give a start 14 days before the first day of interest, since the range also bounds
-    what the baselines see.
+    With `start` and `end` days of the range without tickets are present as 'no_data'. The
+    scan starts 14 days earlier, so that baselines and trends see what they need.
     """
-    frame = hour_frame(tickets, closed=closed, start=start, end=end)
-    return analysed(day_records(frame), as_of, as_of_hour)
+    scanned = None if start is None else date.fromisoformat(str(start)) - timedelta(days=14)
+    days = day_records(hour_frame(tickets, closed=closed, start=scanned, end=end))
+    return analysed(days if start is None else days.where(f"report_date >= DATE'{start}'"), as_of, as_of_hour)
 
 
 def flat_scorecard(card):

@@ -85,9 +85,9 @@ def adapt(df, mapping=None):
 
 
 def ticket_extract(tickets, start=None, end=None, ordered=True):
-    """All columns of the valid tickets in a range, by day and time.
+    """All columns of the valid tickets in a range, by day, time and ticket.
 
     Training does not depend on the order and passes ordered=False to skip the sort.
     """
     chosen = keep(tickets, "valid", start, end)
-    return chosen.orderBy("report_date", "ts") if ordered else chosen
+    return chosen.orderBy("report_date", "ts", "ticket_id") if ordered else chosen
