@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import shutil
 import tempfile
 from pathlib import Path
@@ -55,6 +56,15 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files behind tables that are settled and no longer used.
+
+    It does so once the driver has collected their garbage; loops ask for it after each round.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def sized(lookup: DataFrame, row_bytes: int, most: int = BROADCAST_BYTES) -> DataFrame:
     """A settled lookup, marked for broadcast only when its counted rows fit into `most` bytes."""
     return F.broadcast(lookup) if lookup.count() * row_bytes <= most else lookup

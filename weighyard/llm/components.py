@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weighyard.llm.common import settle
+from weighyard.llm.common import release, settle
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -35,6 +35,7 @@ def components(links: DataFrame) -> DataFrame:
         for large in (True, False):
             edges = _star(edges, large).where("u > v").distinct()
         edges = settle(edges)
+        release(edges.sparkSession)
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == state:
             break

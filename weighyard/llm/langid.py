@@ -15,6 +15,9 @@ declarations that are wrong do not feed themselves. A row is rejected when its t
 when no language explains the text better than chance would, or when the best language stays under
 `ACCEPT`.
 
+A wrongly declared text also trains the language it claims, so in a tiny corpus a long text in an
+unknown language that is declared as a known one may pass; undeclared ones don't train.
+
 Cases: null or empty text, null declarations, hosts and ids are allowed; such evidence is left out,
 and a text without letters is rejected with language 'und'. Repeated rows are judged alike; equal
 probabilities go to the first language as listed. An empty table gives an empty result. `keep_known`

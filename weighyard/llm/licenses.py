@@ -96,7 +96,7 @@ UNKNOWN = "unknown"
 #: white space; a figure's point is none, since no white space follows it.
 _END = re.compile(r"(?<=[.;:!?])[!]*\s+|\n")
 _OTHER = re.compile(r"[^a-z0-9]+")
-_OWNER = re.compile(r"\bcopyright(?: c)? (?:[0-9]{4} ?)*.*$")
+_OWNER = re.compile(r"^copyright .*$")
 
 
 def normalised(sentence: str) -> str:
