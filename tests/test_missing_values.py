@@ -38,7 +38,7 @@ def test_ticket_without_time_counts_in_the_day_only(spark):
 def test_ticket_without_date_is_in_no_day(spark):
     tickets = table(spark, [ticket(1, at(DAY, 9), None, 7), ticket(2, at(DAY, 9), DAY, 3)])
     assert {r["report_date"] for r in hourly.hourly_tally(tickets).collect()} == {DAY}
-    assert {r["report_date"] for r in rolling.week_compare(tickets).collect()} == {DAY}
+    assert {r["base_date"] for r in rolling.week_compare(tickets).collect()} == {DAY}
     assert {r["report_date"] for r in training.training_days(tickets).collect()} == {DAY}
 
 

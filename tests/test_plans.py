@@ -63,5 +63,6 @@ def test_working_folder_is_the_configured_one(spark):
 
 def test_every_statement_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    without = set(entry.queries()) - set(entry.oracle_sql())
+    corpus = set(entry.corpus_queries())  # those without SQL have brute-force tests of their own
+    without = set(entry.queries()) - set(entry.oracle_sql()) - corpus
     assert without == {"model_predictions", "model_trend_outlook"}
