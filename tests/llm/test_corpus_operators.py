@@ -267,6 +267,16 @@ def test_bpe_ids_and_texts_are_those_of_the_library(docs, corpus, spark):
     assert codec.encode(docs("x").limit(0)).collect() == []
 
 
+def test_bpe_decodes_missing_and_empty_lists(spark):
+    codec = bpe_automaton.Codec(spark, f"{queries.TOKENIZERS}/byte_bpe_50k.json")
+    rows = spark.createDataFrame([(1, None), (2, []), (3, [40, 1]), (4, [160]), (5, [40])], "n int, ids array<int>").coalesce(1)
+    library = Tokenizer.from_file(f"{queries.TOKENIZERS}/byte_bpe_50k.json")
+    assert {r["n"]: r["decoded"] for r in codec.decode(rows).collect()} == {
+        n: library.decode(ids, skip_special_tokens=False) for n, ids in [(1, []), (2, []), (3, [40, 1]), (4, [160]), (5, [40])]}
+    assert codec.decode(rows.where("n < 3")).where("decoded = ''").count() == 2
+    assert codec.decode(rows.where("n > 9")).count() == 0
+
+
 def test_bpe_automaton_of_overlapping_merges():
     labels = {0: b"a", 1: b"b", 2: b"aa", 3: b"ab", 4: b"aab", 5: b"aaaa"}
     automaton = bpe_automaton.Automaton.compile(labels, [(0, 0, 2), (0, 1, 3), (2, 1, 4), (2, 2, 5)])

@@ -31,6 +31,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -161,16 +162,16 @@ class Coder:
     def __init__(self, automaton: Automaton, special: dict[str, int], unknown=""):
         self.automaton, self.special = automaton, special
         self.usual = regex.compile(SPLIT)
-        self.unknown = regex.compile(f"[{unknown}]") if unknown else None
+        self.unknown = frozenset(unknown)
         self.careful = regex.compile("(?V1)" + SPLIT.replace(r"[^\s\p{L}\p{N}]", rf"[[^\s\p{{L}}\p{{N}}]||[{unknown}]]").replace(
             r" ?\p{L}+", rf" ?[\p{{L}}--[{unknown}]]+").replace(r" ?\p{N}+", rf" ?[\p{{N}}--[{unknown}]]+")) if unknown else None
         self.words = _Memory(lambda word: array("i", automaton.encode_word(word.encode())).tobytes(), WORDS)
         self.chunks = _Memory(self._chunk, CHUNKS)
         self.stops = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
-        self.labels = [automaton.labels.get(i, b"") for i in range(max(automaton.labels) + 1)]
+        self.labels = pa.array([automaton.labels.get(i, b"") for i in range(max(automaton.labels) + 1)], pa.large_binary())
 
     def split(self, text: str) -> list[str]:
-        if self.unknown is not None and not text.isascii() and self.unknown.search(text):
+        if self.unknown and not text.isascii() and not self.unknown.isdisjoint(text):
             return self.careful.findall(text)
         return self.usual.findall(text)
 
@@ -202,8 +203,14 @@ class Coder:
         return b"".join(np.array([self.special[part]], "<i4").tobytes() if part in self.special else self._plain(part)
                         for part in self.stops.split(text) if part)
 
-    def decode(self, ids) -> str:
-        return b"".join(map(self.labels.__getitem__, ids)).decode("utf-8", "replace")
+    def decode(self, ids: pa.ListArray) -> list[str]:
+        """The text of each list: the labels of all lists side by side, cut where a list ends."""
+        counts = pc.fill_null(pc.list_value_length(ids), 0)
+        taken = self.labels.take(ids.flatten())
+        _, starts, body = taken.buffers()
+        starts = np.frombuffer(starts, "<i8", len(taken) + 1)[np.cumsum([0, *counts.to_pylist()])]
+        body = memoryview(body or b"")
+        return [str(body[a:b], "utf-8", "replace") for a, b in zip(starts[:-1], starts[1:], strict=True)]
 
 
 class _Memory(dict):
@@ -273,7 +280,7 @@ class Codec:
             for batch in batches:
                 for at in range(0, batch.num_rows, _ROWS):
                     part = batch.slice(at, _ROWS)
-                    bodies = [own.decode(x or ()) for x in part.column(len(kept)).to_pylist()]
+                    bodies = own.decode(part.column(len(kept)))
                     yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(bodies, pa.string())], names=[*kept, text])
 
         ordered = rows.select(*[col(name) for name in kept], col(ids))
