@@ -9,14 +9,17 @@ from pyspark.sql import functions as F
 from weighyard.llm import (
     bpe_automaton,
     compression_quality,
+    conversation_repair,
     exact_dedup,
     hilbert_ann,
     jaccard_join,
     langid,
     licenses,
+    lm_scoring,
     packing,
     paragraph_dedup,
     pii,
+    whitening,
 )
 from weighyard.llm.common import table
 
@@ -81,6 +84,22 @@ def op10_paragraph_dedup(spark, sf):
     return paragraph_dedup.repeated_passages(table(spark, sf, "documents"))
 
 
+def op11_conversation_repair(spark, sf):
+    rows = conversation_repair.turns(table(spark, sf, "conversations"))
+    return conversation_repair.repair_report(conversation_repair.damage(rows), rows)
+
+
+def op12_whitening(spark, sf):
+    whitened = whitening.whiten(table(spark, sf, "embeddings"))
+    return whitened.withColumn("deviation", F.expr("try_cast(deviation AS BIGINT)"))
+
+
+def op13_lm_scoring(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text").withColumn(
+        "held_out", F.expr("coalesce(crc32(CAST(doc_id AS STRING)) % 5 = 1, false)"))
+    return lm_scoring.score(docs, lm_scoring.train(docs.where("NOT held_out")), carry=["doc_id", "held_out"])
+
+
 def queries():
     return {
         "op1_pii": op1_pii,
@@ -94,6 +113,9 @@ def queries():
         "op8_packing": op8_packing,
         "op9_license_scan": op9_license_scan,
         "op10_paragraph_dedup": op10_paragraph_dedup,
+        "op11_conversation_repair": op11_conversation_repair,
+        "op12_whitening": op12_whitening,
+        "op13_lm_scoring": op13_lm_scoring,
     }
 
 
