@@ -14,7 +14,7 @@ counts, so a text's probability is normalised over all known words and one unkno
 How it runs: words are counted over all training texts (partial counts in the tasks, one shuffle), then
 class n-grams are counted over all training texts. Every epoch deals all distinct n-grams with their
 counts over tasks; each task runs its share with numpy from the common parameters, and their mean,
-weighted by n-grams, is the next common state. The parameters and the HEAD most frequent words are small
+weighted by n-grams, is the next common state. The parameters and the most frequent words, at most HEAD, are small
 by parameter and go to the tasks; the counts of all other words stay in a table that the rare words of
 the texts are joined to.
 
@@ -29,6 +29,7 @@ import re
 import zlib
 from collections import Counter
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -74,10 +75,6 @@ def token_lists(text: bytes):
     yield [*text[start:].lower().split(), END]
 
 
-def spelled_class(word: bytes, spellings: int) -> int:
-    return zlib.crc32(word[-ENDING:]) % spellings
-
-
 class Classes:
     """Words to classes; the most frequent words and their counts are kept in a dictionary."""
 
@@ -87,16 +84,15 @@ class Classes:
         self.count = self.shortlist + spellings
         self.head = {word: k for k, (word, _) in enumerate(head)}
         self.counts = np.array([c for _, c in head], np.float64)
-        self.of_head = np.array([k if k < self.shortlist else self.shortlist + spelled_class(word, spellings)
+        self.of_head = np.array([k if k < self.shortlist else self.shortlist + zlib.crc32(word[-ENDING:]) % spellings
                                  for k, (word, _) in enumerate(head)], np.int64)
 
     def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(place in the head or -1, class) of each word."""
-        get = self.head.get
-        places = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+        places = np.fromiter(map(self.head.get, words, repeat(-1)), np.int64, len(words))
         classes = self.of_head[places] if len(self.of_head) else np.empty(len(words), np.int64)
-        for k in np.nonzero(places < 0)[0].tolist():
-            classes[k] = self.shortlist + spelled_class(words[k], self.spellings)
+        rare = np.nonzero(places < 0)[0]
+        classes[rare] = [self.shortlist + zlib.crc32(words[j][-ENDING:]) % self.spellings for j in rare.tolist()]
         return places, classes
 
 
@@ -184,15 +180,15 @@ class Model:
     def predicted(self, two: np.ndarray, one: np.ndarray) -> np.ndarray:
         return self.r[one] * self.c1 + self.r[two] * self.c2
 
-    def log_norms(self, two: np.ndarray, one: np.ndarray) -> np.ndarray:
-        """Natural log of the normaliser of each context, by a matrix product with all classes."""
-        out = np.empty(len(two))
-        for start in range(0, len(two), 4096):
-            at = slice(start, start + 4096)
-            scores = self.predicted(two[at], one[at]) @ self.q.T + self.b
-            top = scores.max(axis=1)
-            out[at] = top + np.log(np.exp(scores - top[:, None]).sum(axis=1))
-        return out
+    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Scores of every class by the class one place and two places before, and the log normaliser by both.
+
+        exp(x + y) = exp(x) exp(y), so the normalisers of all contexts are one matrix product.
+        """
+        one, two = (self.r * self.c1) @ self.q.T, (self.r * self.c2) @ self.q.T + self.b
+        top_one, top_two = one.max(axis=1), two.max(axis=1)
+        norms = np.exp(two - top_two[:, None]) @ np.exp(one - top_one[:, None]).T
+        return one, two, np.log(norms) + top_two[:, None] + top_one[None, :]
 
 
 def _sum_rows(size: int, places: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -266,11 +262,27 @@ class Trained:
     classes: Classes
     #: Natural log of the count mass of each class, N + 0.5 * (V + 1) over its words.
     masses: np.ndarray
+    #: Words from this count on are in the head.
+    least: int
     tokens: int
     distinct: int
     vocabulary: DataFrame
 
 
+def _least_count(vocabulary: DataFrame) -> int:
+    """The least count from which on there are at most HEAD words, to within an eighth."""
+    # Small counts are steps of their own, large ones an eighth of their size wide: a few hundred steps.
+    step = F.when(F.col("c") < 64, F.col("c")).otherwise(F.floor(F.log2(F.col("c") / 64.0) * 8) + 64).cast("bigint")
+    least = words = 0
+    for row in vocabulary.groupBy(step.alias("step")).agg(
+            F.count(F.lit(1)).alias("n"), F.min("c").alias("c")).orderBy(F.desc("step")).collect():
+        words += row.n
+        if words > HEAD:
+            return least or row.c + 2**62
+        least = row.c
+    return least
+
+
 def train(texts: DataFrame, column: str = "text", shortlist: int = SHORTLIST, spellings: int = SPELLINGS,
           epochs: int = EPOCHS) -> Trained:
     """Fit on all rows of `texts`."""
@@ -280,7 +292,8 @@ def train(texts: DataFrame, column: str = "text", shortlist: int = SHORTLIST, sp
     body.mapInArrow(_count_words, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c")).write.parquet(path)
     vocabulary = spark.read.parquet(path)
     totals = vocabulary.agg(F.count(F.lit(1)).alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("n")).first()
-    head = [(bytes(r.word), r.c) for r in vocabulary.orderBy(F.desc("c"), "word").limit(HEAD).collect()]
+    least = _least_count(vocabulary)
+    head = sorted(((bytes(r.word), r.c) for r in vocabulary.where(F.col("c") >= least).collect()), key=lambda w: (-w[1], w[0]))
     classes = Classes(head, shortlist, spellings)
     k, own = classes.count, classes.shortlist
 
@@ -305,7 +318,7 @@ def train(texts: DataFrame, column: str = "text", shortlist: int = SHORTLIST, sp
         ngrams = spark.read.parquet(grams)
         for number in range(epochs):
             model = _epoch(ngrams, model, noise, number)
-    return Trained(model, classes, np.log(masses), int(totals.n), int(totals.v), vocabulary)
+    return Trained(model, classes, np.log(masses), least, int(totals.n), int(totals.v), vocabulary)
 
 
 def _score_texts(trained: Trained, carried: int, names: list[str]):
@@ -321,17 +334,13 @@ def _score_texts(trained: Trained, carried: int, names: list[str]):
     def run(batches):
         from pyspark import TaskContext
 
-        norms = np.full((k + 1) * (k + 1), np.nan)
         row = TaskContext.get().partitionId() << 33
+        by_one, by_two, norms = (table.ravel() for table in model.tables())
 
-        def numerators(codes, ids):
+        def of_classes(codes, ids):
             """Log probability of each token's class in its context."""
-            fresh = np.unique(codes[np.isnan(norms[codes])])
-            if len(fresh):
-                norms[fresh] = model.log_norms(fresh // (k + 1), fresh % (k + 1))
-            at, place = np.unique(codes, return_inverse=True)
-            predicted = model.predicted(at // (k + 1), at % (k + 1))
-            return np.einsum("nd,nd->n", predicted[place], model.q[ids]) + model.b[ids] - norms[codes]
+            two, one = codes // (k + 1), codes % (k + 1)
+            return by_one[one * k + ids] + by_two[two * k + ids] - norms[codes]
 
         def score(bodies):
             """Scores of some texts, TOKENS at a time."""
@@ -345,7 +354,7 @@ def _score_texts(trained: Trained, carried: int, names: list[str]):
                 ids, places, codes = (np.concatenate([h[j] for h in held]) for j in (1, 2, 3))
                 inside = np.where(places >= 0, logs[places] if len(logs) else 0.0, unknown)
                 base[:] += np.bincount(owner, inside, n)
-                lm[:] += np.bincount(owner, inside - masses[ids] + numerators(codes, ids), n)
+                lm[:] += np.bincount(owner, inside - masses[ids] + of_classes(codes, ids), n)
                 tokens[:] += np.bincount(owner, minlength=n)
                 known[:] += np.bincount(owner, places >= 0, n).astype(np.int64)
 
@@ -395,13 +404,7 @@ def score(df: DataFrame, trained: Trained, column: str = "text", carry: list[str
     scored = spark.read.parquet(path)
 
     # Rare words meet their counts: what each adds to the half count it was given as an unknown word.
-    least = len(trained.classes.counts)
-    rare = trained.vocabulary
-    if least >= HEAD:
-        last, c = next(reversed(trained.classes.head)), int(trained.classes.counts[-1])
-        rare = rare.where((F.col("c") < c) | ((F.col("c") == c) & (F.col("word") > F.lit(last))))
-    else:
-        rare = rare.limit(0)
+    rare = trained.vocabulary.where(F.col("c") < trained.least)
     words = scored.select("row", F.explode("tail").alias("t")).select("row", "t.word", "t.n")
     added = words.join(rare, "word").groupBy("row").agg(
         F.sum("n").alias("tail_known"), F.sum(F.col("n") * F.log((F.col("c") + 0.5) / 0.5)).alias("gain"))
