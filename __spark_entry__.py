@@ -14,17 +14,18 @@ from pyspark.sql import types as T
 
 from oracles import all_statements
 from oracles.rules import AS_OF
+from weighyard import schema as S
 from weighyard.functions.clock import with_business_day
 from weighyard.functions.codes import explode_findings
 from weighyard.functions.guards import clean_numeric
 from weighyard.functions.predicates import keep
 from weighyard.functions.text import grouped_number
-from weighyard.operators import advice, daily, forecast, hourly, hourstats, personas, rolling, rules, training
-from weighyard.plans import models, reports, scorecard
+from weighyard.operators import advice, daily, forecast, hourly, hourstats, personas, rolling, rules, sketches, training
+from weighyard.plans import dashboard, models, reports, scorecard
 from weighyard.session import scratch_path
 from weighyard.sources import sinks, tables, training_log
 from weighyard.sources.tickets import ticket_extract
-from weighyard.streaming import live
+from weighyard.streaming import live, serving
 
 try:  # the corpus operators may be taken away; everything else works without them
     import corpus_pipeline
@@ -34,6 +35,7 @@ except ImportError:
 
 BANDS = dict(high=600, medium=400, low=200)
 AS_OF_HOUR = 13
+RANGE = {"start": "1996-02-20", "end": "1997-03-10"}
 
 
 def plain(df: DataFrame, *rounded: str) -> DataFrame:
@@ -72,6 +74,18 @@ def clocked(spark, sf):
     return tables.from_lineitem(spark, sf, clock=True)
 
 
+def loose(spark, sf):
+    return tables.event_tickets_loose(tables.load(spark, sf, "events"))
+
+
+def on_the_hour(spark, sf):
+    return tables.event_tickets_on_the_hour(tables.load(spark, sf, "events"))
+
+
+def daily_counts(tickets):
+    return daily.daily_training_agg(tickets, "all")
+
+
 def frame(spark, sf):
     return hourly.hour_frame(events(spark, sf))
 
@@ -252,6 +266,92 @@ def q_stream_alerts(spark, sf):
     return plain(spark.read.parquet(f"{path}/out").drop("batch_id"), "value")
 
 
+def delivered(spark, sf, split):
+    """Event tickets delivered to a folder in three parts; after each part every query in `runs` is run once."""
+    path = scratch_path(spark, "deliveries")
+    tickets = split(events(spark, sf))
+    kept = [c for c in tickets.columns if c != "delivery"]
+
+    def deliver(*runs):
+        for part in range(3):
+            tickets.where(f"delivery = {part}").select(*kept).write.mode("append").parquet(f"{path}/tickets")
+            for run in runs:
+                run(live.read_ticket_stream(spark, f"{path}/tickets")).awaitTermination()
+        return path
+    return deliver
+
+
+def thirds(tickets):
+    return tickets.selectExpr("*", "CAST(crc32(CAST(ticket_id AS STRING)) % 3 AS INT) AS delivery")
+
+
+def q_stream_alert_table(spark, sf):
+    """Three deliveries that each fill all days; alerts of the first ones are withdrawn by the last."""
+    deliver, out = delivered(spark, sf, thirds), scratch_path(spark, "alert-table")
+    deliver(lambda tickets: serving.start_alert_table(
+        live.live_day(tickets, "60 days", whole=True), out, f"{out}/state"))
+    return plain(serving.open_alerts(spark, out), "value")
+
+
+def q_stream_hourly_late(spark, sf):
+    """Three deliveries with tickets beyond the watermark; the days they belong to are tallied anew."""
+    deliver, out = delivered(spark, sf, tables.arrivals), scratch_path(spark, "hour-table")
+    schema = live.live_hourly(live.read_ticket_stream(spark, sf, schema=S.TICKET), whole=True).schema
+    path = deliver(
+        lambda tickets: serving.start_table(live.live_hourly(tickets, whole=True), f"{out}/hours", f"{out}/s1", ("report_date", "slot")),
+        lambda tickets: serving.start_arrivals(tickets, f"{out}/arrivals", f"{out}/s2"))
+    serving.retally_short_days(spark.read.parquet(f"{path}/tickets"), f"{out}/hours", schema, f"{out}/arrivals")
+    return plain(serving.tally_columns(serving.read_days(spark, f"{out}/hours", schema)))
+
+
+def q_distinct_trucks(spark, sf):
+    """Distinct trucks per month from day sketches, next to the exact count; `near` tells whether they agree."""
+    tickets = lines(spark, sf)
+    near = sketches.distinct_by(sketches.truck_sketches(tickets)).withColumnRenamed("trucks", "estimate").drop("days")
+    exact = sketches.distinct_exact(tickets, period="date_format(report_date, 'yyyy-MM')")
+    return plain(exact.join(near, "month").selectExpr(
+        "month", "days", "trucks", f"abs(estimate - trucks) <= greatest(1, {sketches.TOLERANCE} * trucks) AS near"))
+
+
+def boards(build):
+    def query(spark, sf):
+        return plain(build(dashboard.dashboard(events(spark, sf), AS_OF, AS_OF_HOUR)), "overall_score")
+    return query
+
+
+def q_train_log(spark, sf):
+    """One run per year of the history, committed twice: every run leaves one line."""
+    path = scratch_path(spark, "committed-log")
+    first, last = F.min("report_date"), F.max("report_date")
+    runs = keep(lines(spark, sf)).groupBy(F.year("report_date").cast("string").alias("run_id")).agg(
+        F.date_format(last, "yyyy-MM-dd 00:00:00").alias("trained_at"),
+        F.struct(first.cast("string").alias("start"), last.cast("string").alias("end")).alias("train_range"),
+        F.countDistinct("report_date").alias("days_used"), F.count(F.lit(1)).alias("total_records_used"))
+    training_log.log_runs(runs, path)
+    training_log.log_runs(runs, path)
+    training_log.append_training_log(spark, path, "1990-01-01 00:00:00", "1989-01-01", "1989-12-31", 0, 0, "none", "", run_id="0")
+    return plain(training_log.read_training_log(spark, path).selectExpr(
+        "CAST(run_id AS STRING) AS run_id", "trained_at", "train_range.start AS first_day", "train_range.end AS last_day",
+        "days_used", "total_records_used AS tickets"))
+
+
+def trained_models(spark, sf):
+    """A committed training job over the whole history: (its records, its models, the models read back)."""
+    folder = scratch_path(spark, "trained")
+    tickets = clocked(spark, sf)
+    fitted = models.train_job(tickets, "1990-01-01", "2010-12-31", folder, trained_at="2010-12-31 00:00:00")
+    return training.training_records(tickets, "1990-01-01", "2010-12-31"), fitted, models.committed_models(spark, folder)
+
+
+def q_scaler_stats(spark, sf):
+    return plain(models.scaler_stats(trained_models(spark, sf)[2], spark), "mean", "std")
+
+
+def q_model_facts(spark, sf):
+    days, fitted, reloaded = trained_models(spark, sf)
+    return plain(models.model_facts(fitted, days, reloaded).drop("model_error"), "label_mean", "mean_error", "label_min", "label_max")
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: the daily scorecard of every day, straight from the tickets."""
     return scorecard_of(events)(spark, "/root/testdata/sf0.001")
@@ -278,6 +378,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "hourly_tally_second": on(events, hourly.hourly_tally, closed="second"),
         "hourly_tally_closed": on(lines, hourly.queue_tally),
         "hourly_with_total": on(events, lambda t: hourly.with_day_total(hourly.hourly_tally(t))),
+        "hourly_rollup": on(events, hourly.hourly_rollup),
+        "hourly_closed_mixed": on(on_the_hour, hourly.queue_tally),
+        "hourly_both_mixed": on(on_the_hour, hourly.hourly_tally, closed="both"),
+        "valid_tickets_ci": on(loose, lambda t: daily_counts(keep(t))),
         "hour_efficiency": on(events, lambda t: hourly.hour_efficiency(hourly.hourly_tally(t), 600, 400),
                               columns=["report_date", "slot", "total_tons", "efficiency"]),
         "sorted_tally": q_sorted_tally,
@@ -323,6 +427,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "ticket_with_baseline": on(lines, rolling.ticket_with_baseline),
         "week_compare": on(lines, rolling.week_compare),
         "week_compare_daily": on(lines, rolling.week_compare_daily),
+        # ranges: the scan reads what the answers need
+        "baseline_7d_range": on(lines, rolling.baseline_7d, **RANGE),
+        "trend_7v7_range": on(lines, rolling.trend_7v7, **RANGE),
+        "rolling_baseline_range": on(lines, rolling.rolling_baseline, **RANGE),
+        "rolling_trend_range": on(lines, rolling.rolling_trend, **RANGE),
+        "week_compare_range": on(lines, rolling.week_compare, **RANGE),
+        "week_compare_day": on(lines, rolling.week_compare_daily, base_date=RANGE["end"]),
+        "distinct_trucks": q_distinct_trucks,
         # rules over the day records
         "day_scores": on(judged, lambda d: d, columns=["report_date", "quantity", "quality", "stability"]),
         "persona": on(judged, lambda d: d, columns=["report_date", "trend_score", "persona"]),
@@ -353,7 +465,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "advice_evening": advice_at(19),
         "daily_scorecard": scorecard_of(events),
         "daily_scorecard_history": scorecard_of(clocked),
+        "dashboard_hours": boards(dashboard.dashboard_hours),
+        "dashboard_days": boards(dashboard.dashboard_days),
         # models
+        "train_log": q_train_log,
+        "scaler_stats": q_scaler_stats,
+        "model_facts": q_model_facts,
         "training_records": on(trained, lambda d: d),
         "ml_features": on(trained, training.training_table),
         "ml_clamp": on(predicted, forecast.clamp_prediction, columns=[
@@ -369,6 +486,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "stream_hourly_tally": streamed(live.live_hourly, ["report_date", "slot"]),
         "stream_day_total": streamed(live.live_day, ["report_date"]),
         "stream_alerts": q_stream_alerts,
+        "stream_alert_table": q_stream_alert_table,
+        "stream_hourly_late": q_stream_hourly_late,
         **corpus_queries(),
     }
 

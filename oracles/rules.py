@@ -1,6 +1,6 @@
 """The rule sheet over the day records."""
 
-from oracles.base import CLOCK_DAYS, EVENT_DAYS, big, day, txt
+from oracles.base import CLOCK_DAYS, EVENT_DAYS, big, day, label, txt
 
 S = {}
 
@@ -317,4 +317,38 @@ S["analysis_report"] = f"""WITH {CLOCK_DAYS},\n{RULES} SELECT {day()}, tons AS t
     CASE WHEN status = 'full' AND tons > 0 AND active_hours > 4 AND active_hours < 24
       THEN tons + tons / active_hours * (24 - active_hours) END AS projected_tons FROM q3"""
 
+S["stream_alert_table"] = S["stream_alerts"]
+
+# --- the dashboard in long and flat form ---------------------------------------------------
+_MEANS = ("a_count", "b_count", "a_tons", "b_tons")
+_SEASON = "a_count b_count a_tons b_tons fresh_tons burnt_tons".split()
+
+
+def _part(one, both, name):
+    return f"CASE WHEN {both} > 0 THEN CAST({one} AS DOUBLE) / CAST({both} AS DOUBLE) * 100 ELSE 0 END AS {name}"
+
+
+S["dashboard_hours"] = f"""WITH {EVENT_DAYS},\n{RULES} SELECT {day('h.report_date')}, status, {big('h.slot').replace('AS h.slot', 'AS slot')},
+    {label('h.slot')} AS time_label, {', '.join(f"CAST(h.{c} AS BIGINT) AS {c}" for c in ('a_count', 'b_count', 'total_count'))},
+    {', '.join(f"CAST(h.{c} AS DOUBLE) AS {c}" for c in ('a_tons', 'b_tons', 'fresh_tons', 'burnt_tons', 'total_tons'))},
+    {', '.join(f"CAST(SUM(h.{c}) OVER (PARTITION BY h.report_date ORDER BY h.slot) AS DOUBLE) AS cum_{c}"
+               for c in ('a_tons', 'b_tons', 'fresh_tons', 'burnt_tons'))}
+  FROM hours h JOIN q3 ON q3.report_date = h.report_date"""
+S["dashboard_days"] = f"""WITH {EVENT_DAYS},\n{RULES}, own AS (
+    SELECT report_date, {', '.join(f'SUM({c}) AS {c}' for c in _SEASON)} FROM hours GROUP BY report_date),
+  all_days AS (SELECT {', '.join(f'SUM({c}) AS s_{c}' for c in _SEASON)} FROM hours)
+  SELECT {day('q3.report_date')}, status, CASE WHEN status = 'full' THEN persona END AS persona, tons, avg_tons, fresh_pct,
+    CASE WHEN status = 'full' THEN ROUND(overall_score, 6) ELSE 0 END AS overall_score,
+    COALESCE({label('peak_slot')}, 'N/A') AS peak_label,
+    CASE WHEN active_hours > 0 THEN tons / active_hours * 24 ELSE 0 END AS forecast_tons,
+    {', '.join(f'CAST(own.{c} AS DOUBLE) / 24 AS mean_{c}' for c in _MEANS)},
+    {_part('own.fresh_tons', '(own.fresh_tons + own.burnt_tons)', 'share_fresh_pct')},
+    {_part('own.burnt_tons', '(own.fresh_tons + own.burnt_tons)', 'share_burnt_pct')},
+    {_part('own.a_tons', '(own.a_tons + own.b_tons)', 'share_a_pct')}, {_part('own.b_tons', '(own.a_tons + own.b_tons)', 'share_b_pct')},
+    {', '.join(f'CAST(s_{c} AS DOUBLE) AS season_{c}' for c in _SEASON)},
+    {_part('s_a_tons', '(s_a_tons + s_b_tons)', 'season_a_tons_pct')},
+    {_part('s_a_count', '(s_a_count + s_b_count)', 'season_a_trucks_pct')},
+    {_part('s_fresh_tons', '(s_fresh_tons + s_burnt_tons)', 'season_fresh_pct')}
+  FROM q3 JOIN own ON own.report_date = q3.report_date, all_days"""
+
 STATEMENTS = S

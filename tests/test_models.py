@@ -81,3 +81,39 @@ def test_compare_with_prediction(spark):
     assert low["model_actions"] == ["CHECK_TRANSPORT", "CHECK_BURNT_HANDLING", "FIND_CAUSES"]
     assert (normal["model_findings"], normal["model_actions"]) == (["NORMAL"], ["KEEP_STANDARD"])
     assert high["model_findings"] == ["TONS_ABOVE_PREDICTION", "FRESH_ABOVE_PREDICTION", "GOOD_DAY_LIKELY"]
+
+
+def test_runs_are_commits(spark, history, tmp_path):
+    folder = str(tmp_path / "runs")
+    log = folder + "/training_history"
+
+    def lines():
+        return sorted((r.run_id, r.trained_at) for r in training_log.read_training_log(spark, log).collect())
+
+    models.train_job(history, "2024-12-01", "2025-01-20", folder, "2025-02-01 08:00:00", trees=3, depth=3, run_id="a")
+    models.train_job(history, "2024-12-01", "2025-01-20", folder, "2025-02-01 09:00:00", trees=3, depth=3, run_id="a")
+    assert lines() == [("a", "2025-02-01 09:00:00")]
+    # A run that breaks off has staged models but no line, and is not used.
+    models.save_models({}, folder + "/runs/b")
+    assert lines() == [("a", "2025-02-01 09:00:00")]
+    models.train_job(history, "2024-12-05", "2025-01-20", folder, "2025-02-02 09:00:00", trees=3, depth=3)
+    assert [r for r, _ in lines()] == ["20241205_20250120", "a"]
+    newest = models.committed_models(spark, folder)
+    chosen = models.committed_models(spark, folder, "a")
+    days = training.training_records(history, "2024-12-01", "2025-01-20")
+    assert models.predict(newest, days).count() == models.predict(chosen, days).count() == days.count()
+    with pytest.raises(LookupError):
+        models.committed_models(spark, folder, "b")
+
+
+def test_facts_about_models(spark, history):
+    days = training.training_records(history)
+    fitted = models.fit_models(training.training_table(days), trees=5, depth=4)
+    facts = {r.model: r for r in models.model_facts(fitted, days, fitted).collect()}
+    assert set(facts) == {"tons", "fresh", "good"}
+    assert all(r.inside and r.same_after_reload and r.days == days.count() for r in facts.values())
+    assert facts["tons"].better_than_mean and facts["tons"].model_error < facts["tons"].mean_error
+    assert models.model_facts(fitted, days).first().same_after_reload is None
+    stats = {r.feature: r for r in models.scaler_stats(fitted, spark).collect()}
+    tons = [r.tons for r in days.collect()]
+    assert stats["tons"].mean == pytest.approx(sum(tons) / len(tons)) and len(stats) == 14

@@ -5,9 +5,11 @@ looks back at it and the copies are summed there. That is one shuffle with parti
 aggregation, it needs no global ordering, and no task ever holds the whole history.
 """
 
+from datetime import date, timedelta
+
 from weighyard.functions.guards import percent, percent_change, ratio
 from weighyard.functions.layers import add, aggregates, named
-from weighyard.functions.predicates import keep
+from weighyard.functions.predicates import date_range, keep
 from weighyard.operators.hourly import IS_FRESH, ZERO, tons_where
 from weighyard.plans.joins import lookup_join
 
@@ -16,9 +18,18 @@ WEEK_BEFORE = (8, 14)
 FORTNIGHT = (1, 14)
 
 
-def ticket_days(tickets, predicate="valid"):
-    """Per day: tons, fresh tons, tickets. The only shuffle of ticket-derived rows."""
-    return keep(tickets, predicate).where("report_date IS NOT NULL").groupBy("report_date").agg(*aggregates({
+def scan_start(start, reach):
+    """The first day to scan for answers from `start` on that look `reach` days back."""
+    return None if start is None else date.fromisoformat(str(start)) - timedelta(days=reach)
+
+
+def ticket_days(tickets, predicate="valid", start=None, end=None, reach=0):
+    """Per day: tons, fresh tons, tickets. The only shuffle of ticket-derived rows.
+
+    The range of answers becomes the range of the scan: the days before `start` that the windows look
+    back at, and nothing after `end`. It is a condition on the raw date, so it prunes partitions.
+    """
+    return keep(tickets, predicate, scan_start(start, reach), end).where("report_date IS NOT NULL").groupBy("report_date").agg(*aggregates({
         "tons": tons_where(), "fresh_tons": tons_where(IS_FRESH), "tickets": "count(1)"}))
 
 
@@ -73,15 +84,17 @@ def trend_columns(now="week", before="prior"):
     }
 
 
-def baseline_7d(tickets, idle_days=False):
-    """For every day: mean tons per data-day and fresh share of the seven days before."""
-    spans = trailing(ticket_days(tickets), {"week": WEEK}, idle_days=idle_days)
+def baseline_7d(tickets, idle_days=False, start=None, end=None):
+    """For every day, or those of a range: mean tons per data-day and fresh share of the seven days before."""
+    days = ticket_days(tickets, start=start, end=end, reach=WEEK[1])
+    spans = trailing(days, {"week": WEEK}, idle_days=idle_days).where(date_range(start, end))
     return spans.selectExpr("report_date", *named(baseline_columns()))
 
 
-def trend_7v7(tickets, idle_days=False):
-    """For every day: the seven days before against the seven before those."""
-    spans = trailing(ticket_days(tickets), {"week": WEEK, "prior": WEEK_BEFORE}, idle_days=idle_days)
+def trend_7v7(tickets, idle_days=False, start=None, end=None):
+    """For every day, or those of a range: the seven days before against the seven before those."""
+    days = ticket_days(tickets, start=start, end=end, reach=WEEK_BEFORE[1])
+    spans = trailing(days, {"week": WEEK, "prior": WEEK_BEFORE}, idle_days=idle_days).where(date_range(start, end))
     return spans.selectExpr("report_date", *named(trend_columns()))
 
 
@@ -122,15 +135,19 @@ def rolling_trend_columns(now="week", before="prior"):
     }
 
 
-def rolling_baseline(tickets, min_days=3):
-    spans = trailing(ticket_days(tickets), {"week": WEEK}, carry=("tons", "fresh_tons"))
+def rolling_baseline(tickets, min_days=3, start=None, end=None):
+    """Own sums and the training baseline of every day, or of those of a range."""
+    days = ticket_days(tickets, start=start, end=end, reach=WEEK[1])
+    spans = trailing(days, {"week": WEEK}, carry=("tons", "fresh_tons")).where(date_range(start, end))
     return spans.selectExpr(
         "report_date", "tons", "fresh_tons", f"{percent('fresh_tons', 'tons')} AS fresh_pct",
         *named(rolling_baseline_columns(min_days=min_days)))
 
 
-def rolling_trend(tickets):
-    spans = trailing(ticket_days(tickets), {"week": WEEK, "prior": WEEK_BEFORE})
+def rolling_trend(tickets, start=None, end=None):
+    """The training trend of every day, or of those of a range."""
+    days = ticket_days(tickets, start=start, end=end, reach=WEEK_BEFORE[1])
+    spans = trailing(days, {"week": WEEK, "prior": WEEK_BEFORE}).where(date_range(start, end))
     return spans.selectExpr("report_date", *named(rolling_trend_columns()))
 
 
@@ -141,17 +158,21 @@ def ticket_with_baseline(tickets, min_days=3, predicate="valid"):
     return lookup_join(keep(tickets, predicate), days, "report_date", how="left")
 
 
-def _tons_and_trucks(tickets, predicate):
-    return keep(tickets, predicate).where("report_date IS NOT NULL").groupBy("report_date").agg(
+#: Base dates look back at 13 days before themselves.
+FORTNIGHT_BACK = 13
+
+
+def _tons_and_trucks(tickets, predicate, start=None, end=None):
+    return keep(tickets, predicate, scan_start(start, FORTNIGHT_BACK), end).where("report_date IS NOT NULL").groupBy("report_date").agg(
         *aggregates({"tons": tons_where(), "trucks": "count(1)"}))
 
 
 def week_compare_daily(tickets, base_date=None, predicate="printed"):
     """Day rows labelled current [D-6, D] or previous [D-13, D-7] for base dates D.
 
-    Without `base_date` every day in the table is a base date.
+    Without `base_date` every day in the table is a base date; with it only the 14 days it needs are read.
     """
-    fan = _tons_and_trucks(tickets, predicate).selectExpr(
+    fan = _tons_and_trucks(tickets, predicate, base_date, base_date).selectExpr(
         "*", "explode(sequence(0, 13)) AS lag",
     ).selectExpr("date_add(report_date, lag) AS base_date", "lag",
                  "struct(report_date, IF(lag <= 6, 'current', 'previous') AS period, tons, trucks) AS row")
@@ -165,10 +186,10 @@ def week_compare_daily(tickets, base_date=None, predicate="printed"):
     return gathered.selectExpr("base_date", "inline(rows)")
 
 
-def week_compare(tickets, predicate="printed"):
-    """For every day D: totals and means of [D-6, D] and [D-13, D-7] and their change."""
-    spans = trailing(_tons_and_trucks(tickets, predicate),
-                     {"current": (0, 6), "previous": (7, 13)}, sums=("tons",))
+def week_compare(tickets, predicate="printed", start=None, end=None):
+    """For every day D, or those of a range: totals and means of [D-6, D] and [D-13, D-7] and their change."""
+    spans = trailing(_tons_and_trucks(tickets, predicate, start, end),
+                     {"current": (0, 6), "previous": (7, FORTNIGHT_BACK)}, sums=("tons",)).where(date_range(start, end))
     means = add(spans, {
         "current_avg": ratio("current_tons", "current_days"),
         "previous_avg": ratio("previous_tons", "previous_days"),

@@ -54,3 +54,9 @@ def shared_dir(spark):
 def scratch_path(spark, name):
     """A fresh path under the shared folder for a table a job writes and reads back."""
     return f"{shared_dir(spark).rstrip('/')}/weighyard/{name}-{uuid.uuid4().hex}"
+
+
+def path_exists(spark, path):
+    """Whether a file or folder is there, in whatever store the path names."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)

@@ -52,3 +52,41 @@ def from_events(spark, folder):
 
 def from_lineitem(spark, folder, clock=False):
     return lineitem_tickets(load(spark, folder, "lineitem"), clock).select(*TICKET_COLUMNS)
+
+
+def event_tickets_loose(events):
+    """Event tickets as a database with a lax collation holds them: mixed case, trailing blanks.
+
+    The text columns that decide whether a ticket counts carry the collation, so predicates on them
+    stay plain equalities and compare as that database would.
+    """
+    blanks = "repeat(' ', CAST(event_id % 3 AS INT))"
+    texts = {"print_q": f"concat(print_q, {blanks})", "cane_type": f"concat(cane_type, {blanks})",
+             "print_w": f"concat(IF(event_id % 2 = 0, 'Y', 'y'), {blanks})", "lane_code": f"concat(lane_code, {blanks})"}
+    loose = event_tickets(events).withColumnRenamed("ticket_id", "event_id").selectExpr(
+        "event_id AS ticket_id", *[f"{text} AS {name}" for name, text in texts.items()],
+        *[c for c in TICKET_COLUMNS if c not in (*texts, "ticket_id")])
+    return collated(loose.select(*TICKET_COLUMNS))
+
+
+#: Ignores case and trailing blanks, like the usual server collations.
+LOOSE = "UTF8_LCASE_RTRIM"
+
+
+def collated(tickets, columns=("print_q", "cane_type", "print_w", "lane_code"), collation=LOOSE):
+    """Tickets whose deciding text columns compare under a collation; stored texts stay as they are."""
+    return tickets.withColumns({c: tickets[c].cast(f"string collate {collation}") for c in columns})
+
+
+def event_tickets_on_the_hour(events):
+    """Event tickets of which every fifth was weighed at the full hour, for bins closed on both ends."""
+    return event_tickets(events.selectExpr(
+        "* EXCEPT (ts)", "IF(event_id % 5 = 0, date_trunc('HOUR', ts), ts) AS ts"))
+
+
+def arrivals(tickets, late_every=20):
+    """Event tickets with the number (0, 1, 2) of the delivery that brings them: thirds of the month by
+    time, but every `late_every`-th ticket comes with the last delivery."""
+    day = "dayofmonth(ts)"
+    return tickets.selectExpr("*", (
+        f"CASE WHEN ticket_id % {late_every} = 0 THEN 2 WHEN {day} <= 10 THEN 0 WHEN {day} <= 20 THEN 1 ELSE 2 END AS delivery"))

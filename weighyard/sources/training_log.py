@@ -1,6 +1,9 @@
 """The append-only log of training runs."""
 
+import uuid
+
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weighyard.schema import TRAINING_LOG
 
@@ -20,14 +23,24 @@ def log_entry(trained_at, start, end, days_used, records_used, data_source, mode
     )
 
 
-def append_training_log(spark, path, *entry):
-    """Append one run; a run that is repeated adds a second line, as a log should."""
-    row = spark.range(1).select(log_entry(*entry).alias("e")).select("e.*")
-    row.coalesce(1).write.mode("append").json(path)
+def log_runs(runs, path):
+    """Commit runs to the log: one line per `run_id`, which names its folder.
+
+    A run that is repeated, also one that broke off before, replaces its own line and no other.
+    """
+    runs.repartition("run_id").write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic").partitionBy("run_id").json(path)
+
+
+def append_training_log(spark, path, *entry, run_id=None):
+    """Append one run. With a `run_id` repeating it leaves one line; without one every call adds a line."""
+    row = spark.range(1).select(F.lit(run_id or uuid.uuid4().hex).alias("run_id"), log_entry(*entry).alias("e"))
+    log_runs(row.select("run_id", "e.*"), path)
 
 
 def read_training_log(spark, path):
-    return spark.read.schema(TRAINING_LOG).json(path)
+    """The log's lines with their run_id."""
+    return spark.read.schema(T.StructType([*TRAINING_LOG.fields, T.StructField("run_id", T.StringType())])).json(path)
 
 
 def _valid(log):

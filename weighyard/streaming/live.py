@@ -50,23 +50,27 @@ TALLY = {
 }
 TOTALS = ("a_count + b_count AS total_count", "CAST(a_tons + b_tons AS DECIMAL(28,2)) AS total_tons")
 STARTED = "CAST(window.start AS TIMESTAMP_NTZ)"
+# All tickets, also those of other lines: what baselines and arrival counts are made of.
+WHOLE = {"all_count": "count(net_weight)", "all_tons": tons_where()}
+# At most 24 members, so the state of a day stays small.
+ACTIVE = {"active_hours": f"size(collect_set(IF({ON_A} OR {ON_B}, hour(ts), NULL)))"}
+DAY_TOTALS = {**TALLY, **WHOLE, **ACTIVE}
 
 
-def live_hourly(tickets, delay=DELAY, predicate="valid"):
-    """Running tally per hour; use it in update mode."""
+def live_hourly(tickets, delay=DELAY, predicate="valid", whole=False):
+    """Running tally per hour, with `whole` of all tickets too; use it in update mode."""
+    sums = {**TALLY, **(WHOLE if whole else {})}
     rows = keep(_event_time(tickets), predicate).withWatermark("event_time", delay)
-    return rows.groupBy(F.window("event_time", "1 hour")).agg(*aggregates(TALLY)).selectExpr(
-        f"{business_date(STARTED)} AS report_date", f"{slot_of(STARTED)} AS slot", *TALLY, *TOTALS)
+    return rows.groupBy(F.window("event_time", "1 hour")).agg(*aggregates(sums)).selectExpr(
+        f"{business_date(STARTED)} AS report_date", f"{slot_of(STARTED)} AS slot", *sums, *TOTALS)
 
 
-def live_day(tickets, delay=DELAY, predicate="valid"):
-    """Running totals of the business day (18:00 to 18:00) and its active hours."""
+def live_day(tickets, delay=DELAY, predicate="valid", whole=False):
+    """Running totals of the business day (18:00 to 18:00) and its active hours, with `whole` of all tickets too."""
+    sums = DAY_TOTALS if whole else {**TALLY, **ACTIVE}
     rows = keep(_event_time(tickets), predicate).withWatermark("event_time", delay)
-    # At most 24 members, so the state of a day stays small.
-    hours = f"size(collect_set(IF({ON_A} OR {ON_B}, hour(ts), NULL)))"
     return rows.groupBy(F.window("event_time", "1 day", startTime="18 hours")).agg(
-        *aggregates({**TALLY, "active_hours": hours})
-    ).selectExpr(f"{business_date(STARTED)} AS report_date", *TALLY, "active_hours", *TOTALS)
+        *aggregates(sums)).selectExpr(f"{business_date(STARTED)} AS report_date", *sums, *TOTALS)
 
 
 def running_alerts(day_totals, history):
