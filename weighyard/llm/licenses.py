@@ -1,9 +1,10 @@
 """License scans by sentence rules.
 
-A text is cut into sentences; a sentence is normalised (lower case, letters and figures only,
-copyright owners and years left out) and looked up among known licence sentences, which gives it
-an identifier. Sentences that are not known break a sequence only where more than `GAP` of
-them follow each other. Ordered rules then look at the sequence of identifiers, longest rule
+A text is cut into sentences; a sentence is normalised (lower case, letters and figures
+only) and looked up among known licence sentences, which gives it
+an identifier. Sentences of several lines are put together again, however they are wrapped. Sentences
+that are not known break a sequence only where more than `GAP` of them follow each other; parts
+without a letter or figure are no sentences. Ordered rules then look at the sequence of identifiers, longest rule
 first: where a rule's identifiers occur in its order, it names the licence and consumes them.
 Identifiers that no rule consumes are reported as an unknown licence text.
 
@@ -54,6 +55,27 @@ SENTENCES = {
                      "or implied."],
     "gpl3_reference": ["This work is licensed under the GNU General Public License, version 3.",
                        "Licensed under the GNU General Public License, version 3.", "SPDX-License-Identifier: GPL-3.0-only"],
+    "gpl2_free": ["This program is free software; you can redistribute it and/or modify it under the terms of the GNU "
+                  "General Public License as published by the Free Software Foundation; either version 2 of the License, "
+                  "or (at your option) any later version."],
+    "lgpl_free": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU "
+                  "Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the "
+                  "License, or (at your option) any later version."],
+    "lgpl_hope": ["This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY;"],
+    "lgpl_details": ["See the GNU Lesser General Public License for more details."],
+    "agpl_free": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
+                  "Affero General Public License as published by the Free Software Foundation, either version 3 of the "
+                  "License, or (at your option) any later version."],
+    "agpl_details": ["See the GNU Affero General Public License for more details."],
+    "mpl_form": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
+    "mpl_copy": ["If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+                 "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."],
+    "isc_grant": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is "
+                  "hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
+    "isc_as_is": ["THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE "
+                  "INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS."],
+    "cc0_waiver": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights "
+                   "to this work."],
     "gpl_free": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
                  "General Public License as published by the Free Software Foundation, either version 3 of the License, "
                  "or (at your option) any later version."],
@@ -89,66 +111,135 @@ RULES = [
     ("GPL-3.0-only", ("gpl3_reference",), True),
     ("CC-BY-NC-4.0", ("cc_by_nc",), True),
     ("CC-BY-4.0", ("cc_by",), False),
+    ("LGPL-2.1-or-later", ("lgpl_free", "lgpl_hope", "lgpl_details"), True),
+    ("AGPL-3.0-or-later", ("agpl_free", "gpl_hope", "agpl_details"), True),
+    ("GPL-2.0-or-later", ("gpl2_free", "gpl_hope", "gpl_details"), True),
+    ("MPL-2.0", ("mpl_form", "mpl_copy"), True),
+    ("ISC", ("isc_grant", "isc_as_is"), False),
+    ("LGPL-2.1-or-later", ("lgpl_free",), True),
+    ("AGPL-3.0-or-later", ("agpl_free",), True),
+    ("GPL-2.0-or-later", ("gpl2_free",), True),
+    ("MPL-2.0", ("mpl_form",), True),
+    ("ISC", ("isc_grant",), False),
+    ("CC0-1.0", ("cc0_waiver",), False),
 ]
+#: Further licences that are named in one sentence: identifier -> (full name, whether its use is restricted).
+NAMED = {
+    "MIT": ("MIT License", False), "Apache-2.0": ("Apache License 2.0", False),
+    "BSD-2-Clause": ("BSD 2-Clause License", False), "BSD-3-Clause": ("BSD 3-Clause License", False),
+    "ISC": ("ISC License", False), "CC0-1.0": ("CC0 1.0 Universal", False), "Unlicense": ("Unlicense", False),
+    "CC-BY-4.0": ("Creative Commons Attribution 4.0", False), "CC-BY-SA-4.0": ("Creative Commons Attribution-ShareAlike 4.0", True),
+    "CC-BY-NC-4.0": ("Creative Commons Attribution-NonCommercial 4.0", True),
+    "GPL-2.0-only": ("GNU General Public License v2.0", True), "GPL-2.0-or-later": ("GNU General Public License v2.0 or later", True),
+    "GPL-3.0-only": ("GNU General Public License v3.0", True), "GPL-3.0-or-later": ("GNU General Public License v3.0 or later", True),
+    "LGPL-2.1-only": ("GNU Lesser General Public License v2.1", True), "LGPL-2.1-or-later": ("GNU Lesser General Public License v2.1 or later", True),
+    "LGPL-3.0-only": ("GNU Lesser General Public License v3.0", True), "LGPL-3.0-or-later": ("GNU Lesser General Public License v3.0 or later", True),
+    "AGPL-3.0-only": ("GNU Affero General Public License v3.0", True), "AGPL-3.0-or-later": ("GNU Affero General Public License v3.0 or later", True),
+    "MPL-2.0": ("Mozilla Public License 2.0", True),
+}
 UNKNOWN = "unknown"
 
 #: A sentence ends at a line end that follows a sign of its end, at an empty line, or after a sign and
 #: white space; a figure's point is none, since no white space follows it.
 _END = re.compile(r"(?<=[.;:!?])[!]*\s+|\n")
 _OTHER = re.compile(r"[^a-z0-9]+")
-_OWNER = re.compile(r"^copyright .*$")
 
 
 def normalised(sentence: str) -> str:
-    return _OWNER.sub("copyright", _OTHER.sub(" ", sentence.lower()).strip())
+    return _OTHER.sub(" ", sentence.lower()).strip()
+
+
+#: How a sentence names a licence.
+NAMING = ("Licensed under the {}.", "Released under the {}.", "Distributed under the {}.", "This project is licensed under the {}.",
+          "This work is licensed under the {}.", "This software is licensed under the {}.")
 
 
-KNOWN = {normalised(sentence): name for name, sentences in SENTENCES.items() for sentence in sentences}
+def _known() -> dict[str, str]:
+    """Normalised sentences and what they are called; `name:` is followed by the licence that a sentence names."""
+    table = {normalised(way.format(name)): f"name:{licence}" for licence, (name, _) in NAMED.items() for way in NAMING}
+    return table | {normalised(sentence): name for name, sentences in SENTENCES.items() for sentence in sentences}
+
+
+KNOWN = _known()
 #: Sentences of several lines are put together again up to the most words that any known one has.
 _LONGEST = max(len(key.split()) for key in KNOWN)
-_STARTS = {" ".join(key.split()[:2]) for key in KNOWN}
+_STARTS = {" ".join(key.split()[:2]) for key in KNOWN} | {key.split()[0] for key in KNOWN}
+#: An identifier line with an expression: licences, brackets, and the words between them.
+_EXPRESSION = re.compile(r"SPDX-License-Identifier:[ \t(]*([A-Za-z0-9.+-]+(?:[ \t()]+[A-Za-z0-9.+-]+)*)")
+_BY_CASE = {licence.lower(): licence for licence in NAMED}
+
 
+def expression_ids(sentence: str) -> list[str]:
+    """The licences of an identifier line, in order; an unknown one is named `unknown`, exceptions are left out."""
+    found = _EXPRESSION.search(sentence)
+    if not found:
+        return []
+    words = re.split(r"[ \t()]+", found.group(1))
+    out, skip = [], False
+    for word in words:
+        if word.upper() in ("OR", "AND", "WITH"):
+            skip = word.upper() == "WITH"
+        elif not skip:
+            out.append(_BY_CASE.get(word.rstrip(".").lower(), UNKNOWN))
+    return out
+
+
+def sentence_ids(text: str) -> list[tuple[str, int, int, int, int]]:
+    """(identifier, start, end, first part, last part) of all known sentences, in order.
 
-def sentence_ids(text: str) -> list[tuple[str, int, int, int]]:
-    """(identifier, start, end, number of the sentence) of all known sentences, in order."""
+    Parts are what stands between sentence ends and line ends; those without a word are left out. A
+    sentence that goes on is put together word by word, so a text costs its length times a constant.
+    """
     parts, at = [], 0
-    for mark in _END.finditer(text):
-        parts.append((at, mark.start()))
-        at = mark.end()
-    parts.append((at, len(text)))
+    for start, end in [*((m.start(), m.end()) for m in _END.finditer(text)), (len(text), len(text))]:
+        key = normalised(text[at:start])
+        if key:
+            parts.append((key, at, start))
+        at = end
     found, number = [], 0
     while number < len(parts):
-        start, end = parts[number]
-        key = normalised(text[start:end])
-        step = 1
-        if key in KNOWN:
-            found.append((KNOWN[key], start, end, number))
-        elif " ".join(key.split()[:2]) in _STARTS:  # may go on in the next lines
-            words, last = key, number
-            while last + 1 < len(parts) and len(words.split()) < _LONGEST:
+        key, start, end = parts[number]
+        last = number
+        words = key.split()
+        named = []
+        if key.startswith("spdx license identifier"):  # its colon ends a part; the expression is the line's rest
+            line_end = text.find("\n", start) % (len(text) + 1)
+            named = expression_ids(text[start:line_end])
+            while named and last + 1 < len(parts) and parts[last + 1][1] < line_end:
+                last += 1
+            found += [(f"name:{licence}", start, parts[last][2], number, last) for licence in named]
+        if not named and " ".join(words[:2]) in _STARTS:
+            while key not in KNOWN and last + 1 < len(parts) and len(words) < _LONGEST:
                 last += 1
-                words = normalised(text[start:parts[last][1]])
-                if words in KNOWN:
-                    found.append((KNOWN[words], start, parts[last][1], last))
-                    step = last - number + 1
-                    break
-        number += step
+                words += parts[last][0].split()
+                key = " ".join(words)
+            if key in KNOWN:
+                found.append((KNOWN[key], start, parts[last][2], number, last))
+            else:
+                last = number
+        number = last + 1
     return found
 
 
-def matched_rules(ids: list[tuple[str, int, int, int]]) -> list[tuple[str, int, int, bool]]:
+def matched_rules(ids: list[tuple[str, int, int, int, int]]) -> list[tuple[str, int, int, bool]]:
     """(licence, start, end, restricted) of the rules that consume the identifiers, in text order."""
     out, at = [], 0
     while at < len(ids):
+        name, start, end, _, _ = ids[at]
+        if name.startswith("name:"):
+            licence = name.removeprefix("name:")
+            out.append((licence, start, end, NAMED.get(licence, ("", True))[1]))
+            at += 1
+            continue
         for licence, sequence, restricted in RULES:
             part = ids[at:at + len(sequence)]
-            close = all(b[3] - a[3] - 1 <= GAP for a, b in zip(part, part[1:], strict=False))
+            close = all(after[3] - before[4] - 1 <= GAP for before, after in zip(part, part[1:], strict=False))
             if tuple(x[0] for x in part) == sequence and close:
-                out.append((licence, part[0][1], part[-1][2], restricted))
+                out.append((licence, start, part[-1][2], restricted))
                 at += len(sequence)
                 break
         else:
-            out.append((UNKNOWN, ids[at][1], ids[at][2], True))
+            out.append((UNKNOWN, start, end, True))
             at += 1
     return out
 
