@@ -17,12 +17,24 @@ from weighyard.session import shared_dir
 BROADCAST_BYTES = 16 << 20
 
 
+#: Rows and bytes that a task passes to Python at a time. Spark's own default is 10,000 rows, which
+#: for long texts are tens of megabytes, held several times over on both sides.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", str(BATCH_ROWS)),
+            "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", f"{BATCH_BYTES}b")}
+
 _SHIPPED: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> SparkSession:
-    """Let Spark hand this package to the executors, once per application."""
+    """Let Spark hand this package to the executors, once per application, and keep Arrow batches small.
+
+    A batch size that the session sets itself is left alone.
+    """
     context = spark.sparkContext
+    for name, (usual, small) in _BATCHES.items():
+        if spark.conf.get(name, None) == usual:
+            spark.conf.set(name, small)
     if context.applicationId not in _SHIPPED:
         root = Path(weighyard.__file__).parent
         archive = shutil.make_archive(f"{tempfile.mkdtemp()}/weighyard", "zip", root.parent, root.name)

@@ -41,10 +41,14 @@ from weighyard.llm.shingles import set_key, shingle_set
 
 #: Least share of the union, as a fraction of whole numbers.
 NUMERATOR, DENOMINATOR = 4, 5
-#: Least number of hash ranges in which shingles meet; spark.sql.shuffle.partitions raises it.
+#: Least number of hash ranges in which shingles meet; spark.sql.shuffle.partitions raises it, and so do
+#: the texts: a range is meant to hold RANGE_SHINGLES.
 RANGES = 64
-#: Shingles a task gathers before it sends blocks.
-_GATHER = 4_000_000
+RANGE_SHINGLES = 2_000_000
+#: Characters per word, to tell the number of shingles from the length of the texts.
+_WORD = 6
+#: Shingles a task gathers before it sends blocks: 16 MB of hashes.
+_GATHER = 2_000_000
 _SETS = "doc_id long, key long, n_shingles long, class long"
 LEVELS = 16
 
@@ -66,20 +70,23 @@ def shingle_blocks(docs: DataFrame, text="text") -> DataFrame:
     """(range, classes, sizes, hashes, owners): the shingles of a task's classes by hash range.
 
     `hashes` are sorted differences in as few bytes as they need; `owners` number the block's classes.
-    A task holds one range at a time, so ranges follow the number of shuffle partitions.
+    A task holds one range at a time, so the number of ranges follows the length of all texts.
     """
-    bits = (max(RANGES, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))) - 1).bit_length()
+    length = docs.select(F.sum(F.length(text_of(text)).cast("bigint"))).first()[0] or 0
+    least = max(RANGES, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), length // (_WORD * RANGE_SHINGLES))
+    bits = (least - 1).bit_length()
     shift = 56 - bits
 
     def block(gathered):
         keys = np.array(list(gathered), np.int64)
-        sets = list(gathered.values())
-        sizes = np.array([len(s) for s in sets], np.int64)
-        hashes, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+        sizes = np.array([len(s) for s in gathered.values()], np.int64)
+        hashes, owner = np.concatenate(list(gathered.values())), np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        gathered.clear()
         order = np.argsort(hashes, kind="stable")
-        hashes, owner = hashes[order], owner[order]
-        ranges = (hashes >> np.uint64(shift)).astype(np.int64)
-        edges = np.searchsorted(ranges, np.arange((1 << bits) + 1))
+        hashes = hashes[order]
+        owner = owner[order]
+        del order
+        edges = np.append(np.searchsorted(hashes, np.arange(1 << bits, dtype=np.uint64) << np.uint64(shift)), len(hashes))
         rows = [[], [], [], [], [], [], []]
         for at in range(1 << bits):
             a, b = edges[at], edges[at + 1]
