@@ -1,47 +1,62 @@
 """Substring dedup by MinHash banding of paragraphs.
 
-A passage that repeats across documents seldom starts or ends with a line, so paragraphs are cut by
-content: a paragraph ends before a word whose hash (with its neighbour) is the least within `RADIUS`
-words on either side. The same passage is cut at the same words wherever it stands.
-
-1. Each paragraph of five and more words gets a key of its shingles and MinHash values in
-   `BANDS` bands of `ROWS`. At a similarity of 0.8 a pair shares a band with a probability of
-   1 - (1 - 0.8^ROWS)^BANDS, 0.994 as tuned here; equal paragraphs share all.
-2. Paragraphs with equal keys are one class. In each band bucket all classes are paired with
-   the smallest and the largest class of it, never with each other.
-3. Pairs are verified by the exact Jaccard of their five-word shingles.
-4. Classes linked that way form components; a component in two and more documents is
-   repeated. Of its occurrences those in the document with the smallest id stay, all others are
-   removals. Neighbouring repeated paragraphs of a document are one passage; passages under
-   `LEAST_WORDS` words are left alone, since short phrases and lines repeat by nature.
+Passages repeat in two ways, so a text is cut into paragraphs in two ways:
+
+* *Lines* of `LEAST_WORDS` words and more. They are long enough that a changed word leaves them alike, so
+  they are compared by similarity: each gets MinHash values in `BANDS` bands of `ROWS`. At a
+  similarity of 0.8 a pair shares a band with a probability of 1 - (1 - 0.8^ROWS)^BANDS, 0.993 as tuned here.
+* *Pieces* cut by content, since a passage that was pasted into a text seldom starts or ends with a line: a
+  piece ends before a word whose hash (with its neighbour) is the least within `RADIUS` words on either
+  side. The same passage is cut at the same words wherever it stands, so pieces are compared by key.
+
+1. Lines with equal shingle sets are one class; only classes are banded, and only buckets with two classes count.
+2. In a few rounds each class meets the leaders of its buckets; verified pairs join components. What is
+   left between components is met exactly, family by family in blocks (`families`), or bucket by bucket:
+   every pair of classes that shares a bucket is verified or already in one component.
+3. Pairs are verified by the exact Jaccard of their five-word shingles (as 56-bit hashes).
+4. A component of lines, or a class of pieces, in two and more documents is repeated. Its occurrences in the
+   document with the smallest id stay, the others are removals. Pieces inside a line that is removed as a
+   near copy can't be the ones that stay, so what a removed line alone has in common with another
+   document stays there. No piece ever leaves all documents unless every line that holds it is a near copy of
+   a line that stays.
+5. Neighbouring repeated pieces are one stretch; stretches under `LEAST_WORDS` words are left alone, since
+   short phrases repeat by nature. A stretch is reported in passages, one for each keeper and verdict.
 
 Cases: null and empty texts and texts under five words have no paragraphs. Null ids take no part, for
-a passage must be told to be in two documents. Repeated rows count once. A text that
-is one word over and over is one paragraph. An empty table gives an empty result.
+a passage must be told to be in two documents. Repeated rows count once; rows of one id with different
+texts are told apart by a key of the text. A text that is one word over and over is one piece. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weighyard.llm.common import BROADCAST_BYTES, col, settle, sized, text_of
+from weighyard.llm.common import BROADCAST_BYTES, col, original, settle, sized, text_of
 from weighyard.llm.components import components
+from weighyard.llm.families import family_links, family_table
+from weighyard.llm.jaccard_join import LEADER_ROUNDS, crossing_lists, leader_pairs, verified
 from weighyard.llm.shingles import WIDTH, rolling, word_hashes, words
 
 RADIUS = 5
-BANDS, ROWS = 5, 2
+BANDS, ROWS = 7, 3
 LEAST_WORDS = 16
 NUMERATOR, DENOMINATOR = 4, 5
+#: Rows that a task turns into arrays at a time.
+SLICE = 250
 _ODD = np.array([2 * int(x) + 1 for x in np.random.default_rng(11).integers(0, 1 << 62, BANDS * ROWS)], np.uint64)
 _ADD = np.array([int(x) for x in np.random.default_rng(12).integers(0, 1 << 62, BANDS * ROWS)], np.uint64)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_KEYS = ["doc_id", "text_key"]
 
 
 def cut(hashes: np.ndarray) -> np.ndarray:
-    """First words of all paragraphs of a text, given its word hashes."""
+    """First words of all pieces of a text, given its word hashes."""
     n = len(hashes)
     if n < 2 * RADIUS + 2:
         return np.zeros(1 if n else 0, np.int64)
@@ -54,12 +69,17 @@ def cut(hashes: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], at])
 
 
-def paragraphs(text: str):
-    """(starts, ends, sizes, shingles in order, first shingle of each) of paragraphs with five and more words."""
-    hashes = word_hashes(words(text))
-    starts = cut(hashes)
-    ends = np.append(starts[1:], len(hashes))
-    long = ends - starts >= WIDTH
+def line_starts(text: str) -> np.ndarray:
+    """First words of all lines that have words."""
+    sizes = np.array([len(line.split()) for line in text.encode().split(b"\n")])
+    sizes = sizes[sizes > 0]
+    return np.concatenate([[0], np.cumsum(sizes)[:-1]]) if len(sizes) else np.empty(0, np.int64)
+
+
+def shingled(starts: np.ndarray, hashes: np.ndarray, least: int):
+    """(starts, ends, sizes, shingles in order, first shingle of each) of the parts with `least` words and more."""
+    ends = np.append(starts[1:], len(hashes))[:len(starts)]
+    long = ends - starts >= least
     starts, ends = starts[long], ends[long]
     if not len(starts):
         return starts, ends, starts, np.empty(0, np.uint64), starts
@@ -70,12 +90,19 @@ def paragraphs(text: str):
     return starts, ends, sizes, every[inside], first
 
 
-def signatures(shingles: np.ndarray, first: np.ndarray):
-    """(key, band hashes) of each paragraph."""
+def _spread(shingles: np.ndarray) -> np.ndarray:
     mixed = (shingles + np.uint64(1)) * _MIX
-    mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    keys = np.add.reduceat(mixed, first) & np.uint64((1 << 63) - 1)
-    bands = []
+    return (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def part_keys(shingles: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A 63-bit key of the shingles of each part."""
+    return (np.add.reduceat(_spread(shingles), first) & np.uint64((1 << 63) - 1)).view(np.int64)
+
+
+def band_hashes(shingles: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """One hash per part and band."""
+    mixed, bands = _spread(shingles), []
     for band in range(BANDS):
         folded = np.full(len(first), band + 1, np.uint64)
         for row in range(band * ROWS, (band + 1) * ROWS):
@@ -83,133 +110,214 @@ def signatures(shingles: np.ndarray, first: np.ndarray):
             folded = (folded ^ least) * _MIX
             folded ^= folded >> np.uint64(32)
         bands.append(folded)
-    return keys, np.stack(bands, axis=1)
+    return np.stack(bands, axis=1).view(np.int64)
+
+
+def _source(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    rows = docs.select(col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("body")).where("doc_id IS NOT NULL")
+    return rows.withColumn("text_key", F.xxhash64("body"))
 
 
-def paragraph_rows(docs: DataFrame, text="text", doc_id="doc_id") -> DataFrame:
-    """(doc_id, number, start, end, class, bands): all paragraphs; places are counted in words."""
+def _parts(docs: DataFrame, make, schema: str, names: list[str]) -> DataFrame:
+    """`make(text)` gives arrays, one row per part; ids and text keys are put before them."""
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                out = [[], [], [], [], [], []]
-                for ident, body in zip(part["doc_id"].to_pylist(), part["body"].to_pylist(), strict=True):
-                    starts, ends, _, shingles, first = paragraphs(body)
-                    if not len(starts):
-                        continue
-                    keys, bands = signatures(shingles, first)
-                    for column, value in zip(out, (np.full(len(starts), ident), np.arange(len(starts)), starts, ends,
-                                                   keys.view(np.int64), bands.view(np.int64)), strict=True):
-                        column.append(value)
-                if not out[0]:
-                    continue
-                whole = [np.concatenate(column) for column in out]
-                kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
-                columns = [pa.array(column.astype(kind.to_pandas_dtype())) for column, kind in zip(whole, kinds, strict=False)]
-                ends = np.arange(0, BANDS * len(whole[0]) + 1, BANDS, dtype=np.int32)
-                columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(whole[5].ravel())))
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "number", "start", "end", "class", "bands"])
+            for at in range(0, batch.num_rows, SLICE):
+                part, out = batch.slice(at, SLICE), []
+                for ident, key, body in zip(*[part[n].to_pylist() for n in ("doc_id", "text_key", "body")], strict=True):
+                    made = make(body)
+                    if len(made[0]):
+                        out.append((np.full(len(made[0]), ident), np.full(len(made[0]), key), *made))
+                if out:
+                    columns = []
+                    for whole in (np.concatenate(column) for column in zip(*out)):
+                        if whole.ndim == 2:
+                            ends = np.arange(0, whole.size + 1, whole.shape[1], dtype=np.int32)
+                            columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(whole.ravel())))
+                        else:
+                            columns.append(pa.array(whole))
+                    yield pa.RecordBatch.from_arrays(columns, names=[*_KEYS, *names])
+
+    return docs.mapInArrow(run, f"doc_id long, text_key long, {schema}")
 
-    rows = docs.select(col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("body")).where("doc_id IS NOT NULL")
-    return rows.mapInArrow(run, "doc_id long, number int, start int, end int, class long, bands array<long>")
 
+def _lines(text: str):
+    """(line, start, end, class, bands) of the long lines."""
+    hashes = word_hashes(words(text))
+    every = line_starts(text)
+    starts, ends, _, shingles, first = shingled(every, hashes, LEAST_WORDS)
+    if not len(starts):
+        return (starts,)
+    return (np.searchsorted(every, starts), starts, ends, part_keys(shingles, first), band_hashes(shingles, first))
+
+
+def _pieces(text: str):
+    """(number, start, end, class, line) of the pieces; `line` is -1 where a piece is not inside one line."""
+    hashes = word_hashes(words(text))
+    starts, ends, _, shingles, first = shingled(cut(hashes), hashes, WIDTH)
+    if not len(starts):
+        return (starts,)
+    lines = line_starts(text)
+    line = np.searchsorted(lines, starts, "right") - 1
+    inside = line == np.searchsorted(lines, ends - 1, "right") - 1
+    return np.arange(len(starts)), starts, ends, part_keys(shingles, first), np.where(inside, line, -1)
 
-def shingle_sets(docs: DataFrame, rows: DataFrame, wanted: DataFrame, text="text", doc_id="doc_id") -> DataFrame:
-    """(class, shingles) of the wanted classes, each read again from the first document that has it."""
+
+def line_rows(docs: DataFrame, text="text", doc_id="doc_id") -> DataFrame:
+    """(doc_id, text_key, line, start, end, class, bands): all long lines; places are counted in words."""
+    return _parts(_source(docs, text, doc_id), _lines, "line long, start long, end long, class long, bands array<long>",
+                  ["line", "start", "end", "class", "bands"])
+
+
+def piece_rows(docs: DataFrame, text="text", doc_id="doc_id") -> DataFrame:
+    """(doc_id, text_key, number, start, end, class, line): all pieces."""
+    return _parts(_source(docs, text, doc_id), _pieces, "number long, start long, end long, class long, line long",
+                  ["number", "start", "end", "class", "line"])
+
+
+def line_sets(docs: DataFrame, homes: DataFrame, few: bool, text="text", doc_id="doc_id") -> DataFrame:
+    """(class, n, shingles) of the classes in `homes` (class, home), read again from their home documents."""
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                keys, sets = [], []
+            for at in range(0, batch.num_rows, SLICE):
+                part, keys, sets = batch.slice(at, SLICE), [], []
                 for body, classes in zip(part["body"].to_pylist(), part["classes"], strict=True):
-                    _, _, sizes, shingles, first = paragraphs(body)
+                    _, _, sizes, shingles, first = shingled(line_starts(body), word_hashes(words(body)), LEAST_WORDS)
                     if not len(first):
                         continue
-                    found, where = np.unique(signatures(shingles, first)[0].view(np.int64), return_index=True)
+                    found, where = np.unique(part_keys(shingles, first), return_index=True)
                     mine = np.isin(found, classes.values.to_numpy())
                     keys.append(found[mine])
                     sets += [np.unique(shingles[first[i]:first[i] + sizes[i]]).view(np.int64) for i in where[mine]]
                 if sets:
                     ends = np.cumsum([0] + [len(x) for x in sets], dtype=np.int32)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(keys)), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))],
-                        names=["class", "shingles"])
+                        [pa.array(np.concatenate(keys)), pa.array(np.diff(ends)),
+                         pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], names=["class", "n", "shingles"])
+
+    grouped = settle(homes.groupBy("home").agg(F.collect_list("class").alias("classes")))
+    read = _source(docs, text, doc_id).select(F.col("doc_id").alias("home"), "body").join(
+        F.broadcast(grouped) if few else grouped, "home")
+    return read.select("body", "classes").mapInArrow(run, "class long, n int, shingles array<long>").dropDuplicates(["class"])
 
-    homes = settle(rows.select("class", "doc_id").join(sized(wanted, 16), "class", "left_semi").groupBy("class").agg(
-        F.min("doc_id").alias("home")).groupBy("home").agg(F.collect_list("class").alias("classes")))
+
+def near_components(classes: DataFrame, docs: DataFrame, text="text", doc_id="doc_id") -> DataFrame:
+    """(node, component) of line classes (class, least, bands) that are linked by similarity."""
+    met = classes.select(F.explode("bands").alias("shingle"), "class")
+    crowded = settle(met.groupBy("shingle").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high"))
+    lists = settle(met.join(sized(crowded.select("shingle"), 16), "shingle"))
+    wanted = settle(lists.select("class").distinct())
+    homes = classes.select("class", F.col("least").alias("home")).join(sized(wanted, 16), "class", "left_semi")
     few = wanted.count() * 40 <= BROADCAST_BYTES  # a document has one class at least
-    read = docs.select(col(doc_id).cast("long").alias("home"), text_of(text).alias("body")).join(
-        F.broadcast(homes) if few else homes, "home")
-    return read.select("body", "classes").mapInArrow(run, "class long, shingles array<long>").dropDuplicates(["class"])
+    sets = settle(line_sets(docs, homes, few, text, doc_id))
+    lists = settle(lists.join(sets.select("class"), "class", "left_semi"))
+    found = None
+    for turn in range(LEADER_ROUNDS):
+        near = settle(verified(leader_pairs(crossing_lists(lists, found), turn), sets))
+        if near.isEmpty():
+            break
+        found = components(_joined(found, near))
+    left = settle(crossing_lists(lists, found))
+    families = family_table(left, sets)
+    # Families whose queries fit are settled in blocks; the others are joined bucket by bucket.
+    apart = left.join(families.where("NOT fits").select("class"), "class", "left_semi")
+    other = apart.select("shingle", F.col("class").alias("b"), F.col("component").alias("theirs"))
+    pairs = apart.withColumnRenamed("class", "a").join(other, "shingle").where("a < b AND component <> theirs").select("a", "b").distinct()
+    return components(_joined(found, verified(pairs, sets).union(family_links(families, sets, NUMERATOR, DENOMINATOR))))
+
 
+def _joined(found: DataFrame | None, links: DataFrame) -> DataFrame:
+    return links if found is None else found.where("node <> component").select(
+        F.col("node").alias("a"), F.col("component").alias("b")).union(links)
 
-def candidate_pairs(rows: DataFrame) -> DataFrame:
-    """Classes of a band bucket with its smallest and its largest class."""
-    met = rows.selectExpr("class", "explode(bands) AS bucket")
-    # Few buckets hold two classes; only these meet the rows again.
-    buckets = settle(met.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high"))
-    pairs = met.join(sized(buckets, 24), "bucket").selectExpr("class", "explode(array(low, high)) AS other").where("class <> other")
-    return pairs.select(F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b")).distinct()
 
+def repeated_lines(docs: DataFrame, text="text", doc_id="doc_id") -> DataFrame:
+    """(doc_id, text_key, line, start, end, component, keep_doc, removed) of lines that repeat across documents."""
+    rows = settle(line_rows(docs, text, doc_id))
+    classes = settle(rows.groupBy("class").agg(
+        F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.first("bands").alias("bands")))
+    linked = settle(near_components(classes, docs, text, doc_id))
+    placed = classes.drop("bands").join(linked.withColumnRenamed("node", "class"), "class", "left").withColumn(
+        "component", F.coalesce("component", "class"))
+    groups = placed.groupBy("component").agg(F.min("least").alias("keep_doc"), F.max("most").alias("most")).where("keep_doc < most")
+    repeated = settle(placed.select("class", "component").join(groups.select("component", "keep_doc"), "component"))
+    return settle(rows.drop("bands").join(sized(repeated, 40), "class").drop("class").distinct().withColumn(
+        "removed", F.col("keep_doc") < F.col("doc_id")))
 
-def near_links(rows: DataFrame, docs: DataFrame, text="text", doc_id="doc_id") -> DataFrame:
-    """Verified pairs (a, b) of different classes."""
-    pairs = settle(candidate_pairs(rows))
-    wanted = settle(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct())
-    sets = settle(shingle_sets(docs, rows, wanted, text, doc_id))
-    left, right = (sets.select(F.col("class").alias(name), F.col("shingles").alias(f"s_{name}")) for name in "ab")
-    common = "size(array_intersect(s_a, s_b))"
-    return pairs.join(left, "a").join(right, "b").where(
-        f"{NUMERATOR + DENOMINATOR} * {common} >= {NUMERATOR} * (size(s_a) + size(s_b))").select("a", "b")
+
+def repeated_pieces(docs: DataFrame, lines: DataFrame, text="text", doc_id="doc_id") -> DataFrame:
+    """(doc_id, text_key, number, start, end, component, keep_doc, removed) of pieces that repeat, outside removed lines."""
+    rows = settle(piece_rows(docs, text, doc_id))
+    spread = rows.groupBy("class").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
+    repeated = settle(spread.select("class"))
+    found = rows.join(sized(repeated, 16), "class").distinct()
+    gone = sized(settle(lines.where("removed").select(*_KEYS, "line")), 32).withColumn("gone", F.lit(True))
+    found = settle(found.join(gone, [*_KEYS, "line"], "left").where("gone IS NULL").drop("gone", "line"))
+    keepers = found.groupBy("class").agg(F.min("doc_id").alias("keep_doc"), F.max("doc_id").alias("most")).where(
+        "keep_doc < most").select("class", "keep_doc")
+    return found.join(sized(settle(keepers), 24), "class").withColumnRenamed("class", "component").withColumn(
+        "removed", F.col("keep_doc") < F.col("doc_id"))
+
+
+def _passages(docs: DataFrame, text="text", doc_id="doc_id") -> DataFrame:
+    lines = repeated_lines(docs, text, doc_id)
+    pieces = repeated_pieces(docs, lines, text, doc_id)
+    in_text = Window.partitionBy(*_KEYS).orderBy("number")
+    runs = pieces.withColumn("stretch", F.col("number") - F.row_number().over(in_text))
+    # A new passage begins where the keeper changes; the verdict follows the keeper.
+    of_stretch = Window.partitionBy(*_KEYS, "stretch")
+    runs = runs.withColumn("words", F.sum(F.col("end") - F.col("start")).over(of_stretch)).where(F.col("words") >= LEAST_WORDS)
+    changed = F.coalesce((F.lag("keep_doc").over(of_stretch.orderBy("number")) != F.col("keep_doc")).cast("int"), F.lit(0))
+    runs = runs.withColumn("changed", changed).withColumn(
+        "passage", F.sum("changed").over(of_stretch.orderBy("number")))
+    passages = runs.groupBy(*_KEYS, "stretch", "passage").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), F.min("component").alias("component"),
+        F.min("keep_doc").alias("keep_doc"), F.max("removed").alias("removed")).drop("stretch", "passage")
+    columns = [*_KEYS, "start", "end", "component", "keep_doc", "removed"]
+    return lines.select(*columns).union(passages.select(*columns)).withColumn("words", F.col("end") - F.col("start"))
 
 
 def repeated_passages(docs: DataFrame, text="text", doc_id="doc_id") -> DataFrame:
     """Passages that repeat across documents: doc_id, start, end (words), words, component, keep_doc, removed.
 
-    Documents without such a passage have no row.
+    Passages of lines and of pieces may overlap. Documents without such a passage have no row.
     """
-    rows = settle(paragraph_rows(docs, text, doc_id))
-    linked = settle(components(near_links(rows, docs, text, doc_id)))
-    spread = rows.groupBy("class").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
-    placed = spread.join(linked.withColumnRenamed("node", "class"), "class", "left").withColumn(
-        "component", F.coalesce("component", "class"))
-    # Classes with a link meet by component; all others are their own component.
-    joint = placed.join(linked.select("component").distinct(), "component", "left_semi")
-    groups = joint.groupBy("component").agg(F.min("least").alias("keep_doc"), F.max("most").alias("most")).where(
-        "keep_doc < most").select("component", "keep_doc")
-    repeated = settle(placed.join(linked.select("component").distinct(), "component", "left_anti").where(
-        "least < most").select("class", "component", F.col("least").alias("keep_doc")).union(
-        joint.join(groups, "component").select("class", "component", "keep_doc")))
-    found = rows.drop("bands").join(sized(repeated, 40), "class").distinct()
-    by_doc = Window.partitionBy("doc_id").orderBy("number")
-    runs = found.withColumn("run", F.col("number") - F.dense_rank().over(by_doc))
-    return runs.groupBy("doc_id", "run").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), F.min("component").alias("component"),
-        F.min("keep_doc").alias("keep_doc"), F.max(F.col("keep_doc") < F.col("doc_id")).alias("removed")).withColumn(
-        "words", F.col("end") - F.col("start")).where(F.col("words") >= LEAST_WORDS).drop("run")
+    return _passages(docs, text, doc_id).select("doc_id", "start", "end", "words", "component", "keep_doc", "removed")
+
+
+_WORD = re.compile(r"[^\x20\t-\r]+")
+
+
+def without(body: str, cuts: list[tuple[int, int]]) -> str:
+    """The text without the words in `cuts` (start, end); words next to a cut are joined by one space."""
+    places = [m.span() for m in _WORD.finditer(body)]
+    kept, at, last = [], 0, 0
+    for start, end in sorted(cuts):
+        if end > last:
+            start = max(start, last)
+            kept.append(body[at:places[start][0]].rstrip())
+            at, last = places[end - 1][1], end
+    return " ".join(x for x in (*kept, body[at:].lstrip()) if x).strip()
 
 
 def drop_repeats(docs: DataFrame, text="text", doc_id="doc_id") -> DataFrame:
-    """(doc_id, text) with removals cut out; words next to a cut are joined by one space."""
-    removals = repeated_passages(docs, text, doc_id).where("removed").groupBy("doc_id").agg(
-        F.array_sort(F.collect_list(F.struct("start", "end"))).alias("cuts"))
+    """The rows with removals cut out of their texts and all columns as they were; texts without a removal stay, also nulls."""
+    columns = docs.columns
+    short = {name: f"c{at}" for at, name in enumerate(columns)}
+    removals = settle(_passages(docs, text, doc_id).where("removed").groupBy(*_KEYS).agg(
+        F.collect_list(F.struct("start", "end")).alias("cuts")))
+    rows = docs.select(*[col(name).alias(alias) for name, alias in short.items()]).withColumn(
+        "doc_id", F.col(short[doc_id]).cast("long")).withColumn("text_key", F.xxhash64(text_of(short[text])))
+    joined = rows.join(removals, _KEYS, "left").drop(*_KEYS)
 
     def run(batches):
-        import re
-
-        word = re.compile(r"[^\x20\t-\r]+")
         for batch in batches:
-            out = []
-            for body, cuts in zip(batch["body"].to_pylist(), batch["cuts"].to_pylist(), strict=True):
-                if cuts:
-                    places = [m.span() for m in word.finditer(body)]
-                    kept, at = [], 0
-                    for one in cuts:
-                        kept.append(body[at:places[one["start"]][0]].rstrip())
-                        at = places[one["end"] - 1][1]
-                    body = (" ".join([*kept, body[at:].lstrip()])).strip()
-                out.append(body)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(out, pa.string())], names=["doc_id", "text"])
-
-    rows = docs.select(col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("body"))
-    return rows.join(removals, "doc_id", "left").mapInArrow(run, "doc_id long, text string")
+            at = batch.schema.get_field_index(short[text])
+            out = [body if not cuts else without(body, [(c["start"], c["end"]) for c in cuts])
+                   for body, cuts in zip(batch.column(at).to_pylist(), batch["cuts"].to_pylist(), strict=True)]
+            arrays = [pa.array(out, pa.string()) if n == at else batch.column(n) for n in range(len(columns))]
+            yield pa.RecordBatch.from_arrays(arrays, names=list(short.values()))
+
+    schema = joined.drop("cuts").schema
+    return original(joined.mapInArrow(run, schema).select(
+        *[F.col(alias).alias(name) for name, alias in short.items()]), columns)
