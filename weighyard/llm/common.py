@@ -43,6 +43,28 @@ def ship_package(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def give_back() -> None:
+    """Return freed memory to the system. Workers are used again: what one operator leaves counts against the next."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
+def tidy(run):
+    """A function over batches that gives memory back when its partition is done."""
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+    return tidied
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

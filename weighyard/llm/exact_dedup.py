@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weighyard.llm.common import col, original, settle, sized, text_of
+from weighyard.llm.common import col, original, settle, sized, text_of, tidy
 
 SEGMENT_BITS = 10
 QUOTIENT_BITS = 22
@@ -75,7 +75,7 @@ def _merge_segment(filters: pd.DataFrame) -> pd.DataFrame:
 
 def repeated_fingerprints(fingerprints: DataFrame) -> DataFrame:
     """(fingerprint, copies) of all fingerprints that occur more than once."""
-    filters = fingerprints.select("fingerprint").mapInPandas(_partition_filters, _FILTER)
+    filters = fingerprints.select("fingerprint").mapInPandas(tidy(_partition_filters), _FILTER)
     return filters.groupBy("segment").applyInPandas(_merge_segment, "fingerprint long, copies long")
 
 

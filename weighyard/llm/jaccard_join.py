@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weighyard.llm.common import col, original, settle, sized, text_of
+from weighyard.llm.common import col, give_back, original, settle, sized, text_of, tidy
 from weighyard.llm.components import components
 from weighyard.llm.families import family_links, family_table
 from weighyard.llm.shingles import set_key, shingle_set
@@ -63,7 +63,7 @@ def document_sets(docs: DataFrame, text="text", doc_id="doc_id") -> DataFrame:
                                   names=["doc_id", "key", "n_shingles", "class"])
 
     return docs.select(col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("body")).withColumn(
-        "key", F.xxhash64("body")).mapInArrow(sets, _SETS)
+        "key", F.xxhash64("body")).mapInArrow(tidy(sets), _SETS)
 
 
 def shingle_blocks(docs: DataFrame, text="text") -> DataFrame:
@@ -123,7 +123,7 @@ def shingle_blocks(docs: DataFrame, text="text") -> DataFrame:
             yield block(gathered)
 
     return docs.select(text_of(text).alias("body")).mapInArrow(
-        blocks, "range int, shift int, classes binary, sizes binary, hashes binary, width int, owners binary")
+        tidy(blocks), "range int, shift int, classes binary, sizes binary, hashes binary, width int, owners binary")
 
 
 def _merge_range(frame: pd.DataFrame) -> pd.DataFrame:
@@ -187,11 +187,15 @@ def linkable_classes(blocks: DataFrame) -> DataFrame:
                 "base": [int(n) - least_overlap(int(n)) - r for n, r in zip(frame["n"], rare, strict=True)],
                 "shingles": [[x["shingle"] for x in row] for row in frame["shared"]]})
 
-    merged = blocks.groupBy("range").applyInPandas(_merge_range, "class long, n int, frequency int, shingle long")
+    def merge(frame: pd.DataFrame) -> pd.DataFrame:
+        give_back()  # what the range before held
+        return _merge_range(frame)
+
+    merged = blocks.groupBy("range").applyInPandas(merge, "class long, n int, frequency int, shingle long")
     own = merged.groupBy("class").agg(F.max("n").alias("n"), F.collect_list(F.struct("frequency", "shingle")).alias("shared"))
     return own.where(f"{DENOMINATOR}L * size(shared) >= {NUMERATOR}L * n").withColumn(
         "shared", F.array_sort("shared")).mapInPandas(
-        levels, "class long, n int, level int, base int, shingles array<long>")
+        tidy(levels), "class long, n int, level int, base int, shingles array<long>")
 
 
 def postings(classes: DataFrame) -> DataFrame:

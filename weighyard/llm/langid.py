@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weighyard.llm.common import col, settle, sized, text_of
+from weighyard.llm.common import col, settle, sized, text_of, tidy
 
 LANGUAGES = ("de", "en", "es", "fr")
 FEATURES = 1 << 16
@@ -89,7 +89,7 @@ def text_model(docs: DataFrame, languages=LANGUAGES) -> np.ndarray:
                               names=["bucket"] + [f"n{i}" for i in range(len(names))])
 
     rows = docs.where(F.col("declared").isin(*names)).select("body", "declared")
-    counted = rows.mapInArrow(count, "bucket long, " + ", ".join(f"n{i} long" for i in range(len(names)))).groupBy(
+    counted = rows.mapInArrow(tidy(count), "bucket long, " + ", ".join(f"n{i} long" for i in range(len(names)))).groupBy(
         "bucket").agg(*[F.sum(f"n{i}").alias(f"n{i}") for i in range(len(names))]).toPandas()
     table = np.full((FEATURES, len(names)), 0.5)
     table[counted["bucket"].to_numpy(np.int64)] += counted[[f"n{i}" for i in range(len(names))]].to_numpy(float)
@@ -117,7 +117,7 @@ def text_evidence(docs: DataFrame, model: np.ndarray, languages=LANGUAGES) -> Da
                                                  pa.array(said, pa.list_(pa.float64()))],
                 names=[f.name for f in kept] + ["letters", "fit", "said"])
 
-    return docs.mapInArrow(score, f"{fields}, letters long, fit double, said array<double>")
+    return docs.mapInArrow(tidy(score), f"{fields}, letters long, fit double, said array<double>")
 
 
 def _log_share(counts: list[str], total: str, parent: list[str]) -> list:
