@@ -36,7 +36,7 @@ from weighyard.llm.common import col, settle, text_of
 CAPACITY = 2048
 #: Chunks that a worker remembers between documents (some 200 bytes each); a full memory
 #: forgets its older half.
-MEMORY = 700_000
+MEMORY = 400_000
 
 
 class ChunkMemory(dict):
