@@ -47,8 +47,8 @@ RANGES = 64
 RANGE_SHINGLES = 2_000_000
 #: Characters per word, to tell the number of shingles from the length of the texts.
 _WORD = 6
-#: Shingles a task gathers before it sends blocks: 16 MB of hashes.
-_GATHER = 2_000_000
+#: Shingles a task gathers before it sends blocks: 8 MB of hashes.
+_GATHER = 1_000_000
 _SETS = "doc_id long, key long, n_shingles long, class long"
 LEVELS = 16
 
@@ -126,20 +126,39 @@ def shingle_blocks(docs: DataFrame, text="text") -> DataFrame:
         tidy(blocks), "range int, shift int, classes binary, sizes binary, hashes binary, width int, owners binary")
 
 
+def _unpacked(row) -> np.ndarray:
+    """The sorted shingle hashes of one block row."""
+    raw = np.frombuffer(row.hashes, np.uint8).reshape(-1, row.width)
+    steps = np.zeros((len(raw), 8), np.uint8)
+    steps[:, :row.width] = raw
+    return np.cumsum(steps.view("<u8").ravel(), dtype=np.uint64) + np.uint64(int(row.range) << int(row.shift))
+
+
 def _merge_range(frame: pd.DataFrame) -> pd.DataFrame:
-    """(class, n, frequency, shingle): the shared shingles of one hash range."""
-    hashes, classes, sizes = [], [], []
-    for row in frame.itertuples(index=False):
-        raw = np.frombuffer(row.hashes, np.uint8).reshape(-1, row.width)
-        steps = np.zeros((len(raw), 8), np.uint8)
-        steps[:, :row.width] = raw
-        start = np.uint64(int(row.range) << int(row.shift))
-        hashes.append(np.cumsum(steps.view("<u8").ravel(), dtype=np.uint64) + start)
+    """(class, n, frequency, shingle): the shared shingles of one hash range.
+
+    Most shingles occur once; classes and sizes are looked up for the others only.
+    """
+    parts = [_unpacked(row) for row in frame.itertuples(index=False)]
+    starts = np.concatenate([[0], np.cumsum([len(part) for part in parts])])
+    hashes = np.concatenate(parts)
+    del parts
+    order = np.argsort(hashes)
+    hashes = hashes[order]
+    again = hashes[1:] == hashes[:-1]
+    met = np.zeros(len(hashes), bool)
+    met[1:] = again
+    met[:-1] |= again
+    order, hashes = order[met], hashes[met]
+    classes, sizes = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+    by = np.argsort(order)
+    edges = np.searchsorted(order[by], starts)
+    for at, row in enumerate(frame.itertuples(index=False)):
+        mine = by[edges[at]:edges[at + 1]]
         keys = np.frombuffer(row.classes, "<i8")
-        owners = np.frombuffer(row.owners, "<u2" if len(keys) <= 65536 else "<u4")
-        classes.append(keys[owners])
-        sizes.append(np.frombuffer(row.sizes, "<u4")[owners])
-    hashes, classes, sizes = map(np.concatenate, (hashes, classes, sizes))
+        owners = np.frombuffer(row.owners, "<u2" if len(keys) <= 65536 else "<u4")[order[mine] - starts[at]]
+        classes[mine] = keys[owners]
+        sizes[mine] = np.frombuffer(row.sizes, "<u4")[owners]
     order = np.lexsort((classes, hashes))
     hashes, classes, sizes = hashes[order], classes[order], sizes[order]
     fresh = np.ones(len(hashes), bool)  # a class may come from several tasks
@@ -178,14 +197,18 @@ def linkable_classes(blocks: DataFrame) -> DataFrame:
     before any level is added. A class gathers its own shingles only.
     """
     def levels(batches):
-        for frame in batches:
-            shared = [np.array([x["frequency"] for x in row]) for row in frame["shared"]]
-            rare = [int(n) - len(x) for n, x in zip(frame["n"], shared, strict=True)]
-            yield pd.DataFrame({
-                "class": frame["class"], "n": frame["n"],
-                "level": [choose_level(int(n), x, r) for n, x, r in zip(frame["n"], shared, rare, strict=True)],
-                "base": [int(n) - least_overlap(int(n)) - r for n, r in zip(frame["n"], rare, strict=True)],
-                "shingles": [[x["shingle"] for x in row] for row in frame["shared"]]})
+        for batch in batches:
+            shared, sizes = batch["shared"], batch["n"].to_numpy()
+            ends = shared.offsets.to_numpy() - shared.offsets[0].as_py()
+            flat = shared.flatten()
+            frequencies = flat.field("frequency").to_numpy()
+            rare = sizes - np.diff(ends)
+            level = [choose_level(int(n), frequencies[a:b], int(r)) for n, a, b, r in zip(sizes, ends[:-1], ends[1:], rare, strict=True)]
+            base = [int(n) - least_overlap(int(n)) - int(r) for n, r in zip(sizes, rare, strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [batch["class"], batch["n"], pa.array(level, pa.int32()), pa.array(base, pa.int32()),
+                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat.field("shingle"))],
+                names=["class", "n", "level", "base", "shingles"])
 
     def merge(frame: pd.DataFrame) -> pd.DataFrame:
         give_back()  # what the range before held
@@ -194,7 +217,7 @@ def linkable_classes(blocks: DataFrame) -> DataFrame:
     merged = blocks.groupBy("range").applyInPandas(merge, "class long, n int, frequency int, shingle long")
     own = merged.groupBy("class").agg(F.max("n").alias("n"), F.collect_list(F.struct("frequency", "shingle")).alias("shared"))
     return own.where(f"{DENOMINATOR}L * size(shared) >= {NUMERATOR}L * n").withColumn(
-        "shared", F.array_sort("shared")).mapInPandas(
+        "shared", F.array_sort("shared")).mapInArrow(
         tidy(levels), "class long, n int, level int, base int, shingles array<long>")
 
 
