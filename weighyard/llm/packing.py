@@ -31,11 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weighyard.llm.common import col, settle, text_of
+from weighyard.llm.common import col, settle, text_of, tidy
 
 CAPACITY = 2048
-#: Chunks that a worker remembers between documents (some 200 bytes each); a full memory
-#: forgets its older half.
+#: Chunks that a task remembers between documents (some 200 bytes each); a full memory
+#: forgets its older half, and the end of the task everything.
 MEMORY = 400_000
 
 
@@ -95,20 +95,23 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity=CAPACITY, end_id=0,
 
     def cut(batches):
         memory = chunk_memory(vocabulary)
-        for batch in batches:
-            out = [[] for _ in range(5)]
-            for ident, body in zip(batch["doc_id"].to_pylist(), batch["body"].to_pylist(), strict=True):
-                ids = token_bytes(body, memory) + end
-                for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at:at + 4 * capacity]
-                    for column, value in zip(out, (ident, piece, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
-                        column.append(value)
-            yield pa.record_batch([pa.array(column, pa.int32() if at == 1 else pa.int64())
-                                   for at, column in enumerate(out)],
-                                  names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        try:
+            for batch in batches:
+                out = [[] for _ in range(5)]
+                for ident, body in zip(batch["doc_id"].to_pylist(), batch["body"].to_pylist(), strict=True):
+                    ids = token_bytes(body, memory) + end
+                    for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
+                        part = ids[at:at + 4 * capacity]
+                        for column, value in zip(out, (ident, piece, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
+                            column.append(value)
+                yield pa.record_batch([pa.array(column, pa.int32() if at == 1 else pa.int64())
+                                       for at, column in enumerate(out)],
+                                      names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        finally:
+            memory.clear()  # the worker may serve other operators next
 
     rows = docs.select(col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("body"))
-    return rows.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return rows.mapInArrow(tidy(cut), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def plan_patterns(counts: dict[int, int], capacity=CAPACITY) -> list[tuple[tuple[int, ...], int]]:
