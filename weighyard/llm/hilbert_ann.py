@@ -7,17 +7,20 @@ each curve and cut into blocks. A query is sent to the blocks around its own, so
 side that they hold `window` of the rows; there it meets all rows in one matrix product in double
 precision. The best of all blocks and curves merge into the answer.
 
-The nearness of everything met is exact, so only rows that no window shows can be missed. Vectors
-without structure (nearly orthogonal to each other, as in the test tables) need wide windows: the
-default holds a share of the rows and is measured against brute force in the tests. Clustered
-vectors may take a smaller `window`.
+The nearness of everything met is exact, so only rows that no window shows can be missed. Many
+narrow windows find more than few wide ones for the same number of rows met. Vectors without
+structure (nearly orthogonal to each other, as in the test tables) still need a share of the rows
+per curve; clustered vectors may take a smaller `window`. Queries that meet the same block are
+split into parts of at most `QUERIES`, so no task's matrix grows with the table.
 
 Equal vectors are one point of the curves with the smallest ids they need (k + 1), so a vector that
 a third of all rows share is one row, and ties go to the smaller id.
 
 Cases: vectors that are null, zero, of another length than most, or with null or non-finite components
-take no part. Fewer than k candidates give fewer rows. Null ids take no part. Equal ids with
-different vectors are different candidates. An empty table gives an empty result.
+take no part. Fewer than k candidates give fewer rows. Null ids take no part. A row repeated with its
+id and vector is one candidate. Equal ids with different vectors are different candidates, and as
+queries each vector gets an answer of its own; no row of the query's id is in it. An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,13 +35,13 @@ from pyspark.sql import functions as F
 
 from weighyard.llm.common import col, settle
 
-CURVES = 12
+CURVES = 24
 DIMENSIONS = 6
 BITS = 8
-#: Share of the rows that a query meets along each curve, and rows at least.
-WINDOW, LEAST_WINDOW = 0.16, 2048
-#: Rows of a block along a curve, at most.
-BLOCK = 1024
+#: Share of the rows that a query meets along each curve, and rows at least per neighbour asked for.
+WINDOW, LEAST_ROWS = 0.035, 4
+#: Rows of a block along a curve, at most, and queries that a task meets with it at a time.
+BLOCK, QUERIES = 1024, 8192
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -73,13 +76,13 @@ def curve_keys(unit: np.ndarray, curve: int, dimensions=DIMENSIONS, bits=BITS) -
     """Keys of unit vectors on one curve; projection and shift follow from its number."""
     random = np.random.default_rng(1000 + curve)
     directions = np.linalg.qr(random.normal(size=(unit.shape[1], min(dimensions, unit.shape[1]))))[0]
-    # A projection of a unit vector is about 1 / sqrt(length) wide; three times that fills half the grid.
-    scaled = unit @ directions * math.sqrt(unit.shape[1]) / 6.0 + 0.25 + random.uniform(0, 0.5, directions.shape[1])
+    # A projection of a unit vector is about 1 / sqrt(length) wide; twice that to either side fills the grid.
+    scaled = unit @ directions * math.sqrt(unit.shape[1]) / 4.0 + 0.25 + random.uniform(0, 0.5, directions.shape[1])
     return hilbert_keys(np.clip(scaled * (1 << bits), 0, (1 << bits) - 1), bits)
 
 
-def points(vectors: DataFrame, k: int, vec_id="vec_id", embedding="embedding") -> DataFrame:
-    """(vector, ids): distinct usable vectors with their k + 1 smallest ids."""
+def usable(vectors: DataFrame, vec_id="vec_id", embedding="embedding") -> DataFrame:
+    """(id, vector, point): the rows that take part, each once; `point` is the hash of the vector."""
     rows = vectors.select(col(vec_id).cast("long").alias("id"), col(embedding).cast("array<double>").alias("vector")).where(
         """id IS NOT NULL AND vector IS NOT NULL AND size(vector) > 0 AND NOT exists(vector, x -> x IS NULL
         OR isnan(x) OR abs(x) = double('Infinity')) AND exists(vector, x -> x <> 0)""")
@@ -88,9 +91,14 @@ def points(vectors: DataFrame, k: int, vec_id="vec_id", embedding="embedding") -
     lengths = rows.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
     if lengths:
         rows = rows.where(F.size("vector") == lengths[0]["n"])
+    return rows.withColumn("point", F.xxhash64("vector")).dropDuplicates(["id", "point"])
+
+
+def points(rows: DataFrame, k: int) -> DataFrame:
+    """(point, vector, ids): distinct vectors with their k + 1 smallest ids."""
     first = Window.partitionBy("vector").orderBy("id")
-    return rows.withColumn("row", F.row_number().over(first)).where(F.col("row") <= k + 1).groupBy("vector").agg(
-        F.array_sort(F.collect_list("id")).alias("ids")).withColumn("point", F.xxhash64("vector"))
+    return rows.withColumn("row", F.row_number().over(first)).where(F.col("row") <= k + 1).groupBy("point", "vector").agg(
+        F.array_sort(F.collect_list("id")).alias("ids"))
 
 
 def on_curves(rows: DataFrame, curves: int) -> DataFrame:
@@ -121,66 +129,76 @@ def numbered(rows: DataFrame) -> DataFrame:
         "place", F.col("earlier") + F.col("row") - 1).drop("part", "row", "earlier")
 
 
-_FOUND = "query_id long, vec_id long, score double"
+_FOUND = {"query_id": "int64", "query_point": "int64", "vec_id": "int64", "point": "int64", "score": "float64"}
 
 
 def _meet(k: int):
     """For one block of a curve: the k best rows of each query sent to it."""
     def run(key, rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        if rows.empty or queries.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
-        left = np.stack(queries["vector"].to_numpy()).astype(np.float64)
-        right = np.stack(rows["vector"].to_numpy()).astype(np.float64)
-        scores = (left @ right.T) / np.linalg.norm(left, axis=1)[:, None] / np.linalg.norm(right, axis=1)
         out = []
-        best = min(k + 1, len(rows))  # one may be the query's own point
-        ids = rows["ids"].to_numpy()
-        cuts = np.partition(scores, len(rows) - best, axis=1)[:, len(rows) - best] if best < len(rows) else scores.min(axis=1)
-        for at, (query, mine) in enumerate(zip(queries["query_id"], scores, strict=True)):
-            for found in np.nonzero(mine >= cuts[at])[0]:
-                out += [(query, i, mine[found]) for i in ids[found] if i != query]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64"})
+        if len(rows) and len(queries):
+            left = np.stack(queries["vector"].to_numpy()).astype(np.float64)
+            right = np.stack(rows["vector"].to_numpy()).astype(np.float64)
+            left /= np.linalg.norm(left, axis=1)[:, None]
+            right /= np.linalg.norm(right, axis=1)[:, None]
+            best = min(k + 1, len(rows))  # one may be the query's own point
+            ids, of = rows["ids"].to_numpy(), rows["point"].to_numpy()
+            asked = queries[["query_id", "query_point"]].to_numpy()
+            for start in range(0, len(left), BLOCK):
+                scores = left[start:start + BLOCK] @ right.T
+                cuts = np.partition(scores, len(rows) - best, axis=1)[:, len(rows) - best]
+                for at, found in zip(*np.nonzero(scores >= cuts[:, None]), strict=True):
+                    query, own = asked[start + at]
+                    out += [(query, own, i, of[found], scores[at, found]) for i in ids[found] if i != query]
+        return pd.DataFrame(out, columns=list(_FOUND)).astype(_FOUND)
 
     return run
 
 
-def exact_scores(found: DataFrame, vectors: DataFrame, vec_id="vec_id", embedding="embedding") -> DataFrame:
+def exact_scores(found: DataFrame, rows: DataFrame) -> DataFrame:
     """The candidates with their cosine from the original vectors, summed in the order of the components."""
-    own = vectors.select(col(vec_id).cast("long").alias("id"), col(embedding).cast("array<double>").alias("v"))
     dot = lambda a, b: f"aggregate(zip_with({a}, {b}, (x, y) -> x * y), 0D, (s, x) -> s + x)"
-    return found.join(own.select(F.col("id").alias("query_id"), F.col("v").alias("q")), "query_id").join(
-        own.select(F.col("id").alias("vec_id"), F.col("v").alias("c")), "vec_id").withColumn(
+    return found.join(rows.toDF("query_id", "q", "query_point"), ["query_id", "query_point"]).join(
+        rows.toDF("vec_id", "c", "point"), ["vec_id", "point"]).withColumn(
         "score", F.expr(f"{dot('q', 'c')} / (sqrt({dot('q', 'q')}) * sqrt({dot('c', 'c')}))")).drop("q", "c")
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k=5, curves=CURVES, window=WINDOW, least=LEAST_WINDOW,
+def nearest(vectors: DataFrame, queries: DataFrame, k=5, curves=CURVES, window=WINDOW, least=None,
             vec_id="vec_id", embedding="embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each query, itself left out.
 
-    `queries` has the columns of `vectors` and is part of it.
+    `queries` has the columns of `vectors` and is part of it. A window holds `window` of the points,
+    `least` (by default LEAST_ROWS per neighbour) at least.
     """
-    settled = settle(points(vectors, k, vec_id, embedding))
+    own = settle(usable(vectors, vec_id, embedding)).select("id", "vector", "point")
+    settled = settle(points(own, k))
     total = settled.count()
     placed = settle(numbered(on_curves(settled, curves)))
-    span = max(least, math.ceil(window * total))
-    block = max(1, min(BLOCK, span // 4))
+    span = max(LEAST_ROWS * (k + 1) if least is None else least, math.ceil(window * total))
+    block = min(BLOCK, math.ceil(span / 6))
     reach = math.ceil(span / 2 / block)
-    rows = placed.selectExpr("curve", f"CAST(place DIV {block} AS INT) AS block", "ids", "vector")
-    asked = queries.select(col(vec_id).cast("long").alias("query_id"), F.transform(
-        col(embedding).cast("array<double>"), lambda x: x + F.lit(0.0)).alias("vector")).withColumn(
-        "point", F.xxhash64("vector"))
-    at = placed.select("curve", "place", "point").join(asked, "point")
     last = max(0, (total - 1) // block)
+    asked = queries.select(col(vec_id).cast("long").alias("id"), F.transform(
+        col(embedding).cast("array<double>"), lambda x: x + F.lit(0.0)).alias("vector")).select(
+        F.col("id").alias("query_id"), F.xxhash64("vector").alias("point")).distinct()
+    at = settle(placed.select("curve", "place", "point", "vector").join(asked, "point"))
+    # As many parts of each block as its queries need; a query goes to one of them.
+    most = at.groupBy("curve", F.expr(f"place DIV {block}").alias("block")).count().agg(F.max("count")).first()[0] or 0
+    parts = max(1, math.ceil(most * (2 * reach + 1) / QUERIES))
+    rows = placed.selectExpr("curve", f"CAST(place DIV {block} AS INT) AS block", "ids", "point", "vector",
+                             f"explode(sequence(0, {parts - 1})) AS part")
     # At an end of the curve the window moves inwards instead of getting shorter.
-    sent = at.selectExpr("query_id", "vector", "curve", f"""explode(sequence(
+    sent = at.selectExpr("query_id", "point AS query_point", "vector", "curve AS to_curve", f"""explode(sequence(
         greatest(0, least(CAST(place DIV {block} AS INT), {last} - {reach}) - {reach}),
-        least({last}, greatest(CAST(place DIV {block} AS INT), {reach}) + {reach}))) AS block""")
-    sent = sent.toDF("query_id", "vector", "to_curve", "to_block")
-    found = rows.groupBy("curve", "block").cogroup(sent.groupBy("to_curve", "to_block")).applyInPandas(_meet(k), _FOUND)
-    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        least({last}, greatest(CAST(place DIV {block} AS INT), {reach}) + {reach}))) AS to_block""",
+                         f"CAST(pmod(xxhash64(query_id, point), {parts}) AS INT) AS to_part")
+    schema = "query_id long, query_point long, vec_id long, point long, score double"
+    found = rows.groupBy("curve", "block", "part").cogroup(sent.groupBy("to_curve", "to_block", "to_part")).applyInPandas(
+        _meet(k), schema)
+    best = found.groupBy("query_id", "query_point", "vec_id", "point").agg(F.max("score").alias("score"))
     # Scores of two sums may differ in their last digits: keep what may still be among the k, then score exactly.
-    nearly = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    nearly = Window.partitionBy("query_id", "query_point").orderBy(F.desc("score"), "vec_id")
     kept = best.withColumn("row", F.row_number().over(nearly)).where(F.col("row") <= 2 * k + 1).drop("row", "score")
-    final = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return exact_scores(kept, vectors, vec_id, embedding).withColumn("rank", F.row_number().over(final)).where(
+    final = Window.partitionBy("query_id", "query_point").orderBy(F.desc("score"), "vec_id")
+    return exact_scores(kept, own).withColumn("rank", F.row_number().over(final)).where(
         F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
