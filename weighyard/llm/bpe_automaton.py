@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weighyard.llm.common import col, text_of
+from weighyard.llm.common import col, plain_names, text_of
 
 #: Pre-split of the byte-level vocabulary (fixed value).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -251,10 +251,11 @@ class Codec:
         return coder
 
     def encode(self, docs: DataFrame, text="text", ids="ids") -> DataFrame:
-        """The rows with an array of token ids in `ids`."""
+        """The rows with an array of token ids in `ids`; a column of that name is replaced."""
         coder = self._coder()
-        rows = docs.withColumn(ids, text_of(text))
-        kept = docs.columns
+        kept = plain_names([name for name in docs.columns if name != ids])
+        rows = docs.select(*[col(name).alias(short) for name, short in kept.items()], text_of(text).alias("result"))
+        names = rows.columns
 
         def run(batches):
             own = coder()
@@ -265,15 +266,17 @@ class Codec:
                     ends = np.cumsum([0] + [len(x) // 4 for x in found], dtype=np.int32)
                     values = pa.array(np.frombuffer(b"".join(found), "<i4"))
                     yield pa.RecordBatch.from_arrays(
-                        [*part.columns[:-1], pa.ListArray.from_arrays(pa.array(ends), values)], names=[*kept, ids])
+                        [*part.columns[:-1], pa.ListArray.from_arrays(pa.array(ends), values)], names=names)
 
-        schema = rows.drop(ids).schema.add(ids, T.ArrayType(T.IntegerType()))
-        return rows.mapInArrow(run, schema)
+        schema = rows.drop("result").schema.add("result", T.ArrayType(T.IntegerType()))
+        return rows.mapInArrow(run, schema).toDF(*kept, ids)
 
     def decode(self, rows: DataFrame, ids="ids", text="decoded") -> DataFrame:
-        """The rows with the text of `ids` in `text`, in place of the ids."""
+        """The rows with the text of `ids` in `text`, in place of the ids and of a column named `text`."""
         coder = self._coder()
-        kept = [name for name in rows.columns if name != ids]
+        kept = plain_names([name for name in rows.columns if name not in (ids, text)])
+        ordered = rows.select(*[col(name).alias(short) for name, short in kept.items()], col(ids).alias("result"))
+        names = ordered.columns
 
         def run(batches):
             own = coder()
@@ -281,10 +284,9 @@ class Codec:
                 for at in range(0, batch.num_rows, _ROWS):
                     part = batch.slice(at, _ROWS)
                     bodies = own.decode(part.column(len(kept)))
-                    yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(bodies, pa.string())], names=[*kept, text])
+                    yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(bodies, pa.string())], names=names)
 
-        ordered = rows.select(*[col(name) for name in kept], col(ids))
-        return ordered.mapInArrow(run, ordered.drop(ids).schema.add(text, "string"))
+        return ordered.mapInArrow(run, ordered.drop("result").schema.add("result", "string")).toDF(*kept, text)
 
 
 def _slices(column):

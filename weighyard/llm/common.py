@@ -75,6 +75,11 @@ def col(name: str):
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def plain_names(columns: list[str]) -> dict[str, str]:
+    """Each name with a plain one to stand for it: functions over batches take no dots or spaces in names."""
+    return {name: f"c{at}_" for at, name in enumerate(columns)}
+
+
 def text_of(column: str = "text"):
     """A null text counts as the empty text."""
     return F.coalesce(col(column).cast("string"), F.lit(""))

@@ -8,13 +8,16 @@ on labelled rows whose text is in no dictionary, turns difference and compressib
 probability.
 
 Dictionaries and curve come from a bounded sample of labelled rows: at most `SAMPLE_ROWS` per
-label, those with the smallest hash of their id; a text gives at most `SAMPLE_CHARS` of itself to a
-dictionary. Scoring reads every text whole, and nothing but the text.
+label, those with the smallest hash of their id. One half gives the dictionaries, each of its texts as
+much as any other: windows of `WINDOW` bytes spread evenly over the whole text until the dictionary holds
+`DICTIONARY_BYTES`, shorter texts whole. The other half, read whole, gives the curve. Scoring
+reads every text whole, and nothing but the text.
 
 Cases: null text is the empty text; empty texts get the share of good rows as their score. Labels that
-are null, repeated or of no document are left out; an id with both labels counts for both. Without
-labels of both sorts every score is 0.5. Null ids and repeated rows are carried. An empty table
-gives an empty result.
+are null, repeated or of no document are left out; an id with both labels counts for both, and one with
+several texts gives the first of them. Without labels of both sorts every score is 0.5. Null ids and
+repeated rows are carried, and a column named like the score is replaced. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -28,11 +31,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weighyard.llm.common import col, text_of
+from weighyard.llm.common import col, plain_names, settle, text_of
 
 SAMPLE_ROWS = 1200
-SAMPLE_CHARS = 400
-DICTIONARY_BYTES = 112 << 10
+DICTIONARY_BYTES = 256 << 10
+WINDOW = 400
 PIECE = 2048
 LEVEL = 1
 THRESHOLD = 0.3
@@ -84,6 +87,27 @@ def logistic(x: np.ndarray, y: np.ndarray, rounds=60) -> np.ndarray:
     return w
 
 
+def even_share(sizes: list[int], budget: int) -> int:
+    """The most bytes that every text may give so that all stay within the budget; shorter ones give all they have."""
+    left, share = budget, 0
+    for at, size in enumerate(sorted(sizes)):
+        share = left // (len(sizes) - at)
+        if size > share:
+            break
+        left -= size
+    return share
+
+
+def spread(raw: bytes, share: int) -> bytes:
+    """`share` bytes of a text in windows spread evenly over all of it."""
+    if len(raw) <= share:
+        return raw
+    windows = max(1, round(share / WINDOW))
+    width = share // windows
+    starts = [int((at + 0.5) * len(raw) / windows - width / 2) for at in range(windows)]
+    return b"".join(raw[start:start + width] for start in starts)
+
+
 def fit(docs: DataFrame, labels: DataFrame, text="text", doc_id="doc_id") -> QualityModel:
     """A model from labels (doc_id, quality); quality 1 is good, 0 is bad."""
     known = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("quality").cast("int").alias("quality")).where(
@@ -94,26 +118,43 @@ def fit(docs: DataFrame, labels: DataFrame, text="text", doc_id="doc_id") -> Qua
     for quality in (0, 1):
         part = known.where(F.col("quality") == quality).orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS)
         chosen = part if chosen is None else chosen.union(part)
-    # At most 2 * SAMPLE_ROWS rows, a text cut to what a dictionary or the curve needs.
-    rows = docs.select(col(doc_id).cast("long").alias("id"), text_of(text).alias("body")).join(
-        F.broadcast(chosen), "id").select("id", "quality", F.substring("body", 1, 16 * PIECE).alias("body")).collect()
-    rows = sorted(set((r["quality"], r["id"], r["body"]) for r in rows if r["body"]))
-    sides = [[r for r in rows if r[0] == quality] for quality in (1, 0)]
+    # At most 2 * SAMPLE_ROWS texts; they stay in Spark, the driver gets sizes, windows and features.
+    sample = settle(docs.select(col(doc_id).cast("long").alias("id"), text_of(text).alias("body")).where("body <> ''").join(
+        F.broadcast(chosen), "id").groupBy("id", "quality").agg(F.min("body").alias("body")))
+    sizes = {(r["quality"], r["id"]): r["n"] for r in sample.select("quality", "id", F.octet_length("body").alias("n")).collect()}
+    sides = [sorted(key for key in sizes if key[0] == quality) for quality in (1, 0)]
     if not all(len(side) >= 4 for side in sides):
         return QualityModel([b" ", b" "], [0.0, 0.0, 0.0], [0.0, 0.0], [1.0, 1.0], 0.5)
-    dictionaries, held = [], []
-    for side in sides:
-        mixed = [side[at] for at in np.random.default_rng(7).permutation(len(side))]
-        half = len(mixed) // 2
-        parts = [body[a:a + SAMPLE_CHARS] for _, _, body in mixed[:half]
-                 for a in (max(0, (len(body) - SAMPLE_CHARS) // 2),)]
-        dictionaries.append("\n".join(parts).encode()[:DICTIONARY_BYTES])
-        held += mixed[half:]
-    shortest = min(map(len, dictionaries))  # the longer dictionary must not win by its length
-    dictionaries = [d[:shortest] for d in dictionaries]
-    sizer = Sizer(dictionaries)
-    x = np.array([sizer.features(body) for _, _, body in held])
-    y = np.array([float(quality) for quality, _, _ in held])
+    mixed = [[side[at] for at in np.random.default_rng(7).permutation(len(side))] for side in sides]
+    named = [side[:len(side) // 2] for side in mixed]
+    # The same budget for both: the larger dictionary must not win by its size.
+    budget = min(DICTIONARY_BYTES, *[sum(sizes[key] for key in side) for side in named])
+    shares = [even_share([sizes[key] for key in side], budget) for side in named]
+    place = {key: (side, at) for side, keys in enumerate(named) for at, key in enumerate(keys)}
+
+    def give(batches):
+        for batch in batches:
+            rows = [(*place[q, i], body) for q, i, body in zip(*(c.to_pylist() for c in batch.columns), strict=True)
+                    if (q, i) in place]
+            yield pa.RecordBatch.from_pydict({
+                "side": pa.array([r[0] for r in rows], pa.int32()), "at": pa.array([r[1] for r in rows], pa.int32()),
+                "part": pa.array([spread(r[2].encode("utf-8", "replace"), shares[r[0]]) for r in rows], pa.binary())})
+
+    def measure(batches):
+        sizer = Sizer(dictionaries)
+        for batch in batches:
+            rows = [(q, i, *sizer.features(body)) for q, i, body in zip(*(c.to_pylist() for c in batch.columns), strict=True)
+                    if (q, i) not in place]
+            types = {"quality": pa.int32(), "id": pa.int64(), "x": pa.float64(), "y": pa.float64()}
+            yield pa.RecordBatch.from_pydict({name: pa.array([r[at] for r in rows], kind)
+                                              for at, (name, kind) in enumerate(types.items())})
+
+    texts = sample.select("quality", "id", "body")
+    parts = sorted(tuple(r) for r in texts.mapInArrow(give, "side int, at int, part binary").collect())
+    dictionaries = [b"\n".join(bytes(part) for own, _, part in parts if own == side) for side in (0, 1)]
+    held = sorted(tuple(r) for r in texts.mapInArrow(measure, "quality int, id long, x double, y double").collect())
+    x = np.array([r[2:] for r in held])
+    y = np.array([float(r[0]) for r in held])
     means, scales = x.mean(axis=0), x.std(axis=0) + 1e-9
     weights = logistic((x - means) / scales, y)
     # The sample holds as many rows of either label as it may; the bias goes back to their true shares.
@@ -123,9 +164,11 @@ def fit(docs: DataFrame, labels: DataFrame, text="text", doc_id="doc_id") -> Qua
 
 
 def score(docs: DataFrame, model: QualityModel, text="text", name="score") -> DataFrame:
-    """The rows with their score between 0 and 1 in place of nothing; all columns are carried."""
+    """The rows with their score between 0 and 1 added as `name`; all other columns are carried."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    rows, kept = docs.withColumn(name, text_of(text)), docs.columns
+    kept = plain_names([column for column in docs.columns if column != name])
+    rows = docs.select(*[col(column).alias(short) for column, short in kept.items()], text_of(text).alias("result"))
+    names = rows.columns
 
     def run(batches):
         own = sent.value
@@ -139,6 +182,6 @@ def score(docs: DataFrame, model: QualityModel, text="text", name="score") -> Da
                 z = own.weights[0] + sum(
                     w * (f - m) / s for w, f, m, s in zip(own.weights[1:], sizer.features(body), own.means, own.scales, strict=True))
                 scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], names=[*kept, name])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], names=names)
 
-    return rows.mapInArrow(run, docs.schema.add(name, "double") if name not in kept else docs.schema)
+    return rows.mapInArrow(run, rows.drop("result").schema.add("result", "double")).toDF(*kept, name)
