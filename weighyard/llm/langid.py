@@ -2,8 +2,9 @@
 
 Four sources of evidence are added as log-likelihoods per language:
 
-- the text: log-probabilities of its words' beginnings and endings under each language, a table of
-  fixed size (`FEATURES` hash buckets per language) counted over all rows with a declared language;
+- the text: log-probabilities of its letter trigrams, word borders included, under each language, a table
+  of fixed size (`FEATURES` hash buckets per language) counted over all rows with a declared language and
+  over all rows without a declaration whose function words name one (`function_word_vote`);
 - the declared language: how often a declaration says `a` where the text says `b`;
 - the address suffix (the last label of the host): counts by suffix and language;
 - the host: counts by host, smoothed towards those of its registered domain, those towards its
@@ -16,24 +17,28 @@ when no language explains the text better than chance would, or when the best la
 `ACCEPT`.
 
 A wrongly declared text also trains the language it claims, so in a tiny corpus a long text in an
-unknown language that is declared as a known one may pass; undeclared ones don't train.
+unknown language that is declared as a known one may pass. Declarations outside `LANGUAGES` are no
+evidence, and such rows don't train. Only languages with an entry in `FUNCTION_WORDS` are learned
+without declarations.
 
 Cases: null or empty text, null declarations, hosts and ids are allowed; such evidence is left out,
 and a text without letters is rejected with language 'und'. Repeated rows are judged alike; equal
 probabilities go to the first language as listed. An empty table gives an empty result. `keep_known`
-carries all columns.
+carries all columns; `identify` replaces columns that are named like its results.
 """
 
 from __future__ import annotations
 
 import math
+import re
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from weighyard.llm.common import col, settle, sized, text_of, tidy
+from weighyard.llm.common import col, plain_names, settle, sized, text_of, tidy
 
 LANGUAGES = ("de", "en", "es", "fr")
 FEATURES = 1 << 16
@@ -42,6 +47,28 @@ STRENGTH = 20.0
 ACCEPT = 0.5
 #: Characters of a text worked on at once; longer texts are summed over pieces.
 PIECE = 1 << 20
+#: Common function words; words that two of the languages share say nothing and are left out.
+FUNCTION_WORDS = {
+    "de": "der die das und ist nicht ich sich mit auf für ein eine den dem von zu im auch als wie bei oder nach nur wird aus über",
+    "en": "the and of to is that it was for with are this be have from by not they you his which were there their has had would",
+    "es": "el los las y del por para con una como más pero sus este fue ser son muy también hasta desde está donde cuando todo",
+    "fr": "le les et des est du dans pour qui sur pas au avec ce il sont plus nous vous cette mais ou aux ont être leur même",
+}
+_VOTES = {word: name for name, words in FUNCTION_WORDS.items() for word in words.split()}
+#: Function words of a language that a text needs, and their lead over the next language.
+LEAST_VOTES, LEAD = 3, 2
+RESULTS = ("letters", "probability", "accepted", "lang")
+
+
+def function_word_vote(text: str) -> str | None:
+    """The language whose function words the text holds, if it holds enough and clearly more than of another."""
+    votes = dict.fromkeys(FUNCTION_WORDS, 0)
+    for word in re.finditer(r"[^\W\d_]+", text.lower()):
+        name = _VOTES.get(word[0])
+        if name:
+            votes[name] += 1
+    first, second = sorted(votes.values())[:-3:-1]
+    return max(votes, key=votes.get) if first >= LEAST_VOTES and first >= LEAD * second else None
 
 
 def features(text: str) -> np.ndarray:
@@ -61,7 +88,7 @@ def features(text: str) -> np.ndarray:
 
 
 def text_model(docs: DataFrame, languages=LANGUAGES) -> np.ndarray:
-    """Log-probabilities [bucket, language], from all rows with a declared language.
+    """Log-probabilities [bucket, language], from all rows with a declared or a voted language.
 
     Each task adds its counts into one table of fixed size; the tables are summed by bucket.
     """
@@ -78,6 +105,9 @@ def text_model(docs: DataFrame, languages=LANGUAGES) -> np.ndarray:
 
         for batch in batches:
             for body, declared in zip(batch["body"].to_pylist(), batch["declared"].to_pylist(), strict=True):
+                declared = declared or function_word_vote(body)
+                if declared not in names:
+                    continue
                 at = names.index(declared)
                 waiting[at].append(features(body))
                 if len(waiting[at]) == 200 or len(waiting[at][-1]) > PIECE:
@@ -88,7 +118,7 @@ def text_model(docs: DataFrame, languages=LANGUAGES) -> np.ndarray:
         yield pa.record_batch([pa.array(at)] + [pa.array(line[at]) for line in table],
                               names=["bucket"] + [f"n{i}" for i in range(len(names))])
 
-    rows = docs.where(F.col("declared").isin(*names)).select("body", "declared")
+    rows = docs.where(F.col("declared").isNull() | F.col("declared").isin(*names, "")).select("body", "declared")
     counted = rows.mapInArrow(tidy(count), "bucket long, " + ", ".join(f"n{i} long" for i in range(len(names)))).groupBy(
         "bucket").agg(*[F.sum(f"n{i}").alias(f"n{i}") for i in range(len(names))]).toPandas()
     table = np.full((FEATURES, len(names)), 0.5)
@@ -101,7 +131,8 @@ def text_evidence(docs: DataFrame, model: np.ndarray, languages=LANGUAGES) -> Da
     language) and `said` (tempered log-likelihood per language) in place of their text."""
     kept = [field for field in docs.schema.fields if field.name != "body"]
     sent = docs.sparkSession.sparkContext.broadcast(model.astype(np.float32))
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept)
+    found = [T.StructField("letters", T.LongType()), T.StructField("fit", T.DoubleType()),
+             T.StructField("said", T.ArrayType(T.DoubleType()))]
 
     def score(batches):
         for batch in batches:
@@ -117,7 +148,7 @@ def text_evidence(docs: DataFrame, model: np.ndarray, languages=LANGUAGES) -> Da
                                                  pa.array(said, pa.list_(pa.float64()))],
                 names=[f.name for f in kept] + ["letters", "fit", "said"])
 
-    return docs.mapInArrow(tidy(score), f"{fields}, letters long, fit double, said array<double>")
+    return docs.mapInArrow(tidy(score), T.StructType(kept + found))
 
 
 def _log_share(counts: list[str], total: str, parent: list[str]) -> list:
@@ -164,6 +195,9 @@ def identify(docs: DataFrame, languages=LANGUAGES) -> DataFrame:
     `docs` has body (no nulls), declared, suffix, domain, host and any other columns, which are
     carried; texts are read twice and moved nowhere.
     """
+    evidence = ("body", "declared", "suffix", "domain", "host")
+    carried = plain_names([name for name in docs.columns if name not in (*evidence, *RESULTS)])
+    docs = docs.select(*evidence, *[col(name).alias(short) for name, short in carried.items()])
     model = text_model(docs, languages)
     rows = settle(text_evidence(docs, model, languages).withColumn(
         "told", F.expr("CAST(array_position(said, array_max(said)) - 1 AS INT)")))
@@ -182,8 +216,8 @@ def identify(docs: DataFrame, languages=LANGUAGES) -> DataFrame:
             (a, x) -> a + exp(x - array_max(fused))))""")).withColumn(
         "accepted", F.expr(f"letters > 0 AND fit > {-math.log(FEATURES)!r}D AND probability >= {ACCEPT}D")).withColumn(
         "lang", F.expr("if(letters = 0, 'und', element_at(array({}), best))".format(
-            ", ".join(f"'{n}'" for n in languages)))).drop(
-        "said", "fit", "told", "fused", "best", "prior", "s_", "d_", "h_", "declared", "suffix", "domain", "host")
+            ", ".join(f"'{n}'" for n in languages)))).select(
+        *[F.col(short).alias(name) for name, short in carried.items()], *RESULTS)
 
 
 def document_evidence(docs: DataFrame, text="text", lang="lang", source="source", doc_id="doc_id") -> DataFrame:
