@@ -102,7 +102,7 @@ def points(rows: DataFrame, k: int) -> DataFrame:
 
 
 def on_curves(rows: DataFrame, curves: int) -> DataFrame:
-    """(curve, key, point, vector) for every curve."""
+    """(curve, key, point) for every curve; vectors stay behind."""
     def run(batches):
         for batch in batches:
             vectors = np.array(batch["vector"].to_pylist(), np.float64)
@@ -112,9 +112,9 @@ def on_curves(rows: DataFrame, curves: int) -> DataFrame:
             for curve in range(curves):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(unit), curve, np.int32)), pa.array(curve_keys(unit, curve).view(np.int64)),
-                     batch["point"], batch["ids"], batch["vector"]], names=["curve", "key", "point", "ids", "vector"])
+                     batch["point"]], names=["curve", "key", "point"])
 
-    return rows.mapInArrow(run, "curve int, key long, point long, ids array<long>, vector array<double>")
+    return rows.select("point", "vector").mapInArrow(run, "curve int, key long, point long")
 
 
 def numbered(rows: DataFrame) -> DataFrame:
@@ -173,7 +173,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k=5, curves=CURVES, window=W
     own = settle(usable(vectors, vec_id, embedding)).select("id", "vector", "point")
     settled = settle(points(own, k))
     total = settled.count()
-    placed = settle(numbered(on_curves(settled, curves)))
+    placed = settle(numbered(on_curves(settled, curves)).select("curve", "place", "point"))
+    # Orders and places travel without vectors, which join their blocks in the precision they came in.
+    kind = vectors.select(col(embedding)).schema[0].dataType.simpleString()
+    narrow = F.col("vector").cast("array<float>" if kind == "array<float>" else "array<double>")
+    held = settled.select("point", "ids", narrow.alias("vector"))
     span = max(LEAST_ROWS * (k + 1) if least is None else least, math.ceil(window * total))
     block = min(BLOCK, math.ceil(span / 6))
     reach = math.ceil(span / 2 / block)
@@ -181,17 +185,18 @@ def nearest(vectors: DataFrame, queries: DataFrame, k=5, curves=CURVES, window=W
     asked = queries.select(col(vec_id).cast("long").alias("id"), F.transform(
         col(embedding).cast("array<double>"), lambda x: x + F.lit(0.0)).alias("vector")).select(
         F.col("id").alias("query_id"), F.xxhash64("vector").alias("point")).distinct()
-    at = settle(placed.select("curve", "place", "point", "vector").join(asked, "point"))
+    at = settle(placed.join(asked, "point"))
     # As many parts of each block as its queries need; a query goes to one of them.
     most = at.groupBy("curve", F.expr(f"place DIV {block}").alias("block")).count().agg(F.max("count")).first()[0] or 0
     parts = max(1, math.ceil(most * (2 * reach + 1) / QUERIES))
-    rows = placed.selectExpr("curve", f"CAST(place DIV {block} AS INT) AS block", "ids", "point", "vector",
+    rows = placed.join(held, "point").selectExpr("curve", f"CAST(place DIV {block} AS INT) AS block", "ids", "point", "vector",
                              f"explode(sequence(0, {parts - 1})) AS part")
     # At an end of the curve the window moves inwards instead of getting shorter.
-    sent = at.selectExpr("query_id", "point AS query_point", "vector", "curve AS to_curve", f"""explode(sequence(
+    sent = at.join(held.drop("ids"), "point").selectExpr("query_id", "point AS query_point", "vector", "curve AS to_curve", f"""explode(sequence(
         greatest(0, least(CAST(place DIV {block} AS INT), {last} - {reach}) - {reach}),
         least({last}, greatest(CAST(place DIV {block} AS INT), {reach}) + {reach}))) AS to_block""",
                          f"CAST(pmod(xxhash64(query_id, point), {parts}) AS INT) AS to_part")
+    sent = sent.toDF(*sent.columns)  # columns of its own, apart from those of the rows
     schema = "query_id long, query_point long, vec_id long, point long, score double"
     found = rows.groupBy("curve", "block", "part").cogroup(sent.groupBy("to_curve", "to_block", "to_part")).applyInPandas(
         _meet(k), schema)
