@@ -7,11 +7,16 @@ folder, which cuts lineage and survives lost executors.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weighyard.llm.common import release, settle
 
+#: Links that a task joins at a time.
+TASK_LINKS = 1 << 17
+
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Links to the smallest neighbour instead: those of larger neighbours, or of smaller ones."""
@@ -42,3 +47,48 @@ def components(links: DataFrame) -> DataFrame:
         state = now
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
         edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
+
+
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, smallest node within reach) of all nodes of the links."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, v, top = at[:len(a)], at[len(a):], np.arange(len(nodes))
+    while True:
+        low, high = np.minimum(top[u], top[v]), np.maximum(top[u], top[v])
+        if np.array_equal(low, high):
+            return nodes, nodes[top]
+        np.minimum.at(top, high, low)
+        while not np.array_equal(above := top[top], top):
+            top = above
+
+
+def contracted(links: DataFrame, tasks: int) -> DataFrame:
+    """Links (a, b) with the same components: a task's links, TASK_LINKS at a time, become stars."""
+    def run(batches):
+        def star():
+            table = pa.Table.from_batches(gathered)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(x) for x in stars(table["a"].to_numpy(), table["b"].to_numpy())], names=["a", "b"])
+
+        gathered, n = [], 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, TASK_LINKS):
+                part = batch.slice(at, TASK_LINKS)
+                if gathered and n + part.num_rows > TASK_LINKS:
+                    yield star()
+                    gathered, n = [], 0
+                gathered.append(part)
+                n += part.num_rows
+        if n:
+            yield star()
+
+    return links.coalesce(tasks).mapInArrow(run, "a long, b long")
+
+
+def task_components(links: DataFrame) -> DataFrame:
+    """`components`, for links that are few for Spark: tasks join their own first, and links that fit one task are done."""
+    links = settle(links.select("a", "b").where("a <> b"))
+    tasks = -(-links.count() // TASK_LINKS)
+    if tasks > 1:
+        return components(contracted(links, tasks))
+    return settle(contracted(links, 1)).toDF("node", "component")

@@ -10,8 +10,9 @@ Passages repeat in two ways, so a text is cut into paragraphs in two ways:
   side. The same passage is cut at the same words wherever it stands, so pieces are compared by key.
 
 1. Lines with equal shingle sets are one class; only classes are banded, and only buckets with two classes count.
-2. In a few rounds each class meets the leaders of its buckets; verified pairs join components. What is
-   left between components is met exactly, family by family in blocks (`families`), or bucket by bucket:
+2. In a few rounds, while they link enough, each class meets the leaders of its buckets; verified pairs join
+   components. What is left between components is met exactly, family by family in blocks, many of them in
+   one go (`families`), or, where very many classes are outside a family's head, bucket by bucket:
    every pair of classes that shares a bucket is verified or already in one component.
 3. Pairs are verified by the exact Jaccard of their five-word shingles (as 56-bit hashes).
 4. A component of lines, or a class of pieces, in two and more documents is repeated. Its occurrences in the
@@ -37,9 +38,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weighyard.llm.common import BROADCAST_BYTES, col, original, settle, sized, text_of
-from weighyard.llm.components import components
-from weighyard.llm.families import family_links, family_table
+from weighyard.llm.common import BROADCAST_BYTES, col, original, release, settle, sized, text_of
+from weighyard.llm.components import task_components
+from weighyard.llm.families import family_table, packed_links
 from weighyard.llm.jaccard_join import LEADER_ROUNDS, crossing_lists, leader_pairs, verified
 from weighyard.llm.shingles import WIDTH, rolling, word_hashes, words
 
@@ -47,6 +48,10 @@ RADIUS = 5
 BANDS, ROWS = 7, 3
 LEAST_WORDS = 16
 NUMERATOR, DENOMINATOR = 4, 5
+#: Leaders are met again while a round links at least one in so many classes.
+_WORTH = 20
+#: Least shingles of a block of a family.
+_LEAST_BLOCK = 1 << 16
 #: Rows that a task turns into arrays at a time.
 SLICE = 250
 _ODD = np.array([2 * int(x) + 1 for x in np.random.default_rng(11).integers(0, 1 << 62, BANDS * ROWS)], np.uint64)
@@ -207,23 +212,30 @@ def near_components(classes: DataFrame, docs: DataFrame, text="text", doc_id="do
     crowded = settle(met.groupBy("shingle").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high"))
     lists = settle(met.join(sized(crowded.select("shingle"), 16), "shingle"))
     wanted = settle(lists.select("class").distinct())
+    many = wanted.count()
     homes = classes.select("class", F.col("least").alias("home")).join(sized(wanted, 16), "class", "left_semi")
-    few = wanted.count() * 40 <= BROADCAST_BYTES  # a document has one class at least
-    sets = settle(line_sets(docs, homes, few, text, doc_id))
-    lists = settle(lists.join(sets.select("class"), "class", "left_semi"))
+    # A document has one class at least.
+    sets = settle(line_sets(docs, homes, many * 40 <= BROADCAST_BYTES, text, doc_id))
     found = None
     for turn in range(LEADER_ROUNDS):
         near = settle(verified(leader_pairs(crossing_lists(lists, found), turn), sets))
-        if near.isEmpty():
+        links = near.count()
+        if links:
+            found = task_components(_joined(found, near))
+        release(docs.sparkSession)
+        if links * _WORTH < many:  # the rest is as well met by family
             break
-        found = components(_joined(found, near))
     left = settle(crossing_lists(lists, found))
-    families = family_table(left, sets)
+    families = family_table(left, sets, task_components, _LEAST_BLOCK)
+    near = settle(packed_links(families, sets, NUMERATOR, DENOMINATOR))
     # Families whose queries fit are settled in blocks; the others are joined bucket by bucket.
-    apart = left.join(families.where("NOT fits").select("class"), "class", "left_semi")
-    other = apart.select("shingle", F.col("class").alias("b"), F.col("component").alias("theirs"))
-    pairs = apart.withColumnRenamed("class", "a").join(other, "shingle").where("a < b AND component <> theirs").select("a", "b").distinct()
-    return components(_joined(found, verified(pairs, sets).union(family_links(families, sets, NUMERATOR, DENOMINATOR))))
+    large = families.where("NOT fits").select("class")
+    if not large.isEmpty():
+        apart = left.join(large, "class", "left_semi")
+        other = apart.select("shingle", F.col("class").alias("b"), F.col("component").alias("theirs"))
+        pairs = apart.withColumnRenamed("class", "a").join(other, "shingle").where("a < b AND component <> theirs").select("a", "b").distinct()
+        near = near.union(verified(pairs, sets))
+    return task_components(_joined(found, near))
 
 
 def _joined(found: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -236,7 +248,8 @@ def repeated_lines(docs: DataFrame, text="text", doc_id="doc_id") -> DataFrame:
     rows = settle(line_rows(docs, text, doc_id))
     classes = settle(rows.groupBy("class").agg(
         F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.first("bands").alias("bands")))
-    linked = settle(near_components(classes, docs, text, doc_id))
+    linked = near_components(classes, docs, text, doc_id)
+    release(docs.sparkSession)
     placed = classes.drop("bands").join(linked.withColumnRenamed("node", "class"), "class", "left").withColumn(
         "component", F.coalesce("component", "class"))
     groups = placed.groupBy("component").agg(F.min("least").alias("keep_doc"), F.max("most").alias("most")).where("keep_doc < most")
