@@ -242,6 +242,22 @@ def test_jaccard_repeated_rows_null_ids_and_no_rows(docs):
     assert jaccard_join.jaccard_components(frame.limit(0)).collect() == []
 
 
+def test_jaccard_links_that_many_tasks_join(docs, monkeypatch):
+    monkeypatch.setattr(components, "TASK_LINKS", 30)
+    rows = near_copies()
+    found = jaccard_join.jaccard_components(docs(*[t for _, t in rows])).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == brute_components(rows)
+
+
+def test_jaccard_writes_few_tables_on_the_way(docs, monkeypatch):
+    """Each one costs a shuffle's and a table's files, and a task's events, in every partition."""
+    frame = docs(*[t for _, t in near_copies()])
+    written, usual = [], type(frame).checkpoint
+    monkeypatch.setattr(type(frame), "checkpoint", lambda self, *a, **b: written.append(1) or usual(self, *a, **b))
+    assert jaccard_join.class_components(frame).count() > 20
+    assert len(written) <= 17
+
+
 def test_components_of_chains_stars_and_loops(spark):
     links = [(n, n + 1) for n in range(40)] + [(100, n) for n in range(101, 140)] + [(200, 200), (201, 202), (202, 201)]
     found = components.components(spark.createDataFrame(links, "a long, b long")).collect()

@@ -18,7 +18,7 @@ Documents become sets of five-word shingles; equal sets are one class. Two class
    group of near copies is not spelt out in pairs, while no link between two components is lost.
 
 Rows of a pair carry the shared shingles of both classes for the verification. Components come
-from `components`.
+from `components`, where tasks join their own links first.
 
 Cases: null text is the empty text; texts without words have an empty set and link with nothing;
 with fewer than five words the whole sequence is the one shingle. Repeated rows and equal texts
@@ -34,8 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weighyard.llm.common import col, give_back, original, settle, sized, text_of, tidy
-from weighyard.llm.components import components
+from weighyard.llm.common import col, give_back, original, release, settle, sized, text_of, tidy
+from weighyard.llm.components import task_components
 from weighyard.llm.families import family_links, family_table
 from weighyard.llm.shingles import set_key, shingle_set
 
@@ -294,13 +294,17 @@ def class_components(docs: DataFrame, text="text") -> DataFrame:
         near = settle(verified(leader_pairs(crossing_lists(prefixes, found), turn), classes))
         if near.isEmpty():
             break
-        found = components(_stars(found, near))
+        found = task_components(_stars(found, near))
+        release(docs.sparkSession)
     lists = settle(crossing_lists(prefixes, found))
-    families = family_table(lists, classes)
+    families = family_table(lists, classes, task_components)
+    release(docs.sparkSession)
+    far = family_links(families, classes, NUMERATOR, DENOMINATOR)
     # Pairs inside a family whose queries fit are settled there; the others are joined list by list.
-    apart = lists.join(families.where("NOT fits").select("class"), "class", "left_semi")
-    far = verified(crossing_pairs(apart), classes).union(family_links(families, classes, NUMERATOR, DENOMINATOR))
-    return components(_stars(found, far))
+    large = families.where("NOT fits").select("class")
+    if not large.isEmpty():
+        far = far.union(verified(crossing_pairs(lists.join(large, "class", "left_semi")), classes))
+    return task_components(_stars(found, far))
 
 
 def _stars(found: DataFrame | None, links: DataFrame) -> DataFrame:
